@@ -127,16 +127,17 @@ def n_hit() -> Column:
     return F.aggregate("hits", F.lit(0).cast("bigint"), lambda s, x: s + (x["end"] - x["start"]))
 
 
-def without_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with each text's hit words cut out, from the first byte of a span to its last word's last.
+def cut_out(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The columns of docs, with the words at `hits` cut out of text: from the first byte of a span to its last word's last.
 
-    Texts without a hit stay as they are.
+    Texts without a hit stay as they are; n_chars, where docs has it, follows the text.
     """
-    found = scan(docs, benchmark, window)
+    columns = docs.columns
 
     def run(part, data, offsets):
         hits = part.column(part.schema.get_field_index("hits")).to_pylist()
         texts = part.column(part.schema.get_field_index("text")).to_pylist()
+        counts = part.column(part.schema.get_field_index("n_chars")).to_pylist() if "n_chars" in columns else None
         at, to, first = words.word_spans(words.LOWER[data] if len(data) else data, offsets, words.ALNUM)
         for k, spans in enumerate(hits):
             if spans:
@@ -146,11 +147,24 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
                     kept.append(raw[cut : at[first[k] + s["start"]] - base])
                     cut = to[first[k] + s["end"] - 1] - base
                 texts[k] = b"".join([*kept, raw[cut:]]).decode("utf-8", "replace")
-        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else part.column(part.schema.get_field_index(c)) for c in docs.columns], names=docs.columns)
+                if counts:
+                    counts[k] = len(texts[k])
+        changed = {"text": lambda c: pa.array(texts, pa.string()), "n_chars": lambda c: pa.array(counts, part.schema.field(c).type)}
+        return pa.RecordBatch.from_arrays([changed.get(c, lambda c: part.column(part.schema.get_field_index(c)))(c) for c in columns], names=columns)
 
     return batches.map_slices(found, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
 
 
+#: Documents with at least this share of hit words go as a whole.
+MOSTLY = 0.5
+
+
+def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mostly: float = MOSTLY) -> DataFrame:
+    """docs without the spans that windows cover, and without documents where these are `mostly` of the words or more."""
+    found = scan(docs, benchmark, window)
+    return cut_out(docs, found.where((F.size("hits") == 0) | (n_hit() < mostly * F.col("n_words"))))
+
+
 def without_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without those that hold any window of an item."""
     return scan(docs, benchmark, window).where(F.size("hits") == 0).select(*docs.columns)

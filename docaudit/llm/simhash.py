@@ -239,15 +239,18 @@ VERIFY_MOST = 46
 
 
 def duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id and component_id over near-copies: five-word shingle similarity of about 0.8 or more, chained."""
+    """doc_id, row (xxhash64 of the text) and component_id over near-copies, chained.
+
+    Near means a similarity of about 0.8 or more between the sets of five-word shingles.
+    """
     names = [f"f{k}" for k in range(len(INDEX_SEEDS))] + [f"v{k}" for k in range(len(VERIFY_SEEDS))]
 
     def run(part, data, offsets):
         made = [fingerprints(data, offsets, 1, s) for s in INDEX_SEEDS] + [fingerprints(data, offsets, VERIFY_SHINGLE, s) for s in VERIFY_SEEDS]
-        return batches.record(doc_id=part.column(part.schema.get_field_index("doc_id")), **{n: pa.array(m.view(np.int64)) for n, m in zip(names, made)})
+        return batches.record(doc_id=part.column(part.schema.get_field_index("doc_id")), row=part.column(part.schema.get_field_index("row")), **{n: pa.array(m.view(np.int64)) for n, m in zip(names, made)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    prints = checkpointed(batches.map_slices(docs.select("doc_id", "text"), run, f"doc_id {kind}, " + ", ".join(f"{n} bigint" for n in names)))
+    prints = checkpointed(batches.map_slices(docs.select("doc_id", F.xxhash64("text").alias("row"), "text"), run, f"doc_id {kind}, row bigint, " + ", ".join(f"{n} bigint" for n in names)))
     node = F.xxhash64(*names)
     distinct = checkpointed(prints.groupBy(*names).agg(F.min("doc_id").alias("first")).withColumn("node", node))
     index = None
@@ -256,4 +259,4 @@ def duplicates(docs: DataFrame) -> DataFrame:
         index = own if index is None else index.unionByName(own)
     found = components(links(index, names[len(INDEX_SEEDS) :], VERIFY_MOST))
     named = _named(distinct.select("node", "first"), found, "node")
-    return prints.select("doc_id", node.alias("node")).join(named, "node", "left").select("doc_id", "component_id")
+    return prints.select("doc_id", "row", node.alias("node")).join(named, "node", "left").select("doc_id", "row", "component_id")
