@@ -168,7 +168,7 @@ def identify(docs: DataFrame, texts: dict[str, str], keep: list[str] | None = No
 
     A null text or one without a letter is `und` with score 0. With equal rates the language with more labelled rows wins.
     Score is the runner-up's rate against the sum of both: 0.5 for a tie, towards 1 the clearer. An empty table
-    gives an empty table; repeated rows are each answered.
+    gives an empty table; repeated rows are each answered. phrase_rate is of the phrases after the first.
     """
     keep = keep if keep is not None else docs.columns
     rows = docs.select(*{*keep, "text"})
@@ -186,7 +186,7 @@ def identify(docs: DataFrame, texts: dict[str, str], keep: list[str] | None = No
                 continue
             order = np.argsort(row, kind="stable")
             languages.append(automata.languages[order[0]])
-            rates[k] = min(1.0, row[order[0]] / max(1, sizes[k]))
+            rates[k] = (row[order[0]] - 1) / max(1, sizes[k])
             scores[k] = row[order[1]] / (row[order[0]] + row[order[1]]) if len(row) > 1 else 1.0
         out = [part.column(part.schema.get_field_index(c)) for c in keep]
         return pa.RecordBatch.from_arrays([*out, pa.array(languages, pa.string()), pa.array(scores), pa.array(rates)], names=[*keep, "lang_pred", "score", "phrase_rate"])
