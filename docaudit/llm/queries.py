@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docaudit.llm import contamination, language, line_chunks, packing, quality, simhash, weighted_sampling
+from docaudit.llm import contamination, language, line_chunks, packing, pii, quality, simhash, weighted_sampling
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op5_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns(named)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_chunks.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -68,7 +72,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_decontamination, op5_weighted_sampling, op7_line_chunks, op8_simhash, op9_language, op10_quality)}
+    return {f.__name__: f for f in (op2_packing, op3_decontamination, op5_weighted_sampling, op6_pii, op7_line_chunks, op8_simhash, op9_language, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
