@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docaudit.llm import contamination, language, line_chunks, packing, pii, quality, simhash, weighted_sampling
+from docaudit.llm import contamination, language, line_chunks, packing, pii, quality, simhash, site_tree, weighted_sampling
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_site_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_tree.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack(packing.pieces(docs, tokenizer_path()))
@@ -72,7 +76,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_decontamination, op5_weighted_sampling, op6_pii, op7_line_chunks, op8_simhash, op9_language, op10_quality)}
+    return {f.__name__: f for f in (op1_site_tree, op2_packing, op3_decontamination, op5_weighted_sampling, op6_pii, op7_line_chunks, op8_simhash, op9_language, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
