@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docaudit.llm import contamination, language, line_chunks, packing, pii, quality, simhash, site_tree, weighted_sampling
+from docaudit.llm import contamination, language, line_chunks, packing, pii, quality, simhash, site_tree, substrings, weighted_sampling
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicated(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op5_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = weighted_sampling.edit_probe(table(spark, sf_dir, "documents"))
     named = {"edited_sha256": F.lower(F.hex("edited_sha256")), **{c: F.translate(F.base64(c), "\r\n", "") for c in ("fingerprint", "edited_fingerprint")}}
@@ -76,7 +80,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_site_tree, op2_packing, op3_decontamination, op5_weighted_sampling, op6_pii, op7_line_chunks, op8_simhash, op9_language, op10_quality)}
+    return {f.__name__: f for f in (op1_site_tree, op2_packing, op3_decontamination, op4_substrings, op5_weighted_sampling, op6_pii, op7_line_chunks, op8_simhash, op9_language, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
