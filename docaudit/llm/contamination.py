@@ -160,11 +160,20 @@ MOSTLY = 0.5
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mostly: float = MOSTLY) -> DataFrame:
-    """docs without the spans that windows cover, and without documents where these are `mostly` of the words or more."""
-    found = scan(docs, benchmark, window)
-    return cut_out(docs, found.where((F.size("hits") == 0) | (n_hit() < mostly * F.col("n_words"))))
+    """docs without the spans that windows cover, and without documents where these are `mostly` of the words or more.
+
+    All columns of docs stay, also those named like the scan's own.
+    """
+    own = _renamed(docs)
+    found = scan(own, benchmark, window)
+    return cut_out(own, found.where((F.size("hits") == 0) | (n_hit() < mostly * F.col("n_words")))).toDF(*docs.columns)
 
 
 def without_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without those that hold any window of an item."""
-    return scan(docs, benchmark, window).where(F.size("hits") == 0).select(*docs.columns)
+    own = _renamed(docs)
+    return scan(own, benchmark, window).where(F.size("hits") == 0).select(*own.columns).toDF(*docs.columns)
+
+
+def _renamed(docs: DataFrame) -> DataFrame:
+    return docs.withColumnsRenamed({c: f"_own_{c}" for c in ("n_words", "hits", "items")})

@@ -36,7 +36,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Tokens that the tokenizer cuts out before its pattern; texts that hold one go through it whole.
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
         self.forget()
 
@@ -62,8 +63,14 @@ class Encoder:
         """All ids of the texts, one text behind the other, and where each text's begin (one more at the end)."""
         odd = np.add.reduceat(np.r_[CLASS[data] == 4, False], np.minimum(offsets[:-1], len(data))) > 0 if len(offsets) > 1 else np.zeros(0, bool)
         odd &= offsets[1:] > offsets[:-1]
+        raw = data.tobytes()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                odd[np.searchsorted(offsets, at, "right") - 1] = True
+                at = raw.find(token, at + 1)
         if (data >= 0x80).any():
-            text = data.tobytes().decode("utf-8", "replace")
+            text = raw.decode("utf-8", "replace")
             strange = [c for c in set(text) if ord(c) >= 0x80 and unicodedata.category(c)[0] != "L"]
             if strange:
                 odd |= np.array([any(c in x for c in strange) for x in (data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:]))], bool)
