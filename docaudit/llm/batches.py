@@ -34,12 +34,12 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         first = last
 
 
-def map_slices(df: DataFrame, function: Callable, schema: str, column: str = "text") -> DataFrame:
+def map_slices(df: DataFrame, function: Callable, schema: str, column: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
     """`function(rows, bytes, offsets)` gives a RecordBatch, or several, for each slice of each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, offsets in slices(batch, column):
+            for rows, data, offsets in slices(batch, column, limit):
                 made = function(rows, data, offsets)
                 if isinstance(made, pa.RecordBatch):
                     yield made

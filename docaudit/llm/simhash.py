@@ -22,8 +22,9 @@ from docaudit.session import checkpointed
 SHINGLE = 3
 BITS = 3
 SEED = 42
-#: Fingerprints that one key's group is compared within; larger groups are cut again.
-GROUP = 2048
+#: Fingerprints that one key's group is compared within; larger groups are cut again. Cutting makes 32 rows of each,
+#: which costs more than comparing it with so many.
+GROUP = 8192
 U64 = np.uint64
 _P1, _P2, _P3, _P4, _P5 = (U64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
@@ -93,7 +94,12 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE,
     text = np.repeat(np.arange(len(n)), counts)
     last = np.minimum(starts + shingle, first[1:][text]) - 1
     h = xxh64_spans(words.padded(joined), begin[starts], (begin + sizes)[last], seed)
-    out = np.zeros(len(n), U64)
+    return _majority(h, counts)
+
+
+def _majority(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each run of counts[i] hashes, the bits set in over half of them; 0 for an empty run."""
+    out = np.zeros(len(counts), U64)
     some = np.flatnonzero(counts)
     if not len(some):
         return out
@@ -246,11 +252,23 @@ def duplicates(docs: DataFrame) -> DataFrame:
     names = [f"f{k}" for k in range(len(INDEX_SEEDS))] + [f"v{k}" for k in range(len(VERIFY_SEEDS))]
 
     def run(part, data, offsets):
-        made = [fingerprints(data, offsets, 1, s) for s in INDEX_SEEDS] + [fingerprints(data, offsets, VERIFY_SHINGLE, s) for s in VERIFY_SEEDS]
+        # The words are hashed once; every seed mixes these hashes anew.
+        low = words.LOWER[data] if len(data) else data
+        at, to, first = words.word_spans(low, offsets, ~words.SPACES)
+        h, n = words.hash_spans(words.padded(low), at, to), np.diff(first)
+        made = [_majority(words.mixed(h ^ words.mixed(np.array([s], U64))), n) for s in INDEX_SEEDS]
+        starts, counts = words.gram_starts(first, VERIFY_SHINGLE)
+        grams = words.gram_hashes(h, VERIFY_SHINGLE)[starts]
+        # A text of fewer words is one shingle.
+        short = np.flatnonzero((n > 0) & (n < VERIFY_SHINGLE))
+        whole = np.array([words.gram_hashes(h[first[k] : first[k + 1]], int(n[k]))[0] for k in short], U64)
+        grams = np.insert(grams, (np.cumsum(counts) - counts)[short], whole)
+        counts[short] = 1
+        made += [_majority(words.mixed(grams ^ words.mixed(np.array([s], U64))), counts) for s in VERIFY_SEEDS]
         return batches.record(doc_id=part.column(part.schema.get_field_index("doc_id")), row=part.column(part.schema.get_field_index("row")), **{n: pa.array(m.view(np.int64)) for n, m in zip(names, made)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    prints = checkpointed(batches.map_slices(docs.select("doc_id", F.xxhash64("text").alias("row"), "text"), run, f"doc_id {kind}, row bigint, " + ", ".join(f"{n} bigint" for n in names)))
+    prints = checkpointed(batches.map_slices(docs.select("doc_id", F.xxhash64("text").alias("row"), "text"), run, f"doc_id {kind}, row bigint, " + ", ".join(f"{n} bigint" for n in names), limit=1 << 20))
     node = F.xxhash64(*names)
     distinct = checkpointed(prints.groupBy(*names).agg(F.min("doc_id").alias("first")).withColumn("node", node))
     index = None
