@@ -17,6 +17,7 @@ def java(pattern: str) -> str:
     scripts = re.sub(r"\\p\{(Han|Hiragana|Katakana|Cyrillic|Greek)\}", r"\\p{Is\1}", pattern)
     # A leading run of a class begins where the run does; Java would try each of its characters as a start.
     scripts = re.sub(r"^(\[\^[^\]]+\])\+", r"(?<!\1)\1+", scripts)
+    scripts = re.sub(r"^\(\?:(\[\^[^\]]+\])\*", r"(?<!\1)(?:\1*", scripts)
     return scripts.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
 
 
