@@ -3,7 +3,9 @@
 Fingerprints at three or fewer differing bits agree, but for one bit at most, in one of their two halves. Each half is
 indexed with one bit a wildcard, for every bit: 64 keys for a fingerprint. Equal keys are joined, and candidates are
 verified on all bits. Only distinct fingerprints take part, so copies cost nothing. A key with very many
-fingerprints is cut again by the same rule over the other half, and again, until a group is small: links stay whole.
+fingerprints is cut again by the same rule over the other half, and again: links stay whole.
+
+Near copies of the pipeline are another matter: MinHash keys over shingle sets, verified on the sets.
 """
 
 from __future__ import annotations
@@ -235,46 +237,138 @@ def _named(distinct: DataFrame, roots: DataFrame, key: str) -> DataFrame:
     return checkpointed(rooted.join(checkpointed(least), "root", "left").select(key, F.coalesce("least", "first").alias("component_id")))
 
 
-#: The pipeline's rule: two SimHashes over single words give the candidates, since a few changed words move them
-#: little; 256 bits of SimHashes over five-word shingles verify. Shingle sets with similarity 0.8 differ in 15 % of
-#: these bits, at 48 of 256 similarity is about 0.75.
-INDEX_SEEDS = (42, 1042)
-VERIFY_SEEDS = (2042, 3042, 4042, 5042)
-VERIFY_SHINGLE = 5
-VERIFY_MOST = 46
+#: The pipeline's rule: sets of five-word shingles with a Jaccard similarity of 4/5 or more. MinHashes in BANDS keys of
+#: ROWS each give the candidates: a pair at 0.8 shares no key once in 13,000 times, one at 0.85 once in 500,000.
+#: The sets themselves verify.
+NEAR_SHINGLE = 5
+BANDS = 24
+ROWS = 5
+_FACTORS = words.mixed(np.arange(1, BANDS * ROWS + 1, dtype=U64)) | U64(1)
+#: Keys of so many nodes or fewer have all their pairs compared; in larger ones pivots are compared with the rest first.
+SMALL_KEY = 8
+#: Rounds of pivots, after which what is left unconnected within a key is compared pair by pair.
+PIVOT_ROUNDS = 6
+#: So many candidates' document ids are sent to the tasks that read their texts; more are joined.
+BROADCAST_NODES = 500_000
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's distinct shingle hashes, sorted, one text behind the other, and their number. A text of fewer words is one shingle."""
+    low = words.LOWER[data] if len(data) else data
+    at, to, first = words.word_spans(low, offsets, ~words.SPACES)
+    h, n = words.hash_spans(words.padded(low), at, to), np.diff(first)
+    starts, counts = words.gram_starts(first, NEAR_SHINGLE)
+    grams = words.gram_hashes(h, NEAR_SHINGLE)[starts]
+    short = np.flatnonzero((n > 0) & (n < NEAR_SHINGLE))
+    whole = np.array([words.gram_hashes(h[first[k] : first[k + 1]], int(n[k]))[0] for k in short], U64)
+    grams = np.insert(grams, (np.cumsum(counts) - counts)[short], whole)
+    counts[short] = 1
+    text = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((grams, text))
+    grams = grams[order]
+    new = np.ones(len(grams), bool)
+    new[1:] = (grams[1:] != grams[:-1]) | (text[1:] != text[:-1])
+    return grams[new], np.bincount(text[new], minlength=len(counts))
+
+
+def set_prints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text a hash of its shingle set, the set's size and its BANDS keys; an empty set has hash 0 and no keys."""
+    grams, counts = shingle_sets(data, offsets)
+    some = np.flatnonzero(counts)
+    node = np.zeros(len(counts), U64)
+    keys = np.zeros((len(some), BANDS), U64)
+    if len(some):
+        at = (np.cumsum(counts) - counts)[some]
+        node[some] = words.mixed(np.add.reduceat(words.mixed(grams), at) + counts[some].astype(U64))
+        for b in range(BANDS):
+            h = np.full(len(some), U64(b))
+            for factor in _FACTORS[b * ROWS : (b + 1) * ROWS]:
+                h = words.mixed(h ^ np.minimum.reduceat(grams * factor, at))
+            keys[:, b] = h
+    return node, counts, keys
+
+
+def _sets(docs: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node and s (the shingle set) of all nodes in the pairs, read from one document of each."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = checkpointed(distinct.join(nodes, "node", "left_semi").select("node", F.col("rep.doc_id").alias("_id"), F.col("rep.row").alias("_own")))
+    few = wanted.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
+    rows = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
+    texts = rows.join(F.broadcast(wanted) if few else wanted, rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["row"] == F.col("_own"))).select("node", "text")
+
+    def run(part, data, offsets):
+        grams, counts = shingle_sets(data, offsets)
+        ends = np.r_[0, np.cumsum(counts)].astype(np.int32)
+        return batches.record(node=part.column(part.schema.get_field_index("node")), s=pa.ListArray.from_arrays(pa.array(ends), pa.array(grams.view(np.int64))))
+
+    return batches.map_slices(texts, run, "node bigint, s array<bigint>", limit=1 << 20).groupBy("node").agg(F.first("s").alias("s"))
+
+
+def _verified(docs: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have a similarity of 4/5 or more."""
+    sets = _sets(docs, distinct, pairs)
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    return checkpointed(both.where(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b"))
+
+
+def _pairs(x: DataFrame, y: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the nodes of x and y with the same key, in different components, whose sizes allow 4/5."""
+    other = y.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
+    met = x.join(other, "key").where("c != d AND 5 * least(n, m) >= 4 * greatest(n, m)")
+    return met.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+
+
+def near_links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """node and root of the components over all verified pairs that share a key.
+
+    distinct: node, rep (doc_id and row of one document), n, keys. No key's nodes are gathered: a large key's pivot is
+    compared with the rest, then what is not yet in one component, the pivot being a node that links reached before.
+    """
+    member = distinct.select("node", "n", F.explode("keys").alias("key"))
+    sizes = checkpointed(member.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"))
+    member = checkpointed(member.join(sizes, "key"))
+    own = member.withColumn("c", F.col("node"))
+    small = own.where(F.col("many") <= SMALL_KEY).drop("many")
+    pairs = checkpointed(_pairs(small, small))
+    found = _verified(docs, distinct, pairs)
+    left = member.where(F.col("many") > SMALL_KEY).drop("many")
+    for nth in range(PIVOT_ROUNDS + 1):
+        roots = components(found)
+        if left.isEmpty():
+            return roots
+        # The largest component's nodes come first, so that a group around one text is found from any of its texts.
+        most = roots.groupBy("root").agg(F.count("*").alias("of"))
+        roots_of = checkpointed(roots.join(most, "root"))
+        held = left.join(roots_of, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("c"), F.coalesce("of", F.lit(1)).alias("of"))
+        held = checkpointed(held)
+        open_keys = held.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("key")
+        held = checkpointed(held.join(open_keys, "key", "left_semi"))
+        if held.isEmpty():
+            return roots
+        if nth == PIVOT_ROUNDS:
+            return components(found.unionByName(_verified(docs, distinct, checkpointed(_pairs(held, held)))))
+        place = F.struct(-F.col("of"), F.xxhash64(F.lit(nth), F.col("node")), "node", "n", "c")
+        pivots = checkpointed(held.groupBy("key").agg(F.min(place).alias("p")).select("key", "p.node", "p.n", "p.c"))
+        found = checkpointed(found.unionByName(_verified(docs, distinct, checkpointed(_pairs(held, pivots)))))
+        left = checkpointed(held.join(pivots.select("key", "node"), ["key", "node"], "left_anti").select("key", "node", "n"))
+    raise AssertionError("the last round returns")
 
 
 def duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, row (xxhash64 of the text) and component_id over near-copies, chained.
 
-    Near means a similarity of about 0.8 or more between the sets of five-word shingles.
+    Near means a Jaccard similarity of 0.8 or more between the sets of five-word shingles; every link is verified on
+    the sets. Texts without words are one group.
     """
-    names = [f"f{k}" for k in range(len(INDEX_SEEDS))] + [f"v{k}" for k in range(len(VERIFY_SEEDS))]
 
     def run(part, data, offsets):
-        # The words are hashed once; every seed mixes these hashes anew.
-        low = words.LOWER[data] if len(data) else data
-        at, to, first = words.word_spans(low, offsets, ~words.SPACES)
-        h, n = words.hash_spans(words.padded(low), at, to), np.diff(first)
-        made = [_majority(words.mixed(h ^ words.mixed(np.array([s], U64))), n) for s in INDEX_SEEDS]
-        starts, counts = words.gram_starts(first, VERIFY_SHINGLE)
-        grams = words.gram_hashes(h, VERIFY_SHINGLE)[starts]
-        # A text of fewer words is one shingle.
-        short = np.flatnonzero((n > 0) & (n < VERIFY_SHINGLE))
-        whole = np.array([words.gram_hashes(h[first[k] : first[k + 1]], int(n[k]))[0] for k in short], U64)
-        grams = np.insert(grams, (np.cumsum(counts) - counts)[short], whole)
-        counts[short] = 1
-        made += [_majority(words.mixed(grams ^ words.mixed(np.array([s], U64))), counts) for s in VERIFY_SEEDS]
-        return batches.record(doc_id=part.column(part.schema.get_field_index("doc_id")), row=part.column(part.schema.get_field_index("row")), **{n: pa.array(m.view(np.int64)) for n, m in zip(names, made)})
+        node, counts, keys = set_prints(data, offsets)
+        ends = np.r_[0, np.cumsum(np.where(counts > 0, BANDS, 0))].astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64)))
+        return batches.record(doc_id=part.column(part.schema.get_field_index("doc_id")), row=part.column(part.schema.get_field_index("row")), node=pa.array(node.view(np.int64)), n=pa.array(counts.astype(np.int64)), keys=lists)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    prints = checkpointed(batches.map_slices(docs.select("doc_id", F.xxhash64("text").alias("row"), "text"), run, f"doc_id {kind}, row bigint, " + ", ".join(f"{n} bigint" for n in names), limit=1 << 20))
-    node = F.xxhash64(*names)
-    distinct = checkpointed(prints.groupBy(*names).agg(F.min("doc_id").alias("first")).withColumn("node", node))
-    index = None
-    for k in range(len(INDEX_SEEDS)):
-        own = distinct.select("node", F.lit(k).alias("t"), F.col(f"f{k}").alias("f"), *names[len(INDEX_SEEDS) :])
-        index = own if index is None else index.unionByName(own)
-    found = components(links(index, names[len(INDEX_SEEDS) :], VERIFY_MOST))
-    named = _named(distinct.select("node", "first"), found, "node")
-    return prints.select("doc_id", "row", node.alias("node")).join(named, "node", "left").select("doc_id", "row", "component_id")
+    prints = checkpointed(batches.map_slices(docs.select("doc_id", F.xxhash64("text").alias("row"), "text"), run, f"doc_id {kind}, row bigint, node bigint, n bigint, keys array<bigint>", limit=1 << 20))
+    distinct = checkpointed(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "row")).alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    named = _named(distinct.select("node", "first"), near_links(docs, distinct), "node")
+    return prints.select("doc_id", "row", "node").join(named, "node", "left").select("doc_id", "row", "component_id")

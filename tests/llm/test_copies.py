@@ -115,6 +115,45 @@ def test_near_copies_of_the_pipeline(spark):
     assert all(found[c] == c for _, _, c in groups)
 
 
+def shingles(text: str) -> set:
+    w = text.lower().split()
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)}
+
+
+def jaccard(a: str, b: str) -> float:
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
+
+
+def found_pairs(spark, pairs):
+    rows = [(2 * k + side, text) for k, pair in enumerate(pairs) for side, text in enumerate(pair)]
+    found = {x.doc_id: x.component_id for x in simhash.duplicates(cases.documents(spark, rows)).collect()}
+    return [found[2 * k] == found[2 * k + 1] for k in range(len(pairs))]
+
+
+def border_pairs(r: random.Random, low: float, high: float, each: int = 100) -> dict[str, list[tuple[str, str]]]:
+    """Pairs with a similarity in [low, high), one text edited by words replaced, text appended or its end cut."""
+    made: dict = {"replace": [], "append": [], "cut": []}
+    while min(map(len, made.values())) < each:
+        kind = r.choice([k for k in made if len(made[k]) < each])
+        w = [f"t{r.randrange(5000)}" for _ in range(r.randint(80, 400))]
+        if kind == "replace":
+            other = edited(w, r, r.randint(1, len(w) // 15))
+        elif kind == "append":
+            other = " ".join(w + [f"u{r.randrange(5000)}" for _ in range(r.randint(1, len(w) // 2))])
+        else:
+            other = " ".join(w[: r.randint(len(w) // 2, len(w) - 1)])
+        if low <= jaccard(" ".join(w), other) < high:
+            made[kind].append((" ".join(w), other))
+    return made
+
+
+def test_near_copies_at_the_border_are_found_by_every_edit(spark):
+    """At least 99 of 100 of each kind; brute force decides what is near."""
+    for pairs in border_pairs(random.Random(11), 0.8, 0.84).values():
+        assert sum(found_pairs(spark, pairs)) >= 99
+
+
 def test_line_chunks_equal_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{cases.DATA}/documents.parquet'")
