@@ -85,6 +85,43 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     return split.select(*(kept.alias(c) if c == "text" else c for c in keep), n_lines.alias("n_lines"), n_removed.alias("n_removed"))
 
 
+#: Ends a line, but within a run of empty lines.
+UNIT_END = r"(?<!\n)\n|\n(?!\n)"
+
+
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """doc_id, _row and start of every two lines in a row, one not blank, that stood before, in the order of doc_id, text hash, line.
+
+    Empty lines in a row between others count as one line here. A passage of any length that stood before is a run of such pairs from its first line to its last. Pairs are equal
+    if 128 bits of their hash are; repeated rows with the same id and text count once.
+    """
+    lines = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("_row"), F.split("text", UNIT_END, -1).alias("_lines")).where(F.size("_lines") > 1)
+    at = F.sequence(F.lit(1), F.size("_lines") - 1)
+    every = lines.select("doc_id", "_row", F.explode(F.transform(at, lambda i: F.struct(i.alias("start"), F.array_join(F.slice("_lines", i, 2), "\n").alias("two")))).alias("p"))
+    every = every.where(F.col("p.two").rlike(r"\S")).select("doc_id", "_row", "p.start", F.unhex(F.md5(F.col("p.two").cast("binary"))).alias("h"))
+    place = F.struct("doc_id", "_row", "start")
+    firsts = checkpointed(every.groupBy("h").agg(F.count("*").alias("count"), F.min(place).alias("first")).where("count > 1").drop("count"))
+    return every.join(firsts, "h").where(~place.eqNullSafe(F.col("first"))).select("doc_id", "_row", "start").distinct()
+
+
+def without_passages(docs: DataFrame) -> DataFrame:
+    """docs without the lines of repeated_passages(), and n_lines and n_removed as in deduplicated().
+
+    Every line's text stays where it stands first.
+    """
+    keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    gone = repeated_passages(docs).groupBy(F.col("doc_id").alias("_doc_id"), F.col("_row").alias("_gone_row")).agg(F.collect_list("start").alias("_starts"))
+    lined = docs.select(*keep, F.xxhash64("text").alias("_row"))
+    joined = lined.join(gone, lined["doc_id"].eqNullSafe(gone["_doc_id"]) & (lined["_row"] == gone["_gone_row"]), "left").withColumn("_lines", F.split("text", UNIT_END, -1))
+    own = F.array_distinct(F.concat("_starts", F.transform("_starts", lambda x: x + 1)))
+    rest = F.transform(F.array_except(F.sequence(F.lit(1), F.size("_lines")), own), lambda i: F.element_at("_lines", i))
+    kept = F.when(F.col("_starts").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
+    every = F.size(F.split("text", "\n", -1))
+    n_removed = F.when(F.col("_starts").isNull(), F.lit(0)).otherwise(every - F.when(F.size(rest) > 0, F.size(F.split(kept, "\n", -1))).otherwise(0)).cast("bigint")
+    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(every).cast("bigint")
+    return joined.select(*(kept.alias(c) if c == "text" else c for c in keep), n_lines.alias("n_lines"), n_removed.alias("n_removed"))
+
+
 #: The same result in DuckDB's SQL, chunks compared as texts.
 SQL = f"""
 WITH lines AS (

@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from docaudit.llm import line_chunks, queries, simhash, weighted_sampling
 from docaudit.llm.components import components
 
@@ -184,6 +185,30 @@ def test_long_repeated_passages_of_lines_go(spark):
         assert left[k].n_removed >= 60 and f"own {k} 0" in left[k].text and f"end {k}" in left[k].text
 
 
+def test_passages_of_two_or_more_lines_go_whole(spark):
+    """Against brute force: passages of 2 to 20 lines with blank lines and equal lines, planted in later documents."""
+    r = random.Random(17)
+    passages = [[r.choice(["", "same", f"p{k} {i}", f"p{k} {i}"]) if 0 < i < n - 1 else f"p{k} {i}" for i in range(n)] for k, n in enumerate(range(2, 21))]
+    rows = [(k, "\n".join(p)) for k, p in enumerate(passages)]
+    rows += [(100 + k, "\n".join([f"own {k}", *p, f"end {k}"])) for k, p in enumerate(passages)]
+    rows += [(200, None), (201, ""), (202, "a\na\na\na"), (203, "a"), (None, "x\ny"), (204, "x\ny\nz"), (205, "z")]
+    docs = cases.documents(spark, rows)
+    left = {x.doc_id: x for x in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
+    for k, p in enumerate(passages):
+        assert left[100 + k].text == f"own {k}\nend {k}" and left[100 + k].n_chars == len(left[100 + k].text)
+    seen: set = set()
+    for d, text in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0)):
+        lines = [] if text is None else re.split(line_chunks.UNIT_END, text)
+        gone = set()
+        for i in range(len(lines) - 1):
+            two = (lines[i], lines[i + 1])
+            if (two[0] + two[1]).strip() and two in seen:
+                gone |= {i, i + 1}
+            seen.add(two)
+        want = [x for i, x in enumerate(lines) if i not in gone]
+        assert (left[d].text if d in left else "") == (None if text is None else "\n".join(want))
+
+
 def test_same_hash_of_different_chunks_is_told_apart(spark, monkeypatch):
     own = line_chunks.chunks
     monkeypatch.setattr(line_chunks, "chunks", lambda docs: own(docs).withColumn("h", F.lit(1).cast("bigint")))
