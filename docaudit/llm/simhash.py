@@ -238,7 +238,7 @@ def _named(distinct: DataFrame, roots: DataFrame, key: str) -> DataFrame:
 
 
 #: The pipeline's rule: sets of five-word shingles with a Jaccard similarity of 4/5 or more. MinHashes in BANDS keys of
-#: ROWS each give the candidates: a pair at 0.8 shares no key once in 13,000 times, one at 0.85 once in 500,000.
+#: ROWS each give the candidates: a pair at 0.8 shares no key once in 13,000 times, one at 0.85 once in 1.3 million.
 #: The sets themselves verify.
 NEAR_SHINGLE = 5
 BANDS = 24
