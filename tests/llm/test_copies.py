@@ -155,6 +155,12 @@ def test_near_copies_at_the_border_are_found_by_every_edit(spark):
         assert sum(found_pairs(spark, pairs)) >= 99
 
 
+def test_pairs_below_the_border_stay_apart(spark):
+    """Brute force decides; most are close enough to be candidates."""
+    pairs = sum(border_pairs(random.Random(12), 0.7, 0.8, each=40).values(), [])
+    assert not any(found_pairs(spark, pairs))
+
+
 def test_line_chunks_equal_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{cases.DATA}/documents.parquet'")
