@@ -56,3 +56,11 @@ def strings(data: np.ndarray, offsets: np.ndarray) -> list[str]:
 
 def record(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], names=list(columns))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

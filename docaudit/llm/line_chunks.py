@@ -97,7 +97,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     """
     lines = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("_row"), F.split("text", UNIT_END, -1).alias("_lines")).where(F.size("_lines") > 1)
     at = F.sequence(F.lit(1), F.size("_lines") - 1)
-    every = lines.select("doc_id", "_row", F.explode(F.transform(at, lambda i: F.struct(i.alias("start"), F.array_join(F.slice("_lines", i, 2), "\n").alias("two")))).alias("p"))
+    every = lines.select("doc_id", "_row", F.explode(F.transform(at, lambda i: F.struct(i.alias("start"), F.concat(F.element_at("_lines", i), F.lit("\n"), F.element_at("_lines", i + 1)).alias("two")))).alias("p"))
     every = every.where(F.col("p.two").rlike(r"\S")).select("doc_id", "_row", "p.start", F.unhex(F.md5(F.col("p.two").cast("binary"))).alias("h"))
     place = F.struct("doc_id", "_row", "start")
     firsts = checkpointed(every.groupBy("h").agg(F.count("*").alias("count"), F.min(place).alias("first")).where("count > 1").drop("count"))

@@ -244,10 +244,8 @@ NEAR_SHINGLE = 5
 BANDS = 24
 ROWS = 5
 _FACTORS = words.mixed(np.arange(1, BANDS * ROWS + 1, dtype=U64)) | U64(1)
-#: Keys of so many nodes or fewer have all their pairs compared; in larger ones pivots are compared with the rest first.
-SMALL_KEY = 8
-#: Rounds of pivots, after which what is left unconnected within a key is compared pair by pair.
-PIVOT_ROUNDS = 6
+#: Nodes of a block; two blocks at most meet in a task.
+BLOCK = 256
 #: So many candidates' document ids are sent to the tasks that read their texts; more are joined.
 BROADCAST_NODES = 500_000
 
@@ -288,9 +286,8 @@ def set_prints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return node, counts, keys
 
 
-def _sets(docs: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
-    """node and s (the shingle set) of all nodes in the pairs, read from one document of each."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+def _sets(docs: DataFrame, distinct: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and s (the shingle set) of all given nodes, read from one document of each."""
     wanted = checkpointed(distinct.join(nodes, "node", "left_semi").select("node", F.col("rep.doc_id").alias("_id"), F.col("rep.row").alias("_own")))
     few = wanted.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
     rows = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
@@ -301,57 +298,111 @@ def _sets(docs: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
         ends = np.r_[0, np.cumsum(counts)].astype(np.int32)
         return batches.record(node=part.column(part.schema.get_field_index("node")), s=pa.ListArray.from_arrays(pa.array(ends), pa.array(grams.view(np.int64))))
 
-    return batches.map_slices(texts, run, "node bigint, s array<bigint>", limit=1 << 20).groupBy("node").agg(F.first("s").alias("s"))
+    # Repeated rows give a set more than once.
+    return checkpointed(batches.map_slices(texts, run, "node bigint, s array<bigint>", limit=1 << 20).groupBy("node").agg(F.first("s").alias("s")))
 
 
-def _verified(docs: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose shingle sets have a similarity of 4/5 or more."""
-    sets = _sets(docs, distinct, pairs)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     return checkpointed(both.where(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b"))
 
 
-def _pairs(x: DataFrame, y: DataFrame) -> DataFrame:
-    """Pairs (a, b) of the nodes of x and y with the same key, in different components, whose sizes allow 4/5."""
-    other = y.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
-    met = x.join(other, "key").where("c != d AND 5 * least(n, m) >= 4 * greatest(n, m)")
-    return met.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-
-
-def near_links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """node and root of the components over all verified pairs that share a key.
-
-    distinct: node, rep (doc_id and row of one document), n, keys. No key's nodes are gathered: a large key's pivot is
-    compared with the rest, then what is not yet in one component, the pivot being a node that links reached before.
+def _first_links(member: DataFrame, sets: DataFrame) -> DataFrame:
+    """Verified links between each node and one other: in its largest key, the node that has most company over all keys."""
+    company = member.groupBy("node").agg(F.sum("many").alias("company"), F.max(F.struct("many", "key")).alias("own"))
+    company = checkpointed(company.select("node", "company", F.col("own.key").alias("key")))
+    pivots = member.join(company.select("node", "company"), "node").groupBy("key").agg(F.max(F.struct("company", "node")).alias("p"))
+    pairs = company.select("node", "key").join(pivots.select("key", F.col("p.node").alias("b")), "key").where("node != b")
+    return _verified(sets, checkpointed(pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()))
+
+
+def _joined(comps: np.ndarray, outside: np.ndarray, nodes: np.ndarray, sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """Links that join the components of one group as far as its outside nodes' sets allow: a forest, not all pairs."""
+    sizes = np.array([len(x) for x in sets])
+    _, comp = np.unique(comps, return_inverse=True)
+    _, gram = np.unique(np.concatenate(sets), return_inverse=True)
+    at = np.cumsum(sizes) - sizes
+    mark = np.zeros(int(gram.max()) + 1, bool)
+    a, b = [], []
+    for x in np.flatnonzero(outside).tolist():
+        open_ = (comp != comp[x]) & (5 * np.minimum(sizes, sizes[x]) >= 4 * np.maximum(sizes, sizes[x]))
+        if not open_.any():
+            continue
+        own = gram[at[x] : at[x] + sizes[x]]
+        mark[own] = True
+        other = np.flatnonzero(open_)
+        if 2 * len(other) > len(sizes):
+            shared = np.add.reduceat(mark[gram].astype(np.int64), at)[other]
+        else:
+            shared = np.array([np.count_nonzero(mark[gram[at[y] : at[y] + sizes[y]]]) for y in other.tolist()])
+        mark[own] = False
+        near = other[9 * shared >= 4 * (sizes[other] + sizes[x])]
+        _, first = np.unique(comp[near], return_index=True)
+        for y in near[first].tolist():
+            a.append(int(nodes[x])), b.append(int(nodes[y]))
+            comp[comp == comp[y]] = comp[x]
+    return a, b
+
+
+def _rest_links(member: DataFrame, found: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+    """Links between components that meet in a key. Of each key, the nodes outside its largest component meet all others, in blocks."""
+    held = member.join(components(found), "node", "left").select("key", "node", F.coalesce("root", "node").alias("c"))
+    held = checkpointed(held)
+    counts = held.groupBy("key", "c").agg(F.count("*").alias("of"))
+    open_ = counts.groupBy("key").agg(F.max(F.struct("of", "c")).alias("top"), F.sum("of").alias("many"), F.count("*").alias("comps")).where("comps > 1")
+    turns = lambda n: F.ceil(n / block)
+    open_ = checkpointed(open_.select("key", F.col("top.c").alias("top"), turns(F.col("many")).alias("n_all"), turns(F.col("many") - F.col("top.of")).alias("n_out")))
+    rows = held.join(open_, "key").withColumn("outside", F.col("c") != F.col("top"))
+    every = lambda n: F.sequence(F.lit(0).cast("bigint"), n - 1)
+    place = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "node"), n)
+    meet = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    as_other = F.transform(every(F.col("n_out")), lambda i: meet(i, place(F.col("n_all"), 1)))
+    as_outside = F.transform(every(F.col("n_all")), lambda j: meet(place(F.col("n_out"), 2), j))
+    alone = (F.col("n_all") == 1) & F.col("outside")
+    other = rows.where(~alone).select("key", "node", "c", F.lit(False).alias("outside"), F.explode(as_other).alias("t"))
+    outside = rows.where("outside").select("key", "node", "c", "outside", F.explode(as_outside).alias("t"))
+    met = outside.unionByName(other).select("key", "t.i", "t.j", "node", "c", "outside")
+    dealt = met.join(sets, "node").select("key", "i", "j", "node", "c", "outside", "s").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+
+    def run(batches_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def answered(rows: list) -> pa.RecordBatch:
+            a, b = _joined(*(np.concatenate(x) for x in list(zip(*rows))[:3]), [s for r in rows for s in r[3]])
+            return batches.record(a=pa.array(a, pa.int64()), b=pa.array(b, pa.int64()))
+
+        group, last = [], None
+        for batch in batches_in:
+            if not batch.num_rows:
+                continue
+            turn = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
+            heads = np.flatnonzero(np.r_[True, (turn[1:] != turn[:-1]).any(1)]).tolist()
+            lists = batch.column(6)
+            grams, ends = lists.flatten().to_numpy(), np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
+            node, c, outside = batch.column(3).to_numpy(), batch.column(4).to_numpy(), batch.column(5).to_numpy(zero_copy_only=False)
+            for lo, hi in zip(heads, [*heads[1:], batch.num_rows]):
+                if group and tuple(turn[lo]) != last:
+                    yield answered(group)
+                    group = []
+                last = tuple(turn[lo])
+                group.append((c[lo:hi].copy(), outside[lo:hi].copy(), node[lo:hi].copy(), [grams[ends[k] : ends[k + 1]].copy() for k in range(lo, hi)]))
+        if group:
+            yield answered(group)
+
+    return checkpointed(dealt.mapInArrow(run, "a bigint, b bigint"))
+
+
+def near_links(docs: DataFrame, distinct: DataFrame, block: int = BLOCK) -> DataFrame:
+    """node and root of the components over all pairs that share a key and whose sets are near.
+
+    distinct: node, rep (doc_id and row of one document), keys. A first link for each node joins most of a group; what
+    stays apart within a key is compared in blocks, so that no key's nodes are gathered and no pair is listed.
     """
-    member = distinct.select("node", "n", F.explode("keys").alias("key"))
+    member = distinct.select("node", F.explode("keys").alias("key"))
     sizes = checkpointed(member.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"))
     member = checkpointed(member.join(sizes, "key"))
-    own = member.withColumn("c", F.col("node"))
-    small = own.where(F.col("many") <= SMALL_KEY).drop("many")
-    pairs = checkpointed(_pairs(small, small))
-    found = _verified(docs, distinct, pairs)
-    left = member.where(F.col("many") > SMALL_KEY).drop("many")
-    for nth in range(PIVOT_ROUNDS + 1):
-        roots = components(found)
-        if left.isEmpty():
-            return roots
-        # The largest component's nodes come first, so that a group around one text is found from any of its texts.
-        most = roots.groupBy("root").agg(F.count("*").alias("of"))
-        roots_of = checkpointed(roots.join(most, "root"))
-        held = left.join(roots_of, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("c"), F.coalesce("of", F.lit(1)).alias("of"))
-        held = checkpointed(held)
-        open_keys = held.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("key")
-        held = checkpointed(held.join(open_keys, "key", "left_semi"))
-        if held.isEmpty():
-            return roots
-        if nth == PIVOT_ROUNDS:
-            return components(found.unionByName(_verified(docs, distinct, checkpointed(_pairs(held, held)))))
-        place = F.struct(-F.col("of"), F.xxhash64(F.lit(nth), F.col("node")), "node", "n", "c")
-        pivots = checkpointed(held.groupBy("key").agg(F.min(place).alias("p")).select("key", "p.node", "p.n", "p.c"))
-        found = checkpointed(found.unionByName(_verified(docs, distinct, checkpointed(_pairs(held, pivots)))))
-        left = checkpointed(held.join(pivots.select("key", "node"), ["key", "node"], "left_anti").select("key", "node", "n"))
-    raise AssertionError("the last round returns")
+    sets = _sets(docs, distinct, member.select("node").distinct())
+    found = _first_links(member, sets)
+    return components(found.unionByName(_rest_links(member, found, sets, block)))
 
 
 def duplicates(docs: DataFrame) -> DataFrame:
@@ -369,6 +420,6 @@ def duplicates(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     prints = checkpointed(batches.map_slices(docs.select("doc_id", F.xxhash64("text").alias("row"), "text"), run, f"doc_id {kind}, row bigint, node bigint, n bigint, keys array<bigint>", limit=1 << 20))
-    distinct = checkpointed(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "row")).alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    distinct = checkpointed(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "row")).alias("rep"), F.first("keys").alias("keys")))
     named = _named(distinct.select("node", "first"), near_links(docs, distinct), "node")
     return prints.select("doc_id", "row", "node").join(named, "node", "left").select("doc_id", "row", "component_id")

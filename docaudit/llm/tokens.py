@@ -15,7 +15,7 @@ import numpy as np
 from docaudit.llm import words
 
 #: Pieces a worker remembers before it starts over.
-KNOWN_PIECES = 1_000_000
+KNOWN_PIECES = 200_000
 #: Byte classes: 0 white space, 1 letter, 2 digit, 3 other, 4 left to the tokenizer.
 CLASS = np.full(256, 3, np.uint8)
 CLASS[[0x20, *range(0x09, 0x0E)]] = 0
