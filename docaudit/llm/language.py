@@ -2,7 +2,7 @@
 
 For each language a suffix automaton of its labelled text knows every substring of that text. A document is parsed
 into phrases, each the longest match of the automaton from where the last one ended; the language that needs the
-fewest phrases per letter wins. The training text is bounded (``chars_per_language``); parsing covers whole texts.
+fewest phrases per letter wins. The training sample is a bounded number of whole rows; parsing covers whole texts.
 """
 
 from __future__ import annotations
@@ -14,16 +14,20 @@ from pyspark.sql import functions as F
 
 from docaudit.llm import batches
 
-#: Bounds of the training sample: rows for each language, letters kept of them, letters over all languages.
-ROWS_PER_LANGUAGE = 200
-CHARS_PER_LANGUAGE = 24_000
-CHARS_IN_ALL = 1_200_000
-#: Texts are parsed in lanes of this many code points, so that a long document is no long loop.
+#: Bounds of the training sample: rows for each language; longer rows than this, in bytes, are taken only where a
+#: language has no others, and then one. An automaton takes about 100 bytes a letter, in the broadcast and each worker.
+ROWS_PER_LANGUAGE = 16
+ROW_BYTES = 4096
+#: So many code points of a text are parsed side by side with the rest of it; results do not depend on it.
 LANE = 1024
 #: Documents with more phrases per letter than this in the best language are in none of the learned ones.
 WORST_RATE = 0.55
+#: Bytes of text parsed at once.
+SLICE_BYTES = 1 << 20
 
+COLUMNS = ("lang_pred", "score", "phrase_rate")
 SCHEMA = "lang_pred string, score double, phrase_rate double"
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def bucket(doc_id: Column, parts: int) -> Column:
@@ -31,14 +35,44 @@ def bucket(doc_id: Column, parts: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts, F.lit(0))
 
 
+def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """The edges of each state of the automaton that reads all substrings, from state 0."""
+    following, link, length = [{}], [-1], [0]
+    last = 0
+    for symbol in symbols:
+        state = len(following)
+        following.append({})
+        length.append(length[last] + 1)
+        link.append(0)
+        p = last
+        while p >= 0 and symbol not in following[p]:
+            following[p][symbol] = state
+            p = link[p]
+        if p >= 0:
+            q = following[p][symbol]
+            if length[q] == length[p] + 1:
+                link[state] = q
+            else:
+                copy = len(following)
+                following.append(dict(following[q]))
+                length.append(length[p] + 1)
+                link.append(link[q])
+                while p >= 0 and following[p].get(symbol) == q:
+                    following[p][symbol] = copy
+                    p = link[p]
+                link[q] = link[state] = copy
+        last = state
+    return following
+
+
 class Automata:
-    """The automata of all languages as dense tables; a negative entry ends a phrase and holds ~(next state)."""
+    """The automata of all languages, their edges in one hash table: memory grows with the letters, not with the alphabet."""
 
     def __init__(self, texts: dict[str, str]):
         #: In the order of `texts`: with equal rates the earlier language wins.
         self.languages = list(texts)
-        cleaned = {k: letters(texts[k]) for k in self.languages}
-        known = sorted(set("".join(cleaned.values())) - {" "})
+        cleaned = [letters(texts[k]) for k in self.languages]
+        known = sorted(set("".join(cleaned)) - {" "})
         #: 0: space and all that is no letter; 1: a letter that no language has.
         self.symbols = 2 + len(known)
         top = max(map(ord, known), default=0) + 1
@@ -48,42 +82,49 @@ class Automata:
                 self.codes[c] = 0
         for k, c in enumerate(known):
             self.codes[ord(c)] = 2 + k
-        self.tables = [self._table(cleaned[k]) for k in self.languages]
-
-    def _table(self, text: str) -> np.ndarray:
-        following, link, length = [{}], [-1], [0]
-        last = 0
-        for symbol in self.encode(text).tolist():
-            state = len(following)
-            following.append({})
-            length.append(length[last] + 1)
-            link.append(0)
-            p = last
-            while p >= 0 and symbol not in following[p]:
-                following[p][symbol] = state
-                p = link[p]
-            if p >= 0:
-                q = following[p][symbol]
-                if length[q] == length[p] + 1:
-                    link[state] = q
-                else:
-                    copy = len(following)
-                    following.append(dict(following[q]))
-                    length.append(length[p] + 1)
-                    link.append(link[q])
-                    while p >= 0 and following[p].get(symbol) == q:
-                        following[p][symbol] = copy
-                        p = link[p]
-                    link[q] = link[state] = copy
-            last = state
-        root = np.zeros(self.symbols, np.int32)
-        for symbol, to in following[0].items():
-            root[symbol] = to
-        table = np.repeat(~(root * self.symbols)[None], len(following), axis=0)
-        for state, edges in enumerate(following):
-            if edges:
-                table[state, list(edges)] = np.fromiter(edges.values(), np.int32) * self.symbols
-        return table.reshape(-1)
+        #: The state in which a language's texts begin, and that behind each symbol where a phrase begins with it.
+        self.begin, self.roots = np.zeros(len(cleaned), np.int32), np.zeros((len(cleaned), self.symbols), np.int32)
+        keys, values, at = [], [], 0
+        for k, text in enumerate(cleaned):
+            following = suffix_automaton(self.encode(text).tolist())
+            self.begin[k] = self.roots[k] = at
+            for symbol, to in following[0].items():
+                self.roots[k, symbol] = at + to
+            for state, edges in enumerate(following):
+                keys += [(at + state) * self.symbols + symbol for symbol in edges]
+                values += [at + to for to in edges.values()]
+            at += len(following)
+        self._fill(np.array(keys, np.int64), np.array(values, np.int32))
+
+    def _fill(self, keys: np.ndarray, values: np.ndarray) -> None:
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        slot = self._slot(keys)
+        left = np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[slot[left]] < 0]
+            self.keys[slot[free]] = keys[free]
+            done = self.keys[slot[left]] == keys[left]
+            self.values[slot[left[done]]] = values[left[done]]
+            left = left[~done]
+            slot[left] = (slot[left] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * _SPREAD) >> self.shift).astype(np.int64)
+
+    def step(self, states: np.ndarray, symbols: np.ndarray, language: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after a symbol each, and where a phrase had to begin with it."""
+        keys = states.astype(np.int64) * self.symbols + symbols
+        slot = self._slot(keys)
+        there = self.keys[slot]
+        odd = np.flatnonzero((there != keys) & (there >= 0))
+        while len(odd):
+            slot[odd] = (slot[odd] + 1) & self.mask
+            there[odd] = self.keys[slot[odd]]
+            odd = odd[(there[odd] != keys[odd]) & (there[odd] >= 0)]
+        fail = there != keys
+        return np.where(fail, self.roots[language, symbols], self.values[slot]), fail
 
     def encode(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -92,42 +133,66 @@ class Automata:
             out[points == c] = int(chr(c).isalpha())
         return out
 
-    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def phrases(self, texts: list[str], lane: int = LANE) -> tuple[np.ndarray, np.ndarray]:
         """Phrases that each language needs for each text, and the letters and gaps parsed of each."""
-        codes, sizes = [], []
+        codes = []
         for text in texts:
             own = self.encode(text.lower())
             # One gap between two words, whatever stood there.
             gap = own == 0
             own = own[~(gap & np.r_[True, gap[:-1]])] if len(own) else own
-            own = own[:-1] if len(own) and own[-1] == 0 else own
-            codes.append(own)
-            sizes.append(len(own))
-        sizes = np.array(sizes, np.int64)
-        flat = np.concatenate(codes) if codes else np.zeros(0, np.int32)
-        lanes = np.maximum(-(-sizes // LANE), 0)
-        owner = np.repeat(np.arange(len(texts)), lanes)
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
-        starts = np.repeat(np.cumsum(sizes) - sizes, lanes) + nth * LANE
-        lengths = np.minimum(LANE, np.repeat(sizes, lanes) - nth * LANE)
-        order = np.argsort(-lengths, kind="stable")
-        at, left = starts[order], lengths[order]
-        longest = int(left[0]) if len(left) else 0
-        active = np.searchsorted(-left, -np.arange(longest), "left")
-        counts = np.zeros((len(texts), len(self.tables)))
-        states = [np.zeros(len(order), np.int32) for _ in self.tables]
-        ended = [np.ones(len(order), np.int32) for _ in self.tables]
-        for t in range(longest):
-            n = active[t]
-            symbols = flat[at[:n] + t]
-            for table, state, count in zip(self.tables, states, ended):
-                to = table[state[:n] + symbols]
-                fail = to >> 31
-                state[:n] = to ^ fail
-                count[:n] -= fail
-        for k, count in enumerate(ended):
-            counts[:, k] = np.bincount(owner[order], weights=count, minlength=len(texts))
-        return counts, sizes
+            codes.append(own[:-1] if len(own) and own[-1] == 0 else own)
+        sizes = np.array([len(x) for x in codes], np.int64)
+        counts = np.zeros((len(texts), len(self.languages)))
+        if not sizes.sum() or not self.languages:
+            return counts, sizes
+        fails = self._fails(np.concatenate(codes), sizes, lane)
+        total = np.concatenate([np.zeros((len(fails), 1), np.int64), np.cumsum(fails, axis=1, dtype=np.int64)], axis=1)
+        ends = np.cumsum(sizes)
+        return (total[:, ends] - total[:, ends - sizes] + (sizes > 0)).T.astype(np.float64), sizes
+
+    def _fails(self, flat: np.ndarray, sizes: np.ndarray, lane: int) -> np.ndarray:
+        """For each language and symbol whether the phrase before it ends there.
+
+        Texts are cut into lanes that are read side by side, each as if a text began with it. Then each lane is read
+        again from the state in which the one before ended, until the states are those of the first reading, and so on
+        until no lane's last state changes.
+        """
+        many = -(-sizes // lane)
+        nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        starts = np.repeat(np.cumsum(sizes) - sizes, many) + nth * lane
+        lengths = np.minimum(lane, np.repeat(sizes, many) - nth * lane)
+        states = np.zeros((len(self.languages), len(flat)), np.int32)
+        fails = np.zeros((len(self.languages), len(flat)), bool)
+        language, k = np.divmod(np.arange(len(self.languages) * len(starts)), len(starts))
+        state, first = self.begin[language], True
+        while len(k):
+            live, at, end = np.arange(len(k)), starts[k].copy(), (starts + lengths)[k]
+            own_state = state
+            changed = np.zeros(len(k), bool)
+            while len(live):
+                x = at[live]
+                own_state, fail = self.step(own_state, flat[x], language[live])
+                old = states[language[live], x]
+                states[language[live], x] = own_state
+                fails[language[live], x] = fail
+                at[live] = x + 1
+                going = at[live] < end[live]
+                if not first:
+                    differ = own_state != old
+                    changed[live[~going & differ]] = True
+                    going &= differ
+                if not going.all():
+                    live, own_state = live[going], own_state[going]
+            # The lanes behind those that ended otherwise than before.
+            again = np.ones(len(k), bool) if first else changed
+            again &= k + 1 < len(starts)
+            language, k = language[again], k[again] + 1
+            inside = nth[k] > 0
+            language, k = language[inside], k[inside]
+            state = states[language, starts[k] - 1]
+            first = False
+        return fails
 
 
 def letters(text: str) -> str:
@@ -135,50 +200,44 @@ def letters(text: str) -> str:
     return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
 
 
-def training_rows(docs: DataFrame, learn: Column, rows: int = ROWS_PER_LANGUAGE) -> dict[str, str]:
-    """Bounded labelled text of each language, the language with most labelled rows first.
+def training_rows(docs: DataFrame, learn: Column, rows: int = ROWS_PER_LANGUAGE, row_bytes: int = ROW_BYTES) -> dict[str, str]:
+    """Labelled text of each language, the language with most labelled rows first.
 
-    Whole rows in the order of a hash of their ids, until the bound on letters is met.
+    Whole rows, up to `rows` different ones of at most `row_bytes` bytes, in the order of a hash of their ids; a
+    language that has only longer ones gives its shortest.
     """
     labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    ids = labelled.select("lang", "doc_id", F.xxhash64("doc_id").alias("place"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
-    chosen = [r.doc_id for r in ids.withColumn("nth", nth).where(F.col("nth") <= rows).select("doc_id").collect()]
-    if not chosen:
-        return {}
-    found = labelled.where(F.col("doc_id").isin(chosen)).select("lang", "doc_id", "text", F.xxhash64("doc_id").alias("place"))
-    table = found.toPandas().sort_values(["lang", "place", "doc_id", "text"]).drop_duplicates(["lang", "doc_id"])
-    each = min(CHARS_PER_LANGUAGE, CHARS_IN_ALL // max(1, table.lang.nunique()))
-    out, parts = {}, dict(list(table.groupby("lang")))
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    for language in sorted(parts, key=lambda x: (-counts[x], x)):
-        own = parts[language]
-        text = ""
-        for x in own.text:
-            if len(text) >= each:
-                break
-            text += " " + letters(x)[: each - len(text)]
-        if text.strip():
-            out[language] = text
-    return out
+    labelled = labelled.select("lang", "doc_id", "text", F.xxhash64("text").alias("row"))
+    long = F.octet_length("text") > row_bytes
+    place = F.struct(long.alias("long"), F.when(long, F.octet_length("text")).alias("size"), F.xxhash64("doc_id").alias("hash"), "doc_id", "row")
+    ids = labelled.select("lang", place.alias("place")).distinct()
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+    chosen = ids.withColumn("nth", nth).where((F.col("nth") <= rows) & (~F.col("place.long") | (F.col("nth") == 1)))
+    chosen = chosen.select(F.col("lang").alias("_lang"), F.col("place.doc_id").alias("_id"), F.col("place.row").alias("_row"), "nth")
+    # A bounded number of rows for each language, of bounded bytes.
+    met = (F.col("lang") == F.col("_lang")) & (F.col("doc_id") == F.col("_id")) & (F.col("row") == F.col("_row"))
+    table = labelled.join(F.broadcast(chosen), met).select("lang", "nth", "text").toPandas().sort_values(["lang", "nth"]).drop_duplicates(["lang", "nth"])
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()} if len(table) else {}
+    made = {language: " ".join(letters(x) for x in own.text) for language, own in table.groupby("lang")}
+    return {k: made[k] for k in sorted(made, key=lambda x: (-counts[x], x)) if made[k].strip()}
 
 
 def identify(docs: DataFrame, texts: dict[str, str], keep: list[str] | None = None) -> DataFrame:
-    """Adds lang_pred, score and phrase_rate to the kept columns of docs.
+    """Adds lang_pred, score and phrase_rate to the kept columns of docs; columns with these names are replaced.
 
     A null text or one without a letter is `und` with score 0. With equal rates the language with more labelled rows wins.
     Score is the runner-up's rate against the sum of both: 0.5 for a tie, towards 1 the clearer. An empty table
     gives an empty table; repeated rows are each answered. phrase_rate is of the phrases after the first.
     """
-    keep = keep if keep is not None else docs.columns
-    rows = docs.select(*{*keep, "text"})
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in COLUMNS]
+    rows = docs.select(*dict.fromkeys([*keep, "text"]))
     model = docs.sparkSession.sparkContext.broadcast(Automata(texts))
 
     def run(part, data, offsets):
         automata = model.value
-        counts, sizes = automata.phrases(batches.strings(data, offsets))
-        lettered = np.array([any(c.isalpha() for c in x) for x in batches.strings(data, offsets)], bool)
-        known = lettered & (len(automata.languages) > 0)
+        found = batches.strings(data, offsets)
+        counts, sizes = automata.phrases(found)
+        known = np.array([any(c.isalpha() for c in x) for x in found], bool) & (len(automata.languages) > 0)
         languages, scores, rates = [], np.zeros(len(sizes)), np.ones(len(sizes))
         for k, row in enumerate(counts):
             if not known[k]:
@@ -189,10 +248,22 @@ def identify(docs: DataFrame, texts: dict[str, str], keep: list[str] | None = No
             rates[k] = (row[order[0]] - 1) / max(1, sizes[k])
             scores[k] = row[order[1]] / (row[order[0]] + row[order[1]]) if len(row) > 1 else 1.0
         out = [part.column(part.schema.get_field_index(c)) for c in keep]
-        return pa.RecordBatch.from_arrays([*out, pa.array(languages, pa.string()), pa.array(scores), pa.array(rates)], names=[*keep, "lang_pred", "score", "phrase_rate"])
+        return pa.RecordBatch.from_arrays([*out, pa.array(languages, pa.string()), pa.array(scores), pa.array(rates)], names=[*keep, *COLUMNS])
+
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
+    return batches.map_slices(rows, run, ", ".join([*schema, SCHEMA]), limit=SLICE_BYTES)
+
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return batches.map_slices(rows, run, f"{schema}, {SCHEMA}")
+def known_languages(docs: DataFrame, worst: float = WORST_RATE) -> DataFrame:
+    """The documents with a letter that a learned language parses, all columns as they were but for a missing lang, which is filled in.
+
+    Labels are learned as in train(). Repeated rows each stay or go; an empty table stays empty.
+    """
+    clashing = {c: batches.free_name(docs, f"own_{c}") for c in COLUMNS if c in docs.columns}
+    own = docs.withColumnsRenamed(clashing)
+    found = identify(own, train(docs))
+    known = found.where((F.col("lang_pred") != "und") & (F.col("phrase_rate") <= worst))
+    return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*own.columns).toDF(*docs.columns)
 
 
 def train(docs: DataFrame) -> dict[str, str]:

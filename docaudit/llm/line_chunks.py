@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docaudit.llm import batches
 from docaudit.session import checkpointed
 
 #: A chunk ends at one line in so many.
@@ -18,7 +19,6 @@ MEAN_LINES = 4
 FACTOR = 31
 
 
-
 def _line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 8), 16, 10).cast("bigint")
 
@@ -37,7 +37,8 @@ def chunks(docs: DataFrame) -> DataFrame:
     start = lambda k: F.when(k > 0, F.element_at("_ends", F.greatest(k, F.lit(1))) + 1).otherwise(F.lit(1))
     spans = F.transform("_ends", lambda e, k: F.struct(start(k).alias("start"), (e - start(k) + 1).alias("n")))
     several = F.filter(spans, lambda s: s["n"] > 1)
-    cut = ended.select("doc_id", "_row", "_lines", F.explode(several).alias("s"))
+    # Not explode(): the filter on an empty list that it brings splits the text anew for each line.
+    cut = ended.select("doc_id", "_row", "_lines", F.explode_outer(several).alias("s")).where("s IS NOT NULL")
     text = F.array_join(F.slice("_lines", F.col("s.start"), F.col("s.n")), "\n")
     return cut.select("doc_id", "_row", "s.start", "s.n", text.alias("chunk")).withColumn("h", F.xxhash64("chunk"))
 
@@ -62,6 +63,26 @@ def repeated(docs: DataFrame) -> DataFrame:
     return out
 
 
+def _with_spans(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, Column]:
+    """docs beside the array `gone` that `found` has for doc_id and _row, and that array's column."""
+    text_hash, id_, row, gone = (batches.free_name(docs, c) for c in ("text_hash", "of_id", "of_row", "gone"))
+    found = found.select(F.col("doc_id").alias(id_), F.col("_row").alias(row), F.col("gone").alias(gone))
+    keyed = docs.withColumn(text_hash, F.xxhash64("text"))
+    joined = keyed.join(found, keyed["doc_id"].eqNullSafe(found[id_]) & (keyed[text_hash] == found[row]), "left")
+    return joined, F.col(gone)
+
+
+def _computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once a row: what is filtered or used later does not compute them again."""
+    held = batches.free_name(df, "held")
+    made = df.select("*", F.explode_outer(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))).alias(held))
+    return made.select(*df.columns, *(F.col(held)[k].alias(k) for k in columns))
+
+
+def _n_lines(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with repeated chunks cut out of text, and n_lines and n_removed.
 
@@ -70,35 +91,38 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     n_removed of the input are replaced.
     """
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    gone = repeated(docs).distinct().groupBy("doc_id", "_row").agg(F.array_sort(F.collect_list(F.struct("start", "n"))).alias("gone"))
-    gone = gone.withColumnsRenamed({"doc_id": "_doc_id", "_row": "_gone_row"})
-    lined = docs.select(*keep, F.xxhash64("text").alias("_row"))
-    joined = lined.join(gone, lined["doc_id"].eqNullSafe(gone["_doc_id"]) & (lined["_row"] == gone["_gone_row"]), "left")
-    split = joined.withColumn("_lines", F.split("text", "\n", -1))
+    spans = repeated(docs).distinct().groupBy("doc_id", "_row").agg(F.array_sort(F.collect_list(F.struct("start", "n"))).alias("gone"))
+    joined, gone = _with_spans(docs.select(*keep), spans)
+    lines_, kept_ = batches.free_name(joined, "lines"), batches.free_name(joined, "kept")
+    split = _computed(joined, **{lines_: F.when(gone.isNotNull(), F.split("text", "\n", -1))})
     # What stands before each chunk that goes, and behind the last.
-    begin = lambda k: F.when(k > 0, F.element_at("gone", F.greatest(k, F.lit(1)))["start"] + F.element_at("gone", F.greatest(k, F.lit(1)))["n"]).otherwise(F.lit(1))
-    until = lambda k: F.when(k < F.size("gone"), F.element_at("gone", F.least(k + 1, F.size("gone")))["start"]).otherwise(F.size("_lines") + 1)
-    rest = F.flatten(F.transform(F.sequence(F.lit(0), F.size("gone")), lambda k: F.slice("_lines", begin(k), until(k) - begin(k))))
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
-    n_removed = F.coalesce(F.aggregate("gone", F.lit(0), lambda s, x: s + x["n"]), F.lit(0)).cast("bigint")
-    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("_lines")).cast("bigint")
-    return split.select(*(kept.alias(c) if c == "text" else c for c in keep), n_lines.alias("n_lines"), n_removed.alias("n_removed"))
+    nth = lambda k: F.element_at(gone, F.greatest(k, F.lit(1)))
+    begin = lambda k: F.when(k > 0, nth(k)["start"] + nth(k)["n"]).otherwise(F.lit(1))
+    until = lambda k: F.when(k < F.size(gone), F.element_at(gone, F.least(k + 1, F.size(gone)))["start"]).otherwise(F.size(lines_) + 1)
+    rest = F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), lambda k: F.slice(lines_, begin(k), until(k) - begin(k))))
+    cut = _computed(split, **{kept_: F.when(gone.isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))})
+    n_removed = F.coalesce(F.aggregate(gone, F.lit(0), lambda s, x: s + x["n"]), F.lit(0)).cast("bigint")
+    n_lines = F.coalesce(_n_lines(F.col("text")), F.lit(0)).cast("bigint")
+    return cut.select(*(F.col(kept_).alias(c) if c == "text" else F.col(c) for c in keep), n_lines.alias("n_lines"), n_removed.alias("n_removed"))
 
 
 #: Ends a line, but within a run of empty lines.
-UNIT_END = r"(?<!\n)\n|\n(?!\n)"
+UNIT_END = r"\n(?:(?<!\n\n)|(?!\n))"
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """doc_id, _row and start of every two lines in a row, one not blank, that stood before, in the order of doc_id, text hash, line.
 
-    Empty lines in a row between others count as one line here. A passage of any length that stood before is a run of such pairs from its first line to its last. Pairs are equal
-    if 128 bits of their hash are; repeated rows with the same id and text count once.
+    Empty lines in a row between others count as one line here. A passage of any length that stood before is a run of
+    such pairs from its first line to its last. Pairs are equal if 128 bits of their hash are; repeated rows with the
+    same id and text count once.
     """
-    lines = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("_row"), F.split("text", UNIT_END, -1).alias("_lines")).where(F.size("_lines") > 1)
+    lines = docs.where(F.contains("text", F.lit("\n"))).select("doc_id", F.xxhash64("text").alias("_row"), F.split("text", UNIT_END, -1).alias("_lines"))
     at = F.sequence(F.lit(1), F.size("_lines") - 1)
-    every = lines.select("doc_id", "_row", F.explode(F.transform(at, lambda i: F.struct(i.alias("start"), F.concat(F.element_at("_lines", i), F.lit("\n"), F.element_at("_lines", i + 1)).alias("two")))).alias("p"))
-    every = every.where(F.col("p.two").rlike(r"\S")).select("doc_id", "_row", "p.start", F.unhex(F.md5(F.col("p.two").cast("binary"))).alias("h"))
+    # Not explode(): the filter on an empty list that it brings splits the text anew for each line.
+    pairs = F.transform(at, lambda i: F.struct(i.alias("start"), F.concat(F.element_at("_lines", i), F.lit("\n"), F.element_at("_lines", i + 1)).alias("two")))
+    every = lines.select("doc_id", "_row", F.explode_outer(pairs).alias("p")).where(F.col("p.two").rlike(r"\S"))
+    every = every.select("doc_id", "_row", "p.start", F.unhex(F.md5(F.col("p.two").cast("binary"))).alias("h"))
     place = F.struct("doc_id", "_row", "start")
     firsts = checkpointed(every.groupBy("h").agg(F.count("*").alias("count"), F.min(place).alias("first")).where("count > 1").drop("count"))
     return every.join(firsts, "h").where(~place.eqNullSafe(F.col("first"))).select("doc_id", "_row", "start").distinct()
@@ -110,16 +134,16 @@ def without_passages(docs: DataFrame) -> DataFrame:
     Every line's text stays where it stands first.
     """
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    gone = repeated_passages(docs).groupBy(F.col("doc_id").alias("_doc_id"), F.col("_row").alias("_gone_row")).agg(F.collect_list("start").alias("_starts"))
-    lined = docs.select(*keep, F.xxhash64("text").alias("_row"))
-    joined = lined.join(gone, lined["doc_id"].eqNullSafe(gone["_doc_id"]) & (lined["_row"] == gone["_gone_row"]), "left").withColumn("_lines", F.split("text", UNIT_END, -1))
-    own = F.array_distinct(F.concat("_starts", F.transform("_starts", lambda x: x + 1)))
-    rest = F.transform(F.array_except(F.sequence(F.lit(1), F.size("_lines")), own), lambda i: F.element_at("_lines", i))
-    kept = F.when(F.col("_starts").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
-    every = F.size(F.split("text", "\n", -1))
-    n_removed = F.when(F.col("_starts").isNull(), F.lit(0)).otherwise(every - F.when(F.size(rest) > 0, F.size(F.split(kept, "\n", -1))).otherwise(0)).cast("bigint")
-    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(every).cast("bigint")
-    return joined.select(*(kept.alias(c) if c == "text" else c for c in keep), n_lines.alias("n_lines"), n_removed.alias("n_removed"))
+    joined, gone = _with_spans(docs.select(*keep), repeated_passages(docs).groupBy("doc_id", "_row").agg(F.collect_list("start").alias("gone")))
+    lines_, rest_, kept_ = (batches.free_name(joined, c) for c in ("lines", "rest", "kept"))
+    split = _computed(joined, **{lines_: F.when(gone.isNotNull(), F.split("text", UNIT_END, -1))})
+    left = F.array_except(F.sequence(F.lit(1), F.size(lines_)), F.concat(gone, F.transform(gone, lambda x: x + 1)))
+    cut = _computed(split, **{rest_: F.when(gone.isNotNull(), F.transform(left, lambda i: F.element_at(lines_, i)))})
+    cut = _computed(cut, **{kept_: F.when(gone.isNull(), F.col("text")).otherwise(F.array_join(rest_, "\n"))})
+    n_left = F.when(F.size(rest_) > 0, _n_lines(F.col(kept_))).otherwise(0)
+    n_removed = F.when(gone.isNull(), F.lit(0)).otherwise(_n_lines(F.col("text")) - n_left).cast("bigint")
+    n_lines = F.coalesce(_n_lines(F.col("text")), F.lit(0)).cast("bigint")
+    return cut.select(*(F.col(kept_).alias(c) if c == "text" else F.col(c) for c in keep), n_lines.alias("n_lines"), n_removed.alias("n_removed"))
 
 
 #: The same result in DuckDB's SQL, chunks compared as texts.

@@ -64,6 +64,39 @@ def test_phrases_equal_plain_matching():
             assert counts[0, k] == parts
 
 
+def test_lanes_do_not_change_phrases():
+    r = np.random.default_rng(4)
+    letters = "abcdeüz "
+    texts = {k: "".join(r.choice(list(letters[:-2] + " "), 3000)) for k in ("aa", "bb")} | {"cc": "ab" * 400}
+    found = language.Automata(texts)
+    many = ["".join(r.choice(list(letters), n)) for n in (0, 1, 5, 300, 2000)] + ["ab" * 700, "abab" * 100 + "z" + "ba" * 300, texts["aa"][:1500]]
+    want, sizes = found.phrases(many, lane=10**6)
+    for lane in (1, 2, 7, 64, 1024):
+        got, again = found.phrases(many, lane=lane)
+        assert (got == want).all() and (again == sizes).all()
+
+
+def test_training_rows_are_whole_and_bounded(spark):
+    rows = [(k, f"word{k} " * 9, "en") for k in range(40)] + [(100, "x" * 9000, "de"), (101, "y" * 5000, "de"), (1, "word1 " * 9, "en"), (None, "no id", "en")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    found = language.training_rows(docs, F.lit(True), rows=5)
+    assert list(found) == ["en", "de"] and found["de"] == "y" * 5000
+    assert found["en"].count("word") == 45 and all(x == "word" for x in found["en"].split())
+
+
+def test_symbols_of_a_large_alphabet_cost_no_table():
+    text = "".join(chr(0x4E00 + (k * 7919) % 5000) for k in range(12_000))
+    found = language.Automata({"zh": text, "en": "plain words"})
+    assert found.keys.nbytes + found.values.nbytes + found.roots.nbytes < 3_000_000
+    assert found.phrases([text[50:5000]])[0].tolist()[0][0] == 1
+
+
+def test_columns_named_like_the_answers_stay_in_the_filter(spark):
+    docs = cases.documents(spark, [(k, "der schnelle braune fuchs und der hund " * 3) for k in range(40)]).withColumn("score", F.lit(7)).withColumn("lang", F.lit("de"))
+    kept = language.known_languages(docs)
+    assert kept.columns == docs.columns and {r.score for r in kept.collect()} == {7} and kept.count() == 40
+
+
 def test_language_of_held_out_rows(spark):
     found = queries.op9_language(spark, "/root/testdata/sf0.01")
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
