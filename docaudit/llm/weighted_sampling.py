@@ -23,20 +23,39 @@ from docaudit.session import checkpointed
 SHINGLE = 5
 SAMPLES = 64
 U64 = np.uint64
-_LOW = U64(0xFFFFFFFF)
-#: Draws are taken from a table of so many, as a power of two; equal draws are told apart by more of the hash.
-_BITS = 16
+_SPREAD = U64(0xD6E8FEB86659FD93)
 
 
-def _uniform(salt: int) -> np.ndarray:
-    h = words.mixed(np.arange(1 << _BITS, dtype=U64) + U64(salt << 32))
-    return ((h >> U64(11)).astype(np.float64) + 0.5) / 2.0**53
+def _survivors(s: np.ndarray) -> np.ndarray:
+    """The numbers that a Gamma(2, 1) draw exceeds with probability s, by Newton's method on log(1 + x) - x."""
+    goal = np.log(s)
+    x = np.maximum(np.sqrt(-2 * goal), -goal)
+    for _ in range(60):
+        x = x - (np.log1p(x) - x - goal) / (1 / (1 + x) - 1)
+    return x
 
 
-R = -np.log(_uniform(1) * _uniform(2))
-LOG_C = np.log(-np.log(_uniform(3) * _uniform(4)))
-B = _uniform(5)
-FACTORS = words.mixed(np.arange(1, SAMPLES + 1, dtype=U64)) | U64(1)
+#: Draws by 16 bits of the hash each: r, and log(c) of other bits. Of the 256 places with the largest r, which decide
+#: most samples, each is split by 8 more bits.
+_PLACES = (np.arange(1 << 16) + 0.5) / (1 << 16)
+R = _survivors(_PLACES).astype(np.float32)
+R_TAIL = _survivors(_PLACES / 256).astype(np.float32)
+LOG_C = np.log(_survivors(_PLACES)).astype(np.float32)
+SALTS = words.mixed(np.arange(1, SAMPLES + 1, dtype=U64))
+FACTORS = words.mixed(SALTS) | U64(1)
+
+
+def _drawn(term: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each term's sample k: r, log(c) and b, from bits of their own, and the hash."""
+    p = (term ^ SALTS[k]) * FACTORS[k]
+    p ^= p >> U64(32)
+    p *= _SPREAD
+    p ^= p >> U64(29)
+    part = p.view(np.uint16).reshape(-1, 4)
+    r = R[part[:, 3]]
+    tail = np.flatnonzero(part[:, 3] < 256)
+    r[tail] = R_TAIL[(part[tail, 3].astype(np.int64) << 8) | (part[tail, 0] >> 8)]
+    return r, LOG_C[part[:, 2]], (part[:, 1].astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-16), p
 
 
 def _ordered(x: np.ndarray) -> np.ndarray:
@@ -45,10 +64,6 @@ def _ordered(x: np.ndarray) -> np.ndarray:
     return (np.where(raw < 0, ~raw, raw | np.int32(-(2**31))).view(np.uint32).astype(U64)) << U64(32)
 
 
-#: The usual weight, 1: t is 0.
-_ONCE = _ordered(LOG_C + R * B - R)
-
-
 def terms(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text number, 48-bit hash and count of every distinct shingle; a text with fewer words is one shingle."""
     low = words.LOWER[data] if len(data) else data
@@ -72,24 +87,28 @@ def terms(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> tupl
 
 def signatures(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
     """[texts, SAMPLES] numbers of 16 bits; a text without words has zeros."""
-    out = np.zeros((len(offsets) - 1, SAMPLES), np.uint16)
-    text, term, weight = terms(data, offsets, shingle)
+    return sampled(*terms(data, offsets, shingle), len(offsets) - 1)
+
+
+def sampled(text: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """The samples of n texts, given as their number, hash and weight of every term, text by text."""
+    out = np.zeros((n, SAMPLES), np.uint16)
     if not len(text):
         return out
     term = words.mixed(term)
     heads = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
     more = np.flatnonzero(weight > 1)
-    log_weight = np.log(weight[more])
+    log_weight = np.log(weight[more]).astype(np.float32)
     for k in range(SAMPLES):
-        p = term * FACTORS[k]
-        draw = p >> U64(64 - _BITS)
-        key = _ONCE[draw] | ((p >> U64(16)) & _LOW)
+        r, log_c, b, own = _drawn(term, k)
+        # The usual weight is 1, with t = 0.
+        place = log_c - r * (1 - b)
         if len(more):
-            d = draw[more]
-            t = np.floor(log_weight / R[d] + B[d])
-            own = ((p[more] >> U64(16)) ^ (t.astype(np.int64).astype(U64) * U64(0x9E3779B1))) & _LOW
-            key[more] = _ordered(LOG_C[d] - R[d] * (t - B[d]) - R[d]) | own
-        out[text[heads], k] = words.mixed(np.minimum.reduceat(key, heads) & _LOW).astype(np.uint16)
+            t = np.floor(log_weight / r[more] + b[more])
+            place[more] -= r[more] * t
+            own[more] ^= t.astype(np.int64).astype(U64) * U64(0x9E3779B1)
+        least = np.minimum.reduceat(_ordered(place) | (own & U64(0xFFFFFFFF)), heads)
+        out[text[heads], k] = words.mixed(least & U64(0xFFFFFFFF)).astype(np.uint16)
     return out
 
 

@@ -262,6 +262,38 @@ def test_likeness_is_generalised_jaccard():
     assert abs(np.mean(errors)) < 0.02 and np.abs(errors).max() < 0.25
 
 
+@pytest.mark.parametrize("n", [50, 2000, 20_000, 60_000])
+def test_collision_rate_is_generalised_jaccard_at_any_size(n):
+    """Within three standard errors, for half the weights doubled and for weights of 1 to 5."""
+    r = np.random.default_rng(n)
+    times = 40 if n < 10_000 else 12
+    doubled = np.where(np.arange(n) < n // 2, 2, 1)
+    for one, two in ((np.ones(n, np.int64), doubled), (r.integers(1, 6, n), r.integers(1, 6, n))):
+        want = np.minimum(one, two).sum() / np.maximum(one, two).sum()
+        got = []
+        for _ in range(times):
+            term = r.integers(0, 1 << 48, n, dtype=np.uint64)
+            a, b = (weighted_sampling.sampled(np.zeros(n, np.int64), term, w, 1) for w in (one, two))
+            got.append(weighted_sampling.likeness(a, b)[0])
+        assert abs(np.mean(got) - want) < 3 * np.sqrt(want * (1 - want) / times / weighted_sampling.SAMPLES)
+
+
+def test_edited_texts_with_null_and_repeated_ids(spark):
+    """Every row has one answer; its edited text is made with some row that may follow it."""
+    rows = [(3, "abcdef"), (3, "abcdef"), (3, "uvwxyz"), (2, None), (2, ""), (None, "last one"), (None, None), (1, "q" * 50)]
+    found = weighted_sampling.edit_probe(cases.documents(spark, rows).repartition(3)).collect()
+    assert sorted((str(r.doc_id), r.n_chars) for r in found) == sorted((str(d), len(t or "")) for d, t in rows)
+    texts = {t or "" for _, t in rows}
+    by_size: dict = {}
+    for r in found:
+        by_size.setdefault((r.doc_id, r.n_chars), []).append(bytes(r.edited_sha256).hex())
+    for (doc_id, n), digests in by_size.items():
+        own = [t or "" for d, t in rows if d == doc_id and len(t or "") == n]
+        able = {cases.sha(t[: n - n // 2] + after[: n // 2]) for t in own for after in texts}
+        assert set(digests) <= able
+    assert len({r.fingerprint for r in found if r.n_chars == 0}) == 1
+
+
 def test_repeated_words_weigh_more():
     texts = [("a b c d e " * n).encode() for n in (1, 2, 50)]
     s = weighted_sampling.signatures(*weighted_sampling._packed(texts))
