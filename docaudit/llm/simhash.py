@@ -176,6 +176,8 @@ def links(prints: DataFrame, verify: list[str], most: int, group: int = GROUP) -
     """
     columns = list(dict.fromkeys(["node", *verify]))
     kept = list(dict.fromkeys([*columns, "f"]))
+    # A small table makes many keys: it is dealt out first, to tasks that are not merged again.
+    prints = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node", "t")
     keyed = prints.select((F.col("t").cast("bigint") * (1 << 40)).alias("k1"), F.lit(0).cast("bigint").alias("k2"), *kept)
     keyed = keyed.select("*", F.explode(_keys(0)).alias("k")).select(F.col("k").alias("k1"), "k2", *kept)
     at = [columns.index(c) for c in verify]
