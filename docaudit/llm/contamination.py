@@ -25,7 +25,7 @@ SCHEMA = "n_words bigint, hits array<struct<start:int,end:int>>, items array<str
 class Grams:
     """Windows of the items of one block: by length in words, their hashes and the items of each word sequence."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int):
+    def __init__(self, items: list[tuple[str | None, str]], window: int):
         self.items: dict[bytes, list[str]] = defaultdict(list)
         hashes = defaultdict(set)
         for item_id, text in items:
@@ -42,8 +42,9 @@ class Grams:
             for k, h in enumerate(own.tolist()):
                 hashes[n].add(h)
                 key = b" ".join(parts[k : k + n])
-                if item_id not in self.items[key][-1:]:
-                    self.items[key].append(item_id)
+                own_items = self.items[key]
+                if item_id is not None and item_id not in own_items[-1:]:
+                    own_items.append(item_id)
         self.items = dict(self.items)
         self.sorted = {n: np.array(sorted(h), np.uint64) for n, h in sorted(hashes.items())}
         self.maps = {}
@@ -68,7 +69,7 @@ class Grams:
             inside = maybe + n <= first[text + 1]
             for k, t in zip(maybe[inside].tolist(), text[inside].tolist()):
                 found = self.items.get(b" ".join(low[a:b].tobytes() for a, b in zip(at[k : k + n], to[k : k + n])))
-                if found:  # else only the hashes are equal
+                if found is not None:  # else only the hashes are equal
                     items[t].update(found)
                     spans[t].append((k - int(first[t]), k - int(first[t]) + n))
         return np.diff(first), [merged(s) for s in spans], items
@@ -86,7 +87,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
     """The items with a block number, and how many blocks keep each below about `limit` bytes."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text IS NOT NULL").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-int(total) // limit))
     return items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))), n
@@ -96,7 +97,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int
     """Adds n_words, hits (merged spans of word numbers, end exclusive) and items (sorted ids) to docs.
 
     Columns of docs with these names are replaced. Null and empty texts have no words; items without words have no
-    window; repeated rows are each answered; an empty benchmark hits nothing.
+    window; an item without an id hits like any other but is not among the items; repeated rows are each answered; an
+    empty benchmark hits nothing.
     """
     keep = [c for c in docs.columns if c not in ("n_words", "hits", "items")]
     numbered, n = blocks(benchmark, limit)

@@ -103,3 +103,12 @@ def test_substrings_over_a_whole_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{cases.DATA}/documents.parquet").collect()]
     got = {tuple(r[c] for c in ("doc_id", "n_words", "n_removed", "kept_sha256")) for r in queries.op4_substrings(spark, cases.DATA).collect()}
     assert got == set(stripped(rows))
+
+
+def test_items_without_an_id_hit_but_are_not_listed(spark):
+    window = " ".join(f"w{k}" for k in range(10))
+    items = spark.createDataFrame([(None, window), ("b", "x y"), ("c", None)], "item_id string, text string")
+    docs = cases.documents(spark, [(1, f"so {window} it"), (2, "x y z"), (3, "nothing")])
+    found = {r.doc_id: r for r in contamination.scan(docs, items).collect()}
+    assert [(h.start, h.end) for h in found[1]["hits"]] == [(1, 11)] and found[1]["items"] == []
+    assert found[2]["items"] == ["b"] and found[3]["hits"] == []
