@@ -104,12 +104,16 @@ def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
 def pack(cut: DataFrame, capacity: int = CAPACITY, per_task: int = PIECES_PER_TASK, rounds: int = ROUNDS) -> DataFrame:
     """Adds sequence_id and offset to a table with `length`; other columns stay, ones of these names are replaced.
 
-    Lengths are 1 to capacity. Equal pieces may change places; the number of sequences of a partition does not.
+    Lengths are 1 to capacity; nulls in other columns stay, repeated rows are pieces of their own, an empty table stays
+    empty. Equal pieces may change places; the number of sequences of a partition does not.
     """
     keep = [c for c in cut.columns if c not in ("sequence_id", "offset")]
-    open_ = checkpointed(cut.select(*keep))
+    row = batches.free_name(cut, "row")
+    # Rows are dealt by a number of their own, so that equal ones do not meet in one task.
+    open_ = checkpointed(cut.select(*keep, F.monotonically_increasing_id().alias(row)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in open_.schema)
-    schema += ", sequence_id bigint, `offset` bigint, settled boolean"
+    settled_ = batches.free_name(cut, "settled")
+    schema += f", sequence_id bigint, `offset` bigint, `{settled_}` boolean"
     done, before = [], None
     for nth in range(rounds):
         n = open_.count()
@@ -121,22 +125,22 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, per_task: int = PIECES_PER_TA
             held = [b for b in found if b.num_rows]
             if not held:
                 return
-            rows = pa.Table.from_batches(held).select(keep).combine_chunks()
+            rows = pa.Table.from_batches(held).select([*keep, row]).combine_chunks()
             lengths = rows.column("length").to_numpy()
             bins, offsets, count = best_fit_decreasing(lengths, capacity)
             settled = np.ones(len(lengths), bool)
             if not final and count > lower_bound(lengths, capacity):
                 settled = (np.bincount(bins, weights=lengths) >= KEPT_SHARE * capacity)[bins]
             number = ((nth << 24) + TaskContext.get().partitionId() << 32) + bins
-            for name, column in (("sequence_id", number), ("offset", offsets), ("settled", settled)):
+            for name, column in (("sequence_id", number), ("offset", offsets), (settled_, settled)):
                 rows = rows.append_column(name, pa.array(column))
             yield from rows.to_batches(max_chunksize=10_000)
 
-        dealt = open_.repartition(parts, F.xxhash64(F.lit(nth), *(c for c in keep if c != "ids")))
+        dealt = open_.repartition(parts, F.xxhash64(F.lit(nth), row))
         packed = checkpointed(dealt.mapInArrow(run, schema))
-        done.append(packed.where("settled").drop("settled"))
-        open_ = packed.where("NOT settled").select(*keep)
-        if final or packed.where("NOT settled").isEmpty():
+        done.append(packed.where(F.col(settled_)).drop(settled_, row))
+        open_ = packed.where(~F.col(settled_)).select(*keep, row)
+        if final or open_.isEmpty():
             break
     out = done[0]
     for more in done[1:]:

@@ -42,13 +42,13 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.places: dict[int, int] = {}
+        self.places: dict[bytes, int] = {}
         self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.ids, self.used = np.zeros(1 << 18, np.int32), 0
 
-    def _learn(self, hashes: list[int], pieces: list[bytes]) -> None:
+    def _learn(self, pieces: list[bytes]) -> None:
         merge = self.tokenizer.model.tokenize
-        for h, piece in zip(hashes, pieces):
+        for piece in pieces:
             own, k = [x.id for x in merge(piece.decode("latin-1").translate(self.letters))], len(self.places)
             if k == len(self.starts):
                 self.starts, self.sizes = np.r_[self.starts, self.starts * 0], np.r_[self.sizes, self.sizes * 0]
@@ -56,7 +56,7 @@ class Encoder:
                 self.ids = np.r_[self.ids, self.ids * 0]
             self.ids[self.used : self.used + len(own)] = own
             self.starts[k], self.sizes[k] = self.used, len(own)
-            self.places[h] = k
+            self.places[piece] = k
             self.used += len(own)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,14 +102,13 @@ class Encoder:
         start[last[data[last] == 0x20] + 1] = False
         at = np.flatnonzero(start)
         to = np.r_[at[1:], len(data)]
-        h, index, inverse = np.unique(words.hash_spans(words.padded(data), at, to), return_index=True, return_inverse=True)
-        if len(self.places) > KNOWN_PIECES:
+        _, index, inverse = np.unique(words.hash_spans(words.padded(data), at, to), return_index=True, return_inverse=True)
+        if len(self.places) > KNOWN_PIECES or self.used > 8 * KNOWN_PIECES:
             self.forget()
-        new = [k for k, x in enumerate(h.tolist()) if x not in self.places]
-        if new:
-            raw = data.tobytes()
-            self._learn(h[new].tolist(), [raw[at[i] : to[i]] for i in index[new].tolist()])
-        place = np.fromiter((self.places[x] for x in h.tolist()), np.int64, len(h))[inverse]
+        raw = data.tobytes()
+        found = [raw[at[i] : to[i]] for i in index.tolist()]
+        self._learn([x for x in found if x not in self.places])
+        place = np.fromiter((self.places[x] for x in found), np.int64, len(found))[inverse]
         sizes = self.sizes[place]
         ids = self.ids[words.ranges(self.starts[place], sizes)]
         total = np.r_[0, np.cumsum(sizes)]
