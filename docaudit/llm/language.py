@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from docaudit.llm import batches
 
 #: Bounds of the training sample: rows for each language; longer rows than this, in bytes, are taken only where a
-#: language has no others, and then one. An automaton takes about 100 bytes a letter, in the broadcast and each worker.
+#: language has no others, and then one. An automaton takes about 50 bytes a letter, in the broadcast and each worker.
 ROWS_PER_LANGUAGE = 16
 ROW_BYTES = 4096
 #: So many code points of a text are parsed side by side with the rest of it; results do not depend on it.
@@ -27,7 +27,6 @@ SLICE_BYTES = 1 << 20
 
 COLUMNS = ("lang_pred", "score", "phrase_rate")
 SCHEMA = "lang_pred string, score double, phrase_rate double"
-_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def bucket(doc_id: Column, parts: int) -> Column:
@@ -66,7 +65,11 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 class Automata:
-    """The automata of all languages, their edges in one hash table: memory grows with the letters, not with the alphabet."""
+    """The automata of all languages as one table of edges: memory grows with the letters, not with the alphabet.
+
+    A state is a place in the table, and its edge for a symbol lies so many entries further. Rows of different states
+    are pushed into each other's gaps; an entry names the state it belongs to, beside the next one.
+    """
 
     def __init__(self, texts: dict[str, str]):
         #: In the order of `texts`: with equal rates the earlier language wins.
@@ -76,55 +79,75 @@ class Automata:
         #: 0: space and all that is no letter; 1: a letter that no language has.
         self.symbols = 2 + len(known)
         top = max(map(ord, known), default=0) + 1
-        self.codes = np.ones(top + 1, np.int32)
+        self.codes = np.ones(top + 1, np.int64)
         for c in range(top):
             if not chr(c).isalpha():
                 self.codes[c] = 0
         for k, c in enumerate(known):
             self.codes[ord(c)] = 2 + k
+        rows: list[dict[int, int]] = []
+        starts = []
+        for text in cleaned:
+            starts.append(len(rows))
+            rows += [{symbol: starts[-1] + to for symbol, to in edges.items()} for edges in suffix_automaton(self.encode(text).tolist())]
+        place = self._places(rows)
+        self.table = np.full(int(place.max(initial=0)) + self.symbols + 1, -1, np.int64)
+        for state, edges in enumerate(rows):
+            for symbol, to in edges.items():
+                self.table[place[state] + symbol] = (int(place[state]) << 32) | int(place[to])
         #: The state in which a language's texts begin, and that behind each symbol where a phrase begins with it.
-        self.begin, self.roots = np.zeros(len(cleaned), np.int32), np.zeros((len(cleaned), self.symbols), np.int32)
-        keys, values, at = [], [], 0
-        for k, text in enumerate(cleaned):
-            following = suffix_automaton(self.encode(text).tolist())
-            self.begin[k] = self.roots[k] = at
-            for symbol, to in following[0].items():
-                self.roots[k, symbol] = at + to
-            for state, edges in enumerate(following):
-                keys += [(at + state) * self.symbols + symbol for symbol in edges]
-                values += [at + to for to in edges.values()]
-            at += len(following)
-        self._fill(np.array(keys, np.int64), np.array(values, np.int32))
-
-    def _fill(self, keys: np.ndarray, values: np.ndarray) -> None:
-        bits = max(4, int(2 * len(keys)).bit_length())
-        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
-        slot = self._slot(keys)
-        left = np.arange(len(keys))
-        while len(left):
-            free = left[self.keys[slot[left]] < 0]
-            self.keys[slot[free]] = keys[free]
-            done = self.keys[slot[left]] == keys[left]
-            self.values[slot[left[done]]] = values[left[done]]
-            left = left[~done]
-            slot[left] = (slot[left] + 1) & self.mask
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * _SPREAD) >> self.shift).astype(np.int64)
-
-    def step(self, states: np.ndarray, symbols: np.ndarray, language: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The states after a symbol each, and where a phrase had to begin with it."""
-        keys = states.astype(np.int64) * self.symbols + symbols
-        slot = self._slot(keys)
-        there = self.keys[slot]
-        odd = np.flatnonzero((there != keys) & (there >= 0))
-        while len(odd):
-            slot[odd] = (slot[odd] + 1) & self.mask
-            there[odd] = self.keys[slot[odd]]
-            odd = odd[(there[odd] != keys[odd]) & (there[odd] >= 0)]
-        fail = there != keys
-        return np.where(fail, self.roots[language, symbols], self.values[slot]), fail
+        self.begin = place[starts] if starts else np.zeros(0, np.int64)
+        self.roots = np.repeat(self.begin, self.symbols)
+        for k, state in enumerate(starts):
+            for symbol, to in rows[state].items():
+                self.roots[k * self.symbols + symbol] = place[to]
+
+    def _places(self, rows: list[dict[int, int]]) -> np.ndarray:
+        """A place of its own for each state, such that no two edges share an entry."""
+        edges = sum(map(len, rows))
+        size = edges + edges // 2 + 4 * self.symbols + 1024
+        free, own = np.ones(2 * size, bool), np.ones(2 * size, bool)
+        place = np.full(len(rows), -1, np.int64)
+        order = sorted((k for k, x in enumerate(rows) if len(x) > 1), key=lambda k: -len(rows[k]))
+        low, span = 0, 256
+        for k in order:
+            symbols, at = np.array(list(rows[k])), low
+            while True:
+                at_once = np.arange(at, at + span)
+                if at + span + self.symbols > len(free):
+                    free, own = np.r_[free, np.ones(size, bool)], np.r_[own, np.ones(size, bool)]
+                fits = np.flatnonzero(own[at_once] & free[at_once[:, None] + symbols].all(1))
+                if len(fits):
+                    break
+                at += span
+            if at > low:
+                low += span // 4
+            place[k] = at + fits[0]
+            own[place[k]] = False
+            free[place[k] + symbols] = False
+        single: dict[int, list[int]] = {}
+        for k, x in enumerate(rows):
+            if len(x) == 1:
+                single.setdefault(next(iter(x)), []).append(k)
+        for symbol, states in single.items():
+            while True:
+                at = np.flatnonzero(free[symbol:] & own[: len(own) - symbol])
+                if len(at) >= len(states):
+                    break
+                free, own = np.r_[free, np.ones(size, bool)], np.r_[own, np.ones(size, bool)]
+            at = at[: len(states)]
+            place[states] = at
+            own[at] = False
+            free[at + symbol] = False
+        rest = np.flatnonzero(place < 0)
+        place[rest] = np.flatnonzero(np.r_[own, np.ones(len(rest), bool)])[: len(rest)]
+        return place
+
+    def step(self, states: np.ndarray, symbols: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after a symbol each, and where the phrase ended before it; roots: where each language's begin."""
+        entry = self.table[states + symbols]
+        fail = (entry >> 32) != states
+        return np.where(fail, self.roots[roots + symbols], entry & 0xFFFFFFFF), fail
 
     def encode(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -143,56 +166,62 @@ class Automata:
             own = own[~(gap & np.r_[True, gap[:-1]])] if len(own) else own
             codes.append(own[:-1] if len(own) and own[-1] == 0 else own)
         sizes = np.array([len(x) for x in codes], np.int64)
-        counts = np.zeros((len(texts), len(self.languages)))
+        counts = np.repeat((sizes > 0).astype(np.float64)[:, None], len(self.languages), axis=1)
         if not sizes.sum() or not self.languages:
             return counts, sizes
-        fails = self._fails(np.concatenate(codes), sizes, lane)
-        total = np.concatenate([np.zeros((len(fails), 1), np.int64), np.cumsum(fails, axis=1, dtype=np.int64)], axis=1)
-        ends = np.cumsum(sizes)
-        return (total[:, ends] - total[:, ends - sizes] + (sizes > 0)).T.astype(np.float64), sizes
+        ends, text = self._ends(np.concatenate(codes), sizes, lane)
+        for k in range(len(self.languages)):
+            counts[:, k] += np.bincount(text, weights=ends[:, k], minlength=len(texts))
+        return counts, sizes
 
-    def _fails(self, flat: np.ndarray, sizes: np.ndarray, lane: int) -> np.ndarray:
-        """For each language and symbol whether the phrase before it ends there.
+    def _ends(self, flat: np.ndarray, sizes: np.ndarray, lane: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ends of phrases in each lane by language, and the lanes' texts.
 
         Texts are cut into lanes that are read side by side, each as if a text began with it. Then each lane is read
         again from the state in which the one before ended, until the states are those of the first reading, and so on
         until no lane's last state changes.
         """
+        n_languages = len(self.languages)
         many = -(-sizes // lane)
-        nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        starts = np.repeat(np.cumsum(sizes) - sizes, many) + nth * lane
-        lengths = np.minimum(lane, np.repeat(sizes, many) - nth * lane)
-        states = np.zeros((len(self.languages), len(flat)), np.int32)
-        fails = np.zeros((len(self.languages), len(flat)), bool)
-        language, k = np.divmod(np.arange(len(self.languages) * len(starts)), len(starts))
-        state, first = self.begin[language], True
-        while len(k):
-            live, at, end = np.arange(len(k)), starts[k].copy(), (starts + lengths)[k]
-            own_state = state
-            changed = np.zeros(len(k), bool)
-            while len(live):
-                x = at[live]
-                own_state, fail = self.step(own_state, flat[x], language[live])
-                old = states[language[live], x]
-                states[language[live], x] = own_state
-                fails[language[live], x] = fail
-                at[live] = x + 1
-                going = at[live] < end[live]
-                if not first:
-                    differ = own_state != old
-                    changed[live[~going & differ]] = True
-                    going &= differ
-                if not going.all():
-                    live, own_state = live[going], own_state[going]
-            # The lanes behind those that ended otherwise than before.
-            again = np.ones(len(k), bool) if first else changed
-            again &= k + 1 < len(starts)
-            language, k = language[again], k[again] + 1
-            inside = nth[k] > 0
-            language, k = language[inside], k[inside]
-            state = states[language, starts[k] - 1]
-            first = False
-        return fails
+        text = np.repeat(np.arange(len(sizes)), many)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+        starts, lengths = (np.cumsum(sizes) - sizes)[text] + nth * lane, np.minimum(lane, sizes[text] - nth * lane)
+        order = np.argsort(-lengths, kind="stable")
+        text, nth, starts, lengths = text[order], nth[order], starts[order], lengths[order]
+        longest = int(lengths[0])
+        active = np.searchsorted(-lengths, -np.arange(longest), "left")
+        # A column for each lane and language, a row for each step.
+        states = np.zeros((longest, len(text) * n_languages), np.int32)
+        fails = np.zeros(states.shape, bool)
+        roots = np.tile(np.arange(n_languages) * self.symbols, len(text))
+        state = np.tile(self.begin, len(text))
+        for t in range(longest):
+            n = active[t] * n_languages
+            state, fail = self.step(state[:n], np.repeat(flat[starts[: active[t]] + t], n_languages), roots[:n])
+            states[t, :n], fails[t, :n] = state, fail
+        # Where in this order the lane behind each one is.
+        where = np.empty(len(order), np.int64)
+        where[order] = np.arange(len(order))
+        behind = np.full(len(order), -1, np.int64)
+        follows = np.flatnonzero(nth > 0)
+        behind[where[order[follows] - 1]] = follows
+        changed = np.arange(len(text) * n_languages)
+        while len(changed):
+            before = changed[behind[changed // n_languages] >= 0]
+            column = behind[before // n_languages] * n_languages + before % n_languages
+            state = states[lengths[before // n_languages] - 1, before].astype(np.int64)
+            ended, t = [], 0
+            while len(column):
+                state, fail = self.step(state, flat[starts[column // n_languages] + t], roots[column])
+                differ = state != states[t, column]
+                states[t, column], fails[t, column] = state, fail
+                t += 1
+                last = lengths[column // n_languages] == t
+                ended.append(column[last & differ])
+                going = differ & ~last
+                column, state = column[going], state[going]
+            changed = np.concatenate(ended) if ended else changed[:0]
+        return fails.sum(0).reshape(len(text), n_languages), text
 
 
 def letters(text: str) -> str:

@@ -87,7 +87,7 @@ def test_training_rows_are_whole_and_bounded(spark):
 def test_symbols_of_a_large_alphabet_cost_no_table():
     text = "".join(chr(0x4E00 + (k * 7919) % 5000) for k in range(12_000))
     found = language.Automata({"zh": text, "en": "plain words"})
-    assert found.keys.nbytes + found.values.nbytes + found.roots.nbytes < 3_000_000
+    assert found.table.nbytes + found.roots.nbytes < 1_000_000
     assert found.phrases([text[50:5000]])[0].tolist()[0][0] == 1
 
 
