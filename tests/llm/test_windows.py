@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pytest
 
 from docaudit.llm import contamination, queries, substrings
@@ -112,3 +113,17 @@ def test_items_without_an_id_hit_but_are_not_listed(spark):
     found = {r.doc_id: r for r in contamination.scan(docs, items).collect()}
     assert [(h.start, h.end) for h in found[1]["hits"]] == [(1, 11)] and found[1]["items"] == []
     assert found[2]["items"] == ["b"] and found[3]["hits"] == []
+
+
+def test_many_rows_of_one_id_and_of_none(spark):
+    rows = [(1, cases.PASSAGE)] + [(None, f"n{k} " + (cases.PASSAGE if k % 10 == 0 else "nothing here")) for k in range(3000)]
+    rows += [(7, f"s{k} " + (cases.PASSAGE if k % 5 == 0 else "or here " * 20)) for k in range(300)]
+    found = substrings.deduplicated(cases.documents(spark, rows).repartition(4), keep_text=False).collect()
+    assert sorted((tuple(r) for r in found), key=str) == sorted(stripped(rows), key=str)
+
+
+def test_fragments_with_one_hash_are_told_apart_by_their_bytes(monkeypatch):
+    data = np.frombuffer(b"aa bb aa cc bb", np.uint8)
+    low = np.array([0, 3, 6, 9, 12])
+    assert substrings._groups(np.zeros(5, np.uint64), data, low, low + 2).tolist() == [0, 1, 0, 2, 1]
+    assert substrings._groups(np.array([1, 1, 2, 3, 3], np.uint64), data[[0, 1, 2, 0, 1, 2, 6, 7, 2, 9, 10, 2, 9, 10]], low, low + 2).tolist() == [0, 0, 1, 2, 2]
