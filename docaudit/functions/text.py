@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Stands between sentences while a paragraph is cut.
@@ -47,3 +47,13 @@ def bare_words(text: Column) -> Column:
 def fingerprint(*parts: Column) -> Column:
     """The first 16 hexadecimal digits of the SHA-256 of the parts, white space runs as one blank."""
     return F.substring(F.sha2(F.concat_ws(" ", *(F.trim(F.regexp_replace(p.cast("string"), "\\s+", " ")) for p in parts)), 256), 1, 16)
+
+
+def exploded(df: DataFrame, keep: list[str], array: Column, name: str, pos: str | None = None) -> DataFrame:
+    """A row for each element, and its number from 0 if asked for; null and empty arrays have none.
+
+    explode() brings a filter on empty arrays, which computes the array once more, below whatever it was made from;
+    the outer form does not.
+    """
+    made = F.explode_outer(array).alias(name) if pos is None else F.posexplode_outer(array).alias(pos, name)
+    return df.select(*keep, made).where(F.col(pos or name).isNotNull())

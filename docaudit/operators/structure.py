@@ -64,9 +64,10 @@ def doubled_words(docs: DataFrame) -> DataFrame:
 
     Neighbours are compared as written but for case; a mark between them keeps them apart.
     """
-    order = Window.partitionBy("doc_id", "para", "sent").orderBy("pos")
-    cut = model.sentences(docs).select("doc_id", "para", "sent", F.posexplode(F.transform(T.words(F.col("text")), F.lower)).alias("pos", "word"))
-    return cut.withColumn("before", F.lag("word").over(order)).where((F.col("word") == F.col("before")) & F.col("word").rlike("^\\p{L}+$")).select("doc_id", "para", "sent", "word")
+    cut = model.sentences(docs).select("doc_id", "para", "sent", F.transform(T.words(F.col("text")), F.lower).alias("w")).where(F.size("w") > 1)
+    at = lambda k: F.element_at("w", k)
+    twice = F.filter(F.sequence(F.lit(2), F.size("w")), lambda k: (at(k) == at(k - 1)) & at(k).rlike("^\\p{L}+$"))
+    return T.exploded(cut, ["doc_id", "para", "sent"], F.transform(twice, at), "word")
 
 
 def repeated_heads(docs: DataFrame, limit: int = 2, head: int = 1) -> DataFrame:
@@ -82,7 +83,7 @@ def repeated_grams(docs: DataFrame, size: int = 4, limit: int = 5, chars: int =
     """doc_id, gram and n of word windows in more than `limit` sentences of a document; a sentence counts once."""
     cut = model.sentences(docs).select("doc_id", "para", "sent", T.bare_words(F.col("text")).alias("w")).where(F.size("w") >= size)
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda k: F.array_join(F.slice("w", k, size), " ")))
-    each = cut.select("doc_id", F.explode(grams).alias("gram")).where(F.length("gram") >= chars)
+    each = T.exploded(cut, ["doc_id"], grams, "gram").where(F.length("gram") >= chars)
     return each.groupBy("doc_id", "gram").agg(F.count("*").alias("n")).where(F.col("n") > limit)
 
 

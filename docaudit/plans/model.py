@@ -10,18 +10,18 @@ from docaudit.functions import text as T
 
 def paragraphs(docs: DataFrame) -> DataFrame:
     """doc_id, lang, para (from 1) and text of every non-empty line; null texts have none."""
-    return docs.select("doc_id", "lang", F.posexplode(T.paragraphs(F.col("text"))).alias("para", "text")).withColumn("para", F.col("para") + 1)
+    return T.exploded(docs, ["doc_id", "lang"], T.paragraphs(F.col("text")), "text", "para").withColumn("para", F.col("para") + 1)
 
 
 def sentences(docs: DataFrame) -> DataFrame:
     """doc_id, lang, para, sent (from 1 in its paragraph), text and n_words."""
-    cut = paragraphs(docs).select("doc_id", "lang", "para", F.posexplode(T.sentences(F.col("text"))).alias("sent", "text"))
+    cut = T.exploded(paragraphs(docs), ["doc_id", "lang", "para"], T.sentences(F.col("text")), "text", "sent")
     return cut.withColumns({"sent": F.col("sent") + 1, "n_words": F.size(T.words(F.col("text")))})
 
 
 def words(docs: DataFrame) -> DataFrame:
     """doc_id, lang, para, sent, pos (from 1 in its sentence) and word, bare and lower-cased."""
-    cut = sentences(docs).select("doc_id", "lang", "para", "sent", F.posexplode(T.bare_words(F.col("text"))).alias("pos", "word"))
+    cut = T.exploded(sentences(docs), ["doc_id", "lang", "para", "sent"], T.bare_words(F.col("text")), "word", "pos")
     return cut.withColumn("pos", F.col("pos") + 1)
 
 

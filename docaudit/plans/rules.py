@@ -12,13 +12,13 @@ from dataclasses import dataclass, field
 LEVELS = ("strict", "normal", "relaxed")
 
 
-def java(pattern: str) -> str:
+def java(pattern: str, ascii_text: bool = False) -> str:
     """The pattern for Spark: RE2's names of scripts, and its word boundary, which knows ASCII alone."""
     scripts = re.sub(r"\\p\{(Han|Hiragana|Katakana|Cyrillic|Greek)\}", r"\\p{Is\1}", pattern)
     # A leading run of a class begins where the run does; Java would try each of its characters as a start.
     scripts = re.sub(r"^(\[\^[^\]]+\])\+", r"(?<!\1)\1+", scripts)
     scripts = re.sub(r"^\(\?:(\[\^[^\]]+\])\*", r"(?<!\1)(?:\1*", scripts)
-    return scripts.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
+    return scripts if ascii_text else scripts.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
 
 
 @dataclass(frozen=True)
@@ -178,6 +178,60 @@ FORMS = (
 )
 
 
+_JAPANESE = "japanese"
+#: What every match holds one of, so that a text without it is not searched: literals, or a letter of a Japanese
+#: script. Keys are a rule's name, for pairs with the number of the form.
+NEEDS: dict[str, tuple[str, ...]] = {
+    "doubled-punctuation": (",,", ";;", ",.", ";,", ",;", ".,", ".;"),
+    "impossible-time": (":", "AM", "PM"),
+    "chat-citation-residue": ("utm_source", "contentReference", "oaicite", "【"),
+    "share-over-hundred": ("% of ",),
+    "url-run-on": ("://",),
+    "space-before-punctuation": (" .", " ,", " ;", " ?", " !"),
+    "hyphen-as-dash": (" - ", "--"),
+    "q-fragment-answer": ("?",),
+    "latin-abbreviation-form": ("e.g", "i.e", "eg. ", "ie. "),
+    "vague-figure-reference": ("below", "above"),
+    "no-em-dash": ("—",),
+    "bold-density": ("**",),
+    "unrendered-emphasis": ("**",),
+    "no-nakaguro-parallel": ("・",),
+    "max-kanji-continuous": (_JAPANESE,),
+    "max-ten": ("、",),
+    "connective-hierarchy": ("並びに", "若しくは"),
+    "repeated-exclamation": ("!!",),
+    "number-style-consistency/1": (",",),
+    "range-notation-consistency/1": ("–",),
+    "range-notation-consistency/2": ("-",),
+    "currency-notation-consistency/1": ("$",),
+    "currency-notation-consistency/2": ("USD",),
+    "date-format-consistency/1": ("-",),
+    "amount-scale-consistency/1": ("$",),
+    "amount-scale-consistency/2": ("$",),
+    "citation-style-mix/1": ("[",),
+    "citation-style-mix/2": ("(",),
+    "bare-url-mix/1": ("://",),
+    "bare-url-mix/2": ("](http",),
+    "shell-prompt-mix/1": ("$ ",),
+    "heading-end-punctuation-mix/1": ("#",),
+    "heading-end-punctuation-mix/2": ("#",),
+    "code-fence-language-mix/1": ("```",),
+    "code-fence-language-mix/2": ("```",),
+    "exclamation-width-consistency/1": (_JAPANESE,),
+    "exclamation-width-consistency/2": ("！", "？"),
+    "latin-spacing/1": (_JAPANESE,),
+    "latin-spacing/2": (_JAPANESE,),
+    "katakana-long-vowel/1": (_JAPANESE,),
+    "katakana-long-vowel/2": (_JAPANESE,),
+    "no-mixed-desumasu/1": ("。",),
+    "no-mixed-desumasu/2": ("。",),
+    "missing-final-period/1": ("。",),
+    "missing-final-period/2": (_JAPANESE,),
+    "exclamation-form/1": ("!",),
+    "exclamation-form/2": ("!!",),
+}
+
+
 @dataclass
 class Settings:
     """The level of every rule: an explicit one, else `level`; `off` drops the rule, and not_run says so."""
