@@ -193,3 +193,46 @@ def test_the_field_adds_spans():
     assert ("phone", "(555) 010-9999") in added and ("phone", "555-010-9998") in added and ("id", "123-45-6789") in added
     assert ("secret", "abcdef0123456789ab") in added
     assert not any(x in {"42", "2024-05-06"} for _, x in added)
+
+
+def test_values_without_digits_and_names_are_found():
+    chain = pii.model()
+    for text, want in (
+        ("password=correcthorsebattery", {("secret", "correcthorsebattery")}),
+        ('the token = "qwertyuiopasdf" here', {("secret", "qwertyuiopasdf")}),
+        ("Name: Anna Schmidt", {("name", "Anna Schmidt")}),
+        ("ask Dr. Kowalski about it", {("name", "Kowalski")}),
+        ("lives at 12 Maple Street now", {("address", "12 Maple Street")}),
+        ("the key point is that the name of the street must change", set()),
+        ("They walked down the road and call it home", set()),
+    ):
+        assert {(k, text[a:b]) for k, a, b in pii.added_spans(text, [], chain)} == want
+
+
+def test_recall_of_the_field_on_lines_it_was_not_trained_on():
+    """By kind, over lines of another seed and with words of another alphabet around the values."""
+    chain, found, there, extra, plain = pii.model(), {}, {}, 0, 0
+    for words, labels in pii.labelled_table(400, seed=99):
+        text, spans, at = " ".join(words), [], 0
+        for word, label in zip(words, labels):
+            a, b = pii._core(word)
+            if label.endswith("+"):
+                spans[-1] = (spans[-1][0], spans[-1][1], at + b)
+            elif label != "out":
+                spans.append((label, at + a, at + b))
+            at += len(word) + 1
+        got = pii.added_spans(text, [], chain)
+        for kind, a, b in spans:
+            there[kind] = there.get(kind, 0) + 1
+            found[kind] = found.get(kind, 0) + any(k == kind and x < b and a < y for k, x, y in got)
+        extra += sum(not any(x < b and a < y for _, a, b in spans) for _, x, y in got)
+        plain += labels.count("out")
+    assert set(there) == {"phone", "id", "secret", "name", "address"}
+    assert all(found[k] >= 0.9 * there[k] for k in there), (found, there)
+    assert extra < 0.02 * plain
+
+
+def test_spans_over_nested_base_spans():
+    base = [("card", 0, 200), ("ip", 5, 9)]
+    text = "x" * 150 + " 555-010-9998"
+    assert pii.added_spans(text, base, pii.model()) == []
