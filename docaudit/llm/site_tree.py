@@ -2,13 +2,16 @@
 
 The pages of one host are merged into a tree of style nodes: an element's path of tags, classes and ids. Each node has
 the pages that show it, how differently its children are laid out over them (presentation) and how differently its text
-reads (content), both as an entropy between 0 (the same everywhere) and 1 (never the same twice). Branches of low
-importance are cut from each page, with those that tags, roles or class names mark as menus, notices, adverts, forms or
-comments; of what is left, an article or main element is taken alone where there is one.
+reads (content), both as an entropy between 0 (the same everywhere) and 1 (never the same twice); copies of a page count
+once. Branches of low importance are cut from each page, with those that tags, roles or class names mark as menus,
+notices, adverts, forms or comments; a name that only hints at one raises the importance that its branch needs. Of what
+is left, article and main elements are taken alone where they hold most of the text.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import html as entities
 import re
 from collections import Counter
@@ -25,6 +28,8 @@ from docaudit.session import checkpointed
 #: A node is judged by entropy from so many pages on; below this importance its branch goes.
 LEAST_PAGES = 8
 LEAST_IMPORTANCE = 0.25
+#: The same for a branch whose name has a part that names what is no article text, beside others.
+LEAST_IF_SUSPECT = 0.6
 #: What presentation counts in a node's importance; content counts the rest.
 PRESENTATION = 0.2
 #: Low branches that are broadcast at most; beyond, pages are joined with them by host.
@@ -52,14 +57,23 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
 _P_BOUNDS = frozenset("article aside blockquote body div footer header li main nav section table td th".split())
 NOISE_TAGS = frozenset("aside button dialog fieldset footer form head label menu nav noscript search select template".split())
 NOISE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split())
-#: Parts of class names and ids, cut at marks and capitals, that name what is no article text.
+#: Parts of class names and ids, cut at marks and capitals, that name what is no article text, and parts that say
+#: nothing. A name of such parts alone is noise.
 NOISE_NAMES = frozenset(
-    "ad ads advert advertisement adverts advertising alert announcement author-box banner bio breadcrumb breadcrumbs captcha comment commentary comments consent cookie cookies "
+    "ad ads advert advertisement adverts advertising alert announcement banner bio breadcrumb breadcrumbs captcha comment commentary comments consent cookie cookies "
     "disclaimer discussion disqus feedback footer form gdpr login masthead menu modal nav navbar navigation newsletter notice notification outbrain pager pagination popup promo promoted "
     "promotion rail recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola tags teaser toolbar topbar widget widgets".split()
 )
+NEUTRAL_NAMES = frozenset(
+    "site page main top bottom left right center upper lower box block bar slot list wrap wrapper container section area item items inner outer content unit units post posts article entry "
+    "link links button buttons icon icons global primary secondary header head body row col column panel group holder module media text title policy overlay dialog user reader us me the a s".split()
+)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 CONTENT = frozenset(("article", "main"))
+#: What head may hold; anything else ends it.
+HEAD_CONTENT = frozenset("base link meta title style script template noscript".split())
+#: Blocks of link text alone are menu entries in these, not in paragraphs and headings.
+ENTRIES = frozenset("li td th div span dd dt ul ol tr".split())
 _MASK = (1 << 64) - 1
 
 
@@ -68,6 +82,18 @@ def host_of(url: str | None) -> str | None:
     return m[1].lower() if m else None
 
 
+@functools.lru_cache(1 << 16)
+def _named(names: str) -> int:
+    """2 if one of the class names and ids is noise, 1 if one has a part that is, 0 otherwise."""
+    found = 0
+    for name in names.split():
+        parts = [x.lower() for x in _NAME.findall(name)]
+        noise = sum(x in NOISE_NAMES for x in parts)
+        if noise:
+            found = max(found, 2 if all(x in NOISE_NAMES or x in NEUTRAL_NAMES for x in parts) else 1)
+    return found
+
+
 def _mix(a: int, b: int) -> int:
     a = ((a ^ b) * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & _MASK
     return a ^ (a >> 29)
@@ -81,11 +107,15 @@ class _Node:
         self.look, self.text = 0, 0
 
 
-def parse(page: str, low: frozenset | set = frozenset()) -> tuple[list[tuple[str, bool, bool, float]], dict[int, tuple[int, int]]]:
-    """Blocks (text, whether noise, whether in an article or main, share of link text) and, for each style path, its look and text as numbers."""
+def parse(page: str, low: dict[int, float] | None = None) -> tuple[list[tuple[str, bool, bool, bool]], dict[int, tuple[int, int]]]:
+    """Blocks (text, whether noise, whether in an article or main, whether a menu's entry) and, for each style path, its look and text as numbers.
+
+    low: importance of the host's branches, as far as it is low.
+    """
+    low = low or {}
     root = _Node("", 0, False, False)
     stack, open_tags = [root], Counter()
-    blocks: list[tuple[str, bool, bool, float]] = []
+    blocks: list[tuple[str, bool, bool, bool]] = []
     styles: dict[int, tuple[int, int]] = {}
     parts: list[str] = []
     linked = links = 0
@@ -97,7 +127,8 @@ def parse(page: str, low: frozenset | set = frozenset()) -> tuple[list[tuple[str
         if text:
             top = stack[-1]
             top.text = _mix(top.text, crc32(text.encode("utf-8", "replace")))
-            blocks.append((text, top.noise, top.content, min(1.0, linked / len(text))))
+            links_alone = linked >= len("".join(text.split())) and linked > 0
+            blocks.append((text, top.noise, top.content, links_alone and (top.tag in ENTRIES or top.tag == "a" and stack[-2].tag in ENTRIES)))
         linked = 0
 
     def close() -> None:
@@ -121,8 +152,10 @@ def parse(page: str, low: frozenset | set = frozenset()) -> tuple[list[tuple[str
     def characters(raw: str) -> None:
         nonlocal linked
         text = entities.unescape(raw) if "&" in raw else raw
+        if stack[-1].tag == "head" and not text.isspace():
+            close_to(("head",), ())
         parts.append(text)
-        linked += len(text) if links else 0
+        linked += len("".join(text.split())) if links else 0
 
     at = 0
     for m in _TOKEN.finditer(page):
@@ -143,6 +176,8 @@ def parse(page: str, low: frozenset | set = frozenset()) -> tuple[list[tuple[str
             elif tag in BLOCKS:
                 flush()
             continue
+        if open_tags["head"] > 0 and tag not in HEAD_CONTENT and tag != "head":
+            close_to(("head",), ())
         if tag in BLOCKS:
             flush()
             if open_tags["p"] > 0:
@@ -158,12 +193,12 @@ def parse(page: str, low: frozenset | set = frozenset()) -> tuple[list[tuple[str
             continue
         path = _mix(above.path, label)
         content = above.content or tag in CONTENT or attrs.get("role") in ("main", "article")
-        noise = above.noise or tag in NOISE_TAGS or (tag == "header" and not above.content) or attrs.get("role", "").lower() in NOISE_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true"
-        if not noise and names:
-            noise = any(x.lower() in NOISE_NAMES for x in _NAME.findall(names))
+        noise = above.noise or tag in NOISE_TAGS or (tag == "header" and not above.content and above.tag in ("", "html", "body")) or attrs.get("role", "").lower() in NOISE_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true"
+        named = _named(names) if names else 0
+        noise = noise or named == 2
         if not noise and "style" in attrs:
             noise = bool(_HIDDEN.search(attrs["style"]))
-        if not noise and path in low:
+        if not noise and path in low and low[path] < (LEAST_IF_SUSPECT if named else LEAST_IMPORTANCE):
             noise = tag not in CONTENT and tag not in ("html", "body")
         stack.append(_Node(tag, path, noise, content and not noise))
         open_tags[tag] += 1
@@ -176,22 +211,22 @@ def parse(page: str, low: frozenset | set = frozenset()) -> tuple[list[tuple[str
     return blocks, styles
 
 
-def main_text(page: str, low: frozenset | set = frozenset()) -> str:
+def main_text(page: str, low: dict[int, float] | None = None) -> str:
     blocks, _ = parse(page, low)
     kept = [b for b in blocks if not b[1]]
     if low and not kept:
         # A host of equal pages: what is the same everywhere is all there is.
         kept = [b for b in parse(page)[0] if not b[1]]
+    # Outside of articles, entries of link text alone are menus, unless there is nothing else.
+    kept = [b for b in kept if b[2] or not b[3]] or kept
     inside = [b for b in kept if b[2]]
-    if inside:
+    if 2 * sum(len(b[0]) for b in inside) >= sum(len(b[0]) for b in kept):
         kept = inside
-    else:
-        kept = [b for b in kept if b[3] < 0.6 or len(b[0]) > 200]
     return "\n".join(b[0] for b in kept)
 
 
 def style_rows(pages: DataFrame) -> DataFrame:
-    """host, path, look and text of every style node of every page; pages without a host have none."""
+    """host, page (a hash of the html), path, look and text of every style node of every page; pages without a host have none."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
@@ -199,21 +234,22 @@ def style_rows(pages: DataFrame) -> DataFrame:
             for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 host = host_of(url)
                 if host and page:
-                    own = [(path, *style) for path, style in parse(page)[1].items()]
+                    digest = int.from_bytes(hashlib.blake2b(page.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+                    own = [(digest, path, *style) for path, style in parse(page)[1].items()]
                     hosts += [host] * len(own)
                     rows += own
-            numbers = np.array(rows, np.uint64).reshape(-1, 3).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(numbers[:, k]) for k in range(3))], names=["host", "path", "look", "content"])
+            numbers = np.array(rows, np.uint64).reshape(-1, 4).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(numbers[:, k]) for k in range(4))], names=["host", "page", "path", "look", "content"])
 
-    return pages.select("url", "html").mapInArrow(run, "host string, path bigint, look bigint, content bigint")
+    return pages.select("url", "html").mapInArrow(run, "host string, page bigint, path bigint, look bigint, content bigint")
 
 
 def importance(pages: DataFrame) -> DataFrame:
-    """host, path, pages and importance of every style node, counted before anything is shuffled.
+    """host, path, pages and importance of every style node. Equal pages of a host count once.
 
     Both entropies are over the logarithm of the pages; a node on a single page has importance 1.
     """
-    rows = style_rows(pages)
+    rows = style_rows(pages).dropDuplicates(["host", "page", "path"])
     kinds = rows.select("host", "path", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("look").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("content").alias("value")))).alias("k"))
     counts = kinds.groupBy("host", "path", "k.kind", "k.value").agg(F.count("*").alias("n"))
     sums = counts.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
@@ -223,7 +259,7 @@ def importance(pages: DataFrame) -> DataFrame:
 
 
 def low_branches(pages: DataFrame) -> DataFrame:
-    return importance(pages).where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE)).select("host", "path")
+    return importance(pages).where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IF_SUSPECT)).select("host", "path", "importance")
 
 
 def _host(url: Column) -> Column:
@@ -238,13 +274,13 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     low = checkpointed(low_branches(pages))
     few = low.limit(BROADCAST_BRANCHES + 1).count() <= BROADCAST_BRANCHES
-    known: dict[str, set[int]] = {}
+    known: dict[str, dict[int, float]] = {}
     rows = pages.select("page_id", "url", "html")
     if few:
         for r in low.collect():
-            known.setdefault(r.host, set()).add(r.path & _MASK)
+            known.setdefault(r.host, {})[r.path & _MASK] = r.importance
     else:
-        lists = low.groupBy("host").agg(F.collect_list("path").alias("low"))
+        lists = low.groupBy("host").agg(F.collect_list(F.struct("path", "importance")).alias("low"))
         rows = rows.withColumn("host", _host("url")).join(lists, "host", "left").select("page_id", "url", "html", "low")
     shared = pages.sparkSession.sparkContext.broadcast(known)
 
@@ -253,7 +289,7 @@ def extract(pages: DataFrame) -> DataFrame:
             columns = [c.to_pylist() for c in batch.columns[1:]]
             texts = []
             for k, (url, page) in enumerate(zip(columns[0], columns[1])):
-                own = shared.value.get(host_of(url), ()) if few else {x & _MASK for x in columns[2][k] or ()}
+                own = shared.value.get(host_of(url)) if few else {x["path"] & _MASK: x["importance"] for x in columns[2][k] or ()}
                 texts.append(main_text(page or "", own))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
