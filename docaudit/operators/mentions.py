@@ -263,8 +263,12 @@ def atoms(docs: DataFrame) -> DataFrame:
         ("footnote", "\\[\\^[^\\]]+\\]"), ("reference", "\\b(?:Section|Article|Figure|Table) [0-9]+(?:\\.[0-9]+)*"), ("heading", "(?m)^#{1,6} [^\\n]+$"), ("number", "[$€£]?[0-9][0-9,]*(?:\\.[0-9]+)?%?"), ("name", "\\b[A-Z][a-z]+(?: [A-Z][a-z]+)+\\b"),
     )
     rest, frames = F.col("text"), []
+
+    def named(kind: str, texts: Column) -> Column:
+        return F.transform(texts, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("text")))
+
     for kind, pattern in readers:
-        frames.append(F.transform(F.regexp_extract_all(rest, F.lit(f"({pattern})"), F.lit(1)), lambda x, kind=kind: F.struct(F.lit(kind).alias("kind"), x.alias("text"))))
+        frames.append(named(kind, F.regexp_extract_all(rest, F.lit(f"({pattern})"), F.lit(1))))
         rest = F.regexp_replace(rest, pattern, " ¤ ")
     found = docs.where("text IS NOT NULL").select("doc_id", F.posexplode(F.concat(*frames)).alias("nth", "a")).select("doc_id", "nth", "a.kind", "a.text")
     key = F.lower(F.trim(F.regexp_replace(F.regexp_replace("text", "(?<=[0-9]),(?=[0-9]{3})", ""), "\\s+", " ")))
