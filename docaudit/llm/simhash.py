@@ -185,7 +185,8 @@ def links(prints: DataFrame, verify: list[str], most: int, group: int = GROUP) -
     for level in range(3):
         sizes = checkpointed(keyed.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1"))
         small = sizes if level == 2 else sizes.where(F.col("n") <= group)
-        groups = keyed.select("k1", "k2", *columns).join(small.select("k1", "k2"), ["k1", "k2"])
+        # By a shuffle at every size: the list of keys grows with the input.
+        groups = keyed.select("k1", "k2", *columns).join(small.select("k1", "k2").hint("merge"), ["k1", "k2"])
         lists = groups.groupBy("k1", "k2").agg(*(F.collect_list(F.struct(*columns)).alias("rows"),)).select("rows")
 
         def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
