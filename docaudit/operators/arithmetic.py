@@ -18,57 +18,59 @@ from docaudit.functions import text as T
 #: Label, figure and what follows it.
 _LINE = r"^[\s|*-]*([A-Za-z][A-Za-z ()/-]*?)[ *]*[:|][\s*]*([-+]?[$€£¥]?[0-9][0-9,]*(?:\.[0-9]+)?)\s*(%|[A-Za-z]*)"
 
-#: Figures by the labels that name them: the first such line, or the sum of all.
-FIGURES: dict[str, tuple[str, str]] = {
-    "opening": ("first", r"^(?:opening|beginning|previous) balance|^balance brought forward"),
-    "deposits": ("sum", r"^(?:total )?(?:deposits?|credits?|payments? received)$"),
-    "withdrawals": ("sum", r"^(?:total )?(?:withdrawals?|debits?)$"),
-    "closing": ("first", r"^(?:closing|ending|new) balance"),
-    "gross pay": ("first", r"^gross (?:pay|salary|wages|earnings)$"),
-    "deductions": ("sum", r"^total deductions$"),
-    "net pay": ("first", r"^net (?:pay|salary|wages|earnings)$"),
-    "monthly pay": ("first", r"^monthly (?:pay|salary)$"),
-    "bonus months": ("first", r"^bonus \(?months\)?$|^months of bonus$"),
-    "annual pay": ("first", r"^(?:annual|yearly) (?:pay|salary)$"),
-    "interest balance": ("first", r"^(?:average )?(?:principal|balance subject to interest|loan balance)$"),
-    "interest rate": ("first", r"^(?:annual )?interest rate"),
-    "interest": ("first", r"^interest(?: charged| due)?$"),
-    "payments": ("first", r"^number of (?:payments|instal?lments)$"),
-    "payment": ("first", r"^(?:monthly payment|payment amount|instal?lment)$"),
-    "fee": ("first", r"^(?:instal?lment|processing|arrangement) fee$"),
-    "payment total": ("first", r"^total (?:of payments|payments|payable)$"),
-    "rent": ("first", r"^(?:monthly )?rent$"),
-    "deposit months": ("first", r"^(?:security )?deposit \(?months\)?$"),
-    "deposit": ("first", r"^(?:security )?deposit(?: amount)?$"),
-    "sales": ("first", r"^(?:net )?(?:sales|revenue)$"),
-    "profit": ("first", r"^(?:operating |net |gross )?profit$"),
-    "margin": ("first", r"^(?:operating |net |gross )?(?:profit )?margin$"),
-    "bill total": ("first", r"^(?:total medical (?:cost|expenses)|bill total|total charges)$"),
-    "share": ("first", r"^(?:patient|your|copayment) (?:share|rate)$"),
-    "paid": ("first", r"^(?:amount paid|patient pays|you pay)$"),
-    "height": ("first", r"^height$"),
-    "weight": ("first", r"^(?:body )?weight$"),
-    "bmi": ("first", r"^bmi$"),
-    "battery": ("first", r"^(?:battery )?capacity \(?wh\)?$"),
-    "consumption": ("first", r"^(?:power )?consumption(?: \(?w\)?)?$"),
-    "runtime": ("first", r"^(?:runtime|battery life)(?: \(?h\)?| \(?hours\)?)?$"),
-    "seats": ("first", r"^(?:seating |room |maximum )?capacity$"),
-    "registered": ("first", r"^(?:registered|attendees|participants|registrations)$"),
-    "net weight": ("first", r"^net weight$"),
-    "gross weight": ("first", r"^gross weight$"),
-    "reading before": ("first", r"^previous (?:meter )?reading$"),
-    "reading now": ("first", r"^(?:current|present) (?:meter )?reading$"),
-    "usage": ("first", r"^(?:usage|units used|consumption billed)$"),
-    "deductible": ("first", r"^(?:deductible|excess)$"),
-    "benefit limit": ("first", r"^(?:benefit|coverage|cover) limit$|^maximum benefit$"),
-    "dose": ("first", r"^(?:dose|amount per use)$"),
-    "doses a day": ("first", r"^(?:times|doses|uses) (?:a|per) day$"),
-    "daily maximum": ("first", r"^(?:daily maximum|maximum (?:a|per) day|maximum daily dose)$"),
-    "hours between": ("first", r"^(?:minimum interval|hours between doses)(?: \(?hours\)?)?$"),
-    "budget": ("first", r"^budget$"),
-    "actual": ("first", r"^actual$"),
-    "variance": ("first", r"^variance$"),
+#: Figures by the labels that name them, without brackets: the first such line counts.
+FIGURES: dict[str, tuple[str, ...]] = {
+    "opening": ("opening balance", "beginning balance", "previous balance", "balance brought forward"),
+    "deposits": ("deposits", "deposit received", "total deposits", "credits", "total credits", "payments received"),
+    "withdrawals": ("withdrawals", "withdrawal", "total withdrawals", "debits", "total debits"),
+    "closing": ("closing balance", "ending balance", "new balance"),
+    "gross pay": ("gross pay", "gross salary", "gross wages", "gross earnings"),
+    "deductions": ("total deductions",),
+    "net pay": ("net pay", "net salary", "net wages", "net earnings"),
+    "monthly pay": ("monthly pay", "monthly salary"),
+    "bonus months": ("bonus months", "months of bonus"),
+    "annual pay": ("annual pay", "annual salary", "yearly pay", "yearly salary"),
+    "interest balance": ("principal", "average principal", "balance subject to interest", "loan balance"),
+    "interest rate": ("interest rate", "annual interest rate"),
+    "interest": ("interest", "interest charged", "interest due"),
+    "payments": ("number of payments", "number of installments", "number of instalments"),
+    "payment": ("monthly payment", "payment amount", "installment", "instalment"),
+    "fee": ("installment fee", "instalment fee", "processing fee", "arrangement fee"),
+    "payment total": ("total of payments", "total payments", "total payable"),
+    "rent": ("rent", "monthly rent"),
+    "deposit months": ("deposit months", "security deposit months"),
+    "deposit": ("deposit", "deposit amount", "security deposit"),
+    "sales": ("sales", "net sales", "revenue", "net revenue"),
+    "profit": ("profit", "operating profit", "net profit", "gross profit"),
+    "margin": ("margin", "profit margin", "operating margin", "net margin", "gross margin"),
+    "bill total": ("total medical cost", "total medical expenses", "bill total", "total charges"),
+    "share": ("patient share", "your share", "copayment share", "patient rate", "copayment rate"),
+    "paid": ("amount paid", "patient pays", "you pay"),
+    "height": ("height",),
+    "weight": ("weight", "body weight"),
+    "bmi": ("bmi",),
+    "battery": ("battery capacity wh", "capacity wh"),
+    "consumption": ("consumption", "consumption w", "power consumption", "power consumption w"),
+    "runtime": ("runtime", "runtime h", "runtime hours", "battery life", "battery life hours"),
+    "seats": ("capacity", "seating capacity", "room capacity", "maximum capacity"),
+    "registered": ("registered", "attendees", "participants", "registrations"),
+    "net weight": ("net weight",),
+    "gross weight": ("gross weight",),
+    "reading before": ("previous reading", "previous meter reading"),
+    "reading now": ("current reading", "current meter reading", "present reading", "present meter reading"),
+    "usage": ("usage", "units used", "consumption billed"),
+    "deductible": ("deductible", "excess"),
+    "benefit limit": ("benefit limit", "coverage limit", "cover limit", "maximum benefit"),
+    "dose": ("dose", "amount per use"),
+    "doses a day": ("doses per day", "doses a day", "times per day", "times a day", "uses per day"),
+    "daily maximum": ("daily maximum", "maximum per day", "maximum a day", "maximum daily dose"),
+    "hours between": ("minimum interval", "minimum interval hours", "hours between doses"),
+    "budget": ("budget",),
+    "actual": ("actual",),
+    "variance": ("variance",),
 }
+#: Of these all lines are summed.
+SUMMED = ("deposits", "withdrawals", "deductions")
 
 
 class Figures:
@@ -134,20 +136,26 @@ CHECKS = (
 def figures(docs: DataFrame) -> DataFrame:
     """doc_id, text and a column for each of FIGURES: value and half_step, null where no line has the label."""
     lines = F.filter(T.paragraphs(F.col("text")), lambda x: x.rlike(r"[A-Za-z][ )*]*[:|][^0-9]*[0-9]"))
-    number = lambda x: F.regexp_extract(x, _LINE, 2)
-    facts = F.transform(lines, lambda x: F.struct(F.lower(F.regexp_extract(x, _LINE, 1)).alias("label"), F.regexp_replace(number(x), "[$€£¥,+]", "").try_cast("double").alias("value"), F.length(F.regexp_extract(number(x), r"\.([0-9]+)$", 1)).alias("decimals")))
-    read = docs.where("text IS NOT NULL").select("doc_id", "text", F.filter(facts, lambda f: f["value"].isNotNull()).alias("facts"))
-    made = []
-
-    def labelled(label: str) -> Column:
-        return F.filter("facts", lambda f: f["label"].rlike(label))
-
-    for name, (how, label) in FIGURES.items():
-        own = labelled(label)
-        half = 0.5 * F.pow(F.lit(10.0), -F.get(own, F.lit(0))["decimals"])
-        value = F.get(own, F.lit(0))["value"] if how == "first" else F.aggregate(own, F.lit(0.0), lambda s, f: s + f["value"])
-        made.append(F.when(F.size(own) > 0, F.struct(value.alias("value"), half.alias("half_step"))).alias(f"figure {name}"))
-    return read.where(F.size("facts") > 1).select("doc_id", "text", *made)
+    part = lambda x, k: F.regexp_extract(x, _LINE, k)
+    names = F.create_map(*(F.lit(x) for name, labels in FIGURES.items() for label in labels for x in (label, name)))
+    label = lambda x: F.trim(F.regexp_replace(F.translate(F.lower(part(x, 1)), "()", ""), " +", " "))
+    facts = F.transform(lines, lambda x: F.struct(F.try_element_at(names, label(x)).alias("name"), part(x, 2).alias("raw")))
+    read = docs.where("text IS NOT NULL").select("doc_id", "text", F.filter(facts, lambda f: f["name"].isNotNull()).alias("facts")).where(F.size("facts") > 1)
+    value = lambda f: F.regexp_replace(f["raw"], "[$€£¥,+]", "").try_cast("double")
+    half = lambda f: 0.5 * F.pow(F.lit(10.0), -F.length(F.regexp_extract(f["raw"], r"\.([0-9]+)$", 1)))
+    own = F.transform("facts", lambda f: F.struct(value(f).alias("value"), half(f).alias("half_step")))
+    read = read.select("doc_id", "text", F.col("facts.name").alias("names"), own.alias("figures"))
+
+    def figure(name: str) -> Column:
+        at = F.array_position("names", F.lit(name)).cast("int") - 1
+        first = F.get("figures", at)
+        if name not in SUMMED:
+            return F.when(at >= 0, first)
+        same = F.filter(F.arrays_zip("names", "figures"), lambda x: x["names"] == name)
+        total = F.aggregate(same, F.lit(0.0), lambda s, x: s + x["figures"]["value"])
+        return F.when(at >= 0, F.struct(total.alias("value"), first["half_step"].alias("half_step")))
+
+    return read.select("doc_id", "text", *(figure(name).alias(f"figure {name}") for name in FIGURES))
 
 
 def figure_findings(docs: DataFrame, checks: tuple[Check, ...] = CHECKS) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docaudit.session import checkpointed, scratch
+
 #: Fixed values.
 TYPED = ("ts", "tsx", "mts", "cts", "rs", "go", "java", "kt", "cs", "swift")
 UNTYPED = ("js", "jsx", "mjs", "cjs", "py", "rb", "php")
@@ -70,20 +74,52 @@ def import_edges(files: DataFrame) -> DataFrame:
     return edges.join(files.select(stem(F.col("path")).alias("b")).distinct(), "b", "left_semi").select("a", "b").distinct()
 
 
-def in_cycles(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """Nodes that remain when those without a way in or a way out are taken off again and again: on or between cycles."""
-    from docaudit.session import checkpointed
-
-    left = checkpointed(edges.where("a <> b").distinct())
-    n = left.count()
-    for _ in range(most_rounds):
-        kept = left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
-        left = checkpointed(kept.select("a", "b"))
-        now = left.count()
+def _trimmed(edges: DataFrame, kept) -> DataFrame:
+    """The edges left when nodes without a way in or a way out are taken off until there are none."""
+    n = edges.count()
+    while True:
+        inside = edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
+        edges = kept(inside.select("a", "b"))
+        now = edges.count()
         if now == n:
-            break
+            return edges
         n = now
-    return left.select(F.col("a").alias("node")).distinct()
+
+
+def _spread(edges: DataFrame, values: DataFrame, kept) -> DataFrame:
+    """node and value: the greatest value from which edges lead to the node, its own included."""
+    while True:
+        sent = edges.join(values.select(F.col("node").alias("a"), "value"), "a").select(F.col("b").alias("node"), "value")
+        now = kept(values.unionByName(sent).groupBy("node").agg(F.max("value").alias("value")))
+        if now.join(values, ["node", "value"], "left_anti").isEmpty():
+            return now
+        values = now
+
+
+def in_cycles(edges: DataFrame) -> DataFrame:
+    """Nodes on a cycle of two nodes or more; those between cycles are not. Loops and repeated edges do not count.
+
+    Each node takes the greatest node that leads to it; of those with one such colour, the ones from which edges of the
+    colour lead back to it are a strongly connected component with it. They are taken off, and the rest goes on until
+    nothing is left, however long the chains.
+    """
+    with scratch(edges.sparkSession) as kept:
+        left = _trimmed(kept(edges.where("a <> b").select("a", "b").distinct()), kept)
+        found = []
+        while not left.isEmpty():
+            nodes = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
+            colour = _spread(left, kept(nodes.select("node", F.col("node").alias("value"))), kept)
+            named = lambda c: colour.select(F.col("node").alias(c), F.col("value").alias(f"colour_{c}"))
+            same = kept(left.join(named("a"), "a").join(named("b"), "b").where("colour_a = colour_b").select(F.col("b").alias("a"), F.col("a").alias("b")))
+            roots = kept(colour.select("node", (F.col("node") == F.col("value")).alias("value")))
+            back = _spread(same, roots, kept).where("value").select("node")
+            # A root that nothing of its colour leads back to is alone.
+            found.append(kept(back.join(same.select(F.col("a").alias("node")), "node", "left_semi").join(same.select(F.col("b").alias("node")), "node", "left_semi")))
+            out = lambda c: back.select(F.col("node").alias(c))
+            left = _trimmed(kept(left.join(out("a"), "a", "left_anti").join(out("b"), "b", "left_anti").select("a", "b")), kept)
+        if not found:
+            return checkpointed(left.select(F.col("a").alias("node")))
+        return checkpointed(reduce(DataFrame.unionByName, found).distinct())
 
 
 def coverage(lcov: DataFrame) -> DataFrame:

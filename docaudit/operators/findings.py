@@ -15,6 +15,8 @@ from docaudit.functions import text as T
 from docaudit.plans import model
 from docaudit.plans.rules import FORMS, NEEDS, PATTERNS, PHRASES, Forms, Pattern, Phrases, Settings, java
 
+#: A density over fewer words says nothing.
+LEAST_WORDS = 200
 COLUMNS = ("doc_id", "rule", "severity", "n", "quote")
 
 
@@ -62,7 +64,7 @@ def _found(counted: DataFrame, rows: list[Column]) -> DataFrame:
 def pattern_findings(docs: DataFrame, rules: tuple[Pattern, ...] = PATTERNS, settings: Settings = Settings()) -> DataFrame:
     """Counts of all patterns in one scan; a document's rows are those whose bound is met.
 
-    Densities are matches in 1000 words, rounded, and need 50 words at least; a null text has no findings.
+    Densities are matches in 1000 words, rounded, and need LEAST_WORDS words at least; a null text has no findings.
     """
     live = [(k, r, limit) for k, r in enumerate(rules) if (limit := settings.limit(r.rule, r.limits)) is not None]
     sized = _searched(docs).withColumn("n_words", F.size(T.words(F.col("text"))))
@@ -71,7 +73,7 @@ def pattern_findings(docs: DataFrame, rules: tuple[Pattern, ...] = PATTERNS, set
     rows = []
     for k, r, limit in live:
         n = F.col(f"n{k}")
-        dense = (F.col("n_words") >= 50) & (F.round(n * 1000.0 / F.greatest("n_words", F.lit(1))) > limit)
+        dense = (F.col("n_words") >= LEAST_WORDS) & (F.round(n * 1000.0 / F.greatest("n_words", F.lit(1))) > limit)
         rows.append(F.when(dense if r.kind == "density" else n >= limit, _row(r, n, _quote(r.pattern))))
     return _found(counted, rows)
 
@@ -109,7 +111,7 @@ def phrase_findings(docs: DataFrame, rules: tuple[Phrases, ...] = PHRASES, setti
     sizes = docs.where("text IS NOT NULL").select("doc_id", F.size(T.words(F.col("text"))).alias("n_words"))
     counted = hits.join(F.broadcast(bounds), "rule").join(sizes, "doc_id")
     density = F.round(F.col("n") * 1000.0 / F.col("n_words"))
-    fires = F.when(F.col("kind") == "least", F.col("n") >= F.col("bound")).when(F.col("kind") == "above", F.col("n") > F.col("bound")).otherwise((F.col("n_words") >= 50) & (density > F.col("bound")))
+    fires = F.when(F.col("kind") == "least", F.col("n") >= F.col("bound")).when(F.col("kind") == "above", F.col("n") > F.col("bound")).otherwise((F.col("n_words") >= LEAST_WORDS) & (density > F.col("bound")))
     return counted.where(fires).select("doc_id", "rule", "severity", "n", F.col("m.phrase").alias("quote"))
 
 

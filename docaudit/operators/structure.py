@@ -87,11 +87,20 @@ def repeated_grams(docs: DataFrame, size: int = 4, limit: int = 5, chars: int =
     return each.groupBy("doc_id", "gram").agg(F.count("*").alias("n")).where(F.col("n") > limit)
 
 
+#: Brackets that pair (fixed values).
+PAIRS = ("()", "[]", "{}", "（）", "［］", "「」", "『』")
+
+
 def unbalanced_brackets(docs: DataFrame) -> DataFrame:
-    """doc_id, para, opened and closed of paragraphs whose round, square or curly brackets do not pair in number."""
-    count = lambda p: F.regexp_count("text", F.lit(p)).cast("bigint")
-    each = model.paragraphs(docs).select("doc_id", "para", count("[(\\[{（［「『]").alias("opened"), count("[)\\]}）］」』]").alias("closed"))
-    return each.where("opened <> closed")
+    """doc_id, para and marks: the brackets of a paragraph that are left when each one that closes takes off its partner.
+
+    A bracket that closes takes off the last one left, if that opens the same family; "( ]" and ")(" leave both.
+    """
+    marks = F.regexp_replace("text", "[^(){}\\[\\]（）［］「」『』]", "")
+    last = lambda s: F.substring(s, -1, 1)
+    left = F.aggregate(F.split("marks", ""), F.lit(""), lambda s, c: F.when((s != "") & F.concat(last(s), c).isin(*PAIRS), F.left(s, F.length(s) - 1)).otherwise(F.concat(s, c)))
+    each = model.paragraphs(docs).select("doc_id", "para", marks.alias("marks")).where("marks <> ''")
+    return each.select("doc_id", "para", left.alias("marks")).where("marks <> ''")
 
 
 def bracket_nesting(docs: DataFrame, limit: int = 1) -> DataFrame:

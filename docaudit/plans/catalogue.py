@@ -120,7 +120,12 @@ def ngram_repeat(docs):
     return structure.repeated_grams(docs, limit=2)
 
 
-@query(_with(r", c AS (SELECT doc_id, para, len(regexp_extract_all(text, '[(\[{（［「『]')) AS opened, len(regexp_extract_all(text, '[)\]}）］」』]')) AS closed FROM paragraphs) SELECT doc_id, para, opened, closed FROM c WHERE opened <> closed"), "documents")
+@query(
+    _with(r""", b AS (SELECT doc_id, para, regexp_replace(text, '[^(){}\[\]（）［］「」『』]', '', 'g') AS marks FROM paragraphs),
+    c AS (SELECT doc_id, para, list_reduce(list_concat([''], string_split(marks, '')), lambda s, c: CASE WHEN s <> '' AND list_contains(['()', '[]', '{}', '（）', '［］', '「」', '『』'], right(s, 1) || c) THEN left(s, length(s) - 1) ELSE s || c END) AS marks FROM b WHERE marks <> '')
+    SELECT * FROM c WHERE marks <> ''"""),
+    "documents",
+)
 def unbalanced_bracket(docs):
     return structure.unbalanced_brackets(docs)
 
@@ -166,14 +171,14 @@ def composite_signal(docs):
 
 
 @query(
-    f"WITH {oracle.all_findings(PATTERNS, FORMS, PHRASES)} SELECT doc_id, rule, substr(sha256(doc_id::VARCHAR || ' ' || rule), 1, 16) AS fingerprint FROM found",
+    f"WITH {oracle.all_findings(PATTERNS, FORMS, PHRASES)} SELECT doc_id, rule, substr(sha256(doc_id::VARCHAR || ' ' || rule || ' ' || n), 1, 16) AS fingerprint FROM found",
     "documents",
 )
 def fingerprint(docs):
     both = findings.pattern_findings(docs).unionByName(findings.form_findings(docs)).unionByName(findings.phrase_findings(docs))
     from docaudit.functions import text as T
 
-    return both.select("doc_id", "rule", T.fingerprint(F.col("doc_id"), F.col("rule")).alias("fingerprint"))
+    return both.select("doc_id", "rule", T.fingerprint(F.col("doc_id"), F.col("rule"), F.col("n")).alias("fingerprint"))
 
 
 @query(oracle.not_run(PATTERNS, FORMS, PHRASES), "documents")
@@ -449,16 +454,16 @@ def unused_definition(customer, orders):
 
 
 @query(
-    "SELECT coalesce(p_partkey, l_partkey) AS key, CASE WHEN p_partkey IS NULL THEN 'right' ELSE 'left' END AS side FROM part FULL JOIN (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity > 45) ON p_partkey = l_partkey WHERE p_partkey IS NULL OR l_partkey IS NULL",
-    "part", "lineitem",
+    "SELECT coalesce(p_partkey, l_partkey) AS key, CASE WHEN p_partkey IS NULL THEN 'right' ELSE 'left' END AS side FROM (SELECT doc_id AS p_partkey FROM documents) FULL JOIN (SELECT DISTINCT doc_id AS l_partkey FROM labels) ON p_partkey = l_partkey WHERE p_partkey IS NULL OR l_partkey IS NULL".replace("p_partkey", "a").replace("l_partkey", "b"),
+    "documents", "labels",
 )
-def full_outer_refs(part, lineitem):
-    return tables.unmatched(part.select(F.col("p_partkey").alias("key")), lineitem.where("l_quantity > 45").select(F.col("l_partkey").alias("key")), "key")
+def full_outer_refs(docs, labels):
+    return tables.unmatched(docs.select(F.col("doc_id").alias("key")), labels.select(F.col("doc_id").alias("key")), "key")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_quantity AS value, p_size::DOUBLE AS most FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > p_size AND l_quantity > 45", "lineitem", "part")
+@query("SELECT l_orderkey, l_linenumber, l_quantity AS value, p_size::DOUBLE AS most FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > p_size", "lineitem", "part")
 def delivered_over_ordered(lineitem, part):
-    rows = lineitem.where("l_quantity > 45").join(part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").cast("double").alias("p_size")), "l_partkey")
+    rows = lineitem.join(part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").cast("double").alias("p_size")), "l_partkey")
     return tables.over_limit(rows, ["l_orderkey", "l_linenumber"], "l_quantity", "p_size")
 
 
@@ -511,27 +516,71 @@ def table_row_overflow(docs):
     return rows.join(head, "doc_id").where("cells > head").select("doc_id", "para", "cells")
 
 
-_METRICS = [("readability", "max_sentence", "ok", 30.0, 20.0, 60.0, 2.0), ("readability", "passive", "absent", None, 5.0, 30.0, 1.0), ("structure", "headings", "ok", 0.5, 1.0, 0.0, 1.0), ("structure", "tables", "skipped", None, 1.0, 0.0, 1.0), ("structure", "links", "ok", 12.0, 0.0, 10.0, 1.0)]
-_METRIC_ROWS = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in _METRICS)
+#: Measures of documents, by dimension: what is good, what is bad, and the weight.
+_METRICS = (("readability", "words_a_sentence", 15.0, 40.0, 2.0), ("readability", "variation", 60.0, 10.0, 1.0), ("structure", "sentences_10_paragraphs", 30.0, 120.0, 1.0))
+_METRIC_ROWS = ", ".join(f"('{d}', (SELECT avg({m}) FROM m), {good}, {bad}, {weight})" for d, m, good, bad, weight in _METRICS)
+
+
+@query(
+    _with(_MEASURED + f""" SELECT dimension, round(sum(weight * 100 * least(1, greatest(0, (bad - value) / (bad - good)))) / sum(weight), 4) AS score
+    FROM (VALUES {_METRIC_ROWS}) v(dimension, value, good, bad, weight) GROUP BY dimension"""),
+    "documents",
+)
+def rubric_score(docs):
+    means = reports.measures(docs).agg(*(F.avg(m).alias(m) for _, m, _, _, _ in _METRICS))
+    rows = F.array(*(F.struct(F.lit(d).alias("dimension"), F.lit(m).alias("metric"), F.lit("ok").alias("state"), F.col(m).alias("value"), F.lit(good).alias("good"), F.lit(bad).alias("bad"), F.lit(weight).alias("weight")) for d, m, good, bad, weight in _METRICS))
+    return reports.rubric(means.select(F.explode(rows).alias("r")).select("r.*"))
+
+
+_LINE_TEXT = ("Budget: ", "l_extendedprice", "\nActual: ", "actual", "\nVariance: ", "variance", "\nGross weight: ", "l_quantity", " kg\nNet weight: ", "net", " kg\nCapacity: ", "seats", "\nRegistered: ", "l_quantity")
 
 
 @query(
-    f"""SELECT dimension, round(sum(weight * CASE WHEN state = 'absent' THEN 0 ELSE 100 * least(1, greatest(0, (bad - value) / (bad - good))) END) / sum(weight), 4) AS score
-    FROM (VALUES {_METRIC_ROWS}) m(dimension, metric, state, value, good, bad, weight) WHERE state <> 'skipped' GROUP BY dimension""",
-    "region",
+    """WITH d AS (SELECT l_orderkey || ':' || l_linenumber AS doc_id, l_quantity, l_linenumber FROM lineitem)
+    SELECT doc_id, 'variance-mismatch' AS rule FROM d WHERE l_quantity > 40 UNION ALL SELECT doc_id, 'net-over-gross' FROM d WHERE l_linenumber * 6 > l_quantity UNION ALL SELECT doc_id, 'count-over-capacity' FROM d WHERE l_quantity > 45""",
+    "lineitem",
 )
-def rubric_score(region):
-    metrics = region.sparkSession.createDataFrame(_METRICS, "dimension string, metric string, state string, value double, good double, bad double, weight double")
-    return reports.rubric(metrics)
+def figure_findings(lineitem):
+    """Statements written out from line items and read again: the rules must find what the columns say."""
+    from docaudit.operators import arithmetic
+
+    typed = lineitem.withColumns({
+        "actual": F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2), "seats": F.lit(45.0), "net": F.col("l_linenumber") * 6.0,
+    }).withColumn("variance", F.col("l_extendedprice") - F.col("actual") + F.when(F.col("l_quantity") > 40, 1).otherwise(0))
+    parts = [F.format_number(x, 2) if x.isidentifier() else F.lit(x) for x in _LINE_TEXT]
+    docs = typed.select(F.concat_ws(":", "l_orderkey", "l_linenumber").alias("doc_id"), F.concat(*parts).alias("text"))
+    return arithmetic.figure_findings(docs).select("doc_id", "rule")
+
+
+@query(None, "documents")
+def arithmetic_findings(docs):
+    from docaudit.operators import arithmetic
+
+    return arithmetic.findings(docs)
+
+
+@query(None, "documents")
+def mention_findings(docs):
+    from docaudit.operators import mentions
+
+    return mentions.findings(docs)
+
+
+@query(None, "documents")
+def document_atoms(docs):
+    from docaudit.operators import mentions
+
+    return mentions.atoms(docs).groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("documents"))
 
 
-@query(_with(r""", n AS (SELECT doc_id, list_sort(regexp_extract_all(text, '[0-9]+')) AS numbers, substr(text, 1, 40) AS head FROM documents WHERE text IS NOT NULL),
-    p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.numbers AS x, b.numbers AS y FROM n a JOIN n b ON a.head = b.head AND a.doc_id < b.doc_id)
+@query(_with(r""", n AS (SELECT doc_id, list_sort(regexp_extract_all(text, '[0-9]+')) AS numbers, string_split(text, chr(10))[1] AS head FROM documents WHERE text IS NOT NULL),
+    p AS (SELECT first_value(doc_id) OVER w AS a, doc_id AS b, first_value(numbers) OVER w AS x, numbers AS y FROM n WINDOW w AS (PARTITION BY head ORDER BY doc_id))
     SELECT a, b, len(x) AS before, len(y) AS after FROM p WHERE x <> y"""), "documents")
 def fact_diff(docs):
-    own = docs.where("text IS NOT NULL").select("doc_id", F.array_sort(F.regexp_extract_all("text", F.lit("([0-9]+)"), F.lit(1))).alias("numbers"), F.substring("text", 1, 40).alias("head"))
-    other = own.select(F.col("doc_id").alias("b"), F.col("numbers").alias("y"), "head")
-    pairs = own.select(F.col("doc_id").alias("a"), F.col("numbers").alias("x"), "head").join(other, "head").where("a < b AND x <> y")
+    """Documents with one first line against the first of them: their numbers differ. A hot line is met once a document."""
+    own = docs.where("text IS NOT NULL").select("doc_id", F.array_sort(F.regexp_extract_all("text", F.lit("([0-9]+)"), F.lit(1))).alias("numbers"), F.xxhash64(F.split("text", "\n", 2)[0]).alias("h"), F.split("text", "\n", 2)[0].alias("head"))
+    first = own.groupBy("h", "head").agg(F.min(F.struct("doc_id", "numbers")).alias("f")).select("h", "head", F.col("f.doc_id").alias("a"), F.col("f.numbers").alias("x"))
+    pairs = own.join(first, ["h", "head"]).select("a", F.col("doc_id").alias("b"), "x", F.col("numbers").alias("y")).where("x <> y")
     return pairs.select("a", "b", F.size("x").cast("bigint").alias("before"), F.size("y").cast("bigint").alias("after"))
 
 

@@ -21,7 +21,7 @@ def _patterns(rules: tuple[Pattern, ...]) -> str:
     for r in rules:
         limit = _NORMAL.limit(r.rule, r.limits)
         lang = "TRUE" if r.lang is None else f"lang = {_text(r.lang)}"
-        fires = f"n_words >= 50 AND round(n * 1000.0 / greatest(n_words, 1)) > {limit}" if r.kind == "density" else f"n >= {limit}"
+        fires = f"n_words >= 200 AND round(n * 1000.0 / greatest(n_words, 1)) > {limit}" if r.kind == "density" else f"n >= {limit}"
         parts.append(f"SELECT doc_id, {_text(r.rule)} AS rule, {_text(r.severity)} AS severity, n FROM (SELECT doc_id, n_words, CASE WHEN {lang} THEN {_number(r.pattern)} ELSE 0 END AS n FROM counted) WHERE {fires}")
     return "\nUNION ALL ".join(parts)
 
@@ -49,7 +49,7 @@ spots AS (SELECT doc_id, lang, para, sent, nth, last, w, unnest(range(1, len(w)
 hits AS (SELECT doc_id, rule, bound, kind, severity, para, sent, min(ordinal) AS ordinal, arg_min(phrase, ordinal) AS phrase FROM spots JOIN lexicon ON word = string_split(phrase, ' ')[1] AND lang = language
   WHERE array_to_string(w[pos:pos + size - 1], ' ') = phrase AND (place = 'any' OR (place = 'start' AND pos = 1) OR (place = 'opening' AND nth <= 4) OR (place = 'closing' AND para = last)) GROUP BY ALL),
 tallied AS (SELECT doc_id, rule, bound, kind, severity, count(*) AS n, arg_min(phrase, para * 100000 + sent) AS quote FROM hits GROUP BY ALL),
-phrase_found AS (SELECT doc_id, rule, severity, n, quote FROM tallied JOIN counted USING (doc_id) WHERE CASE kind WHEN 'least' THEN n >= bound WHEN 'above' THEN n > bound ELSE n_words >= 50 AND round(n * 1000.0 / n_words) > bound END)"""
+phrase_found AS (SELECT doc_id, rule, severity, n, quote FROM tallied JOIN counted USING (doc_id) WHERE CASE kind WHEN 'least' THEN n >= bound WHEN 'above' THEN n > bound ELSE n_words >= 200 AND round(n * 1000.0 / n_words) > bound END)"""
 
 
 def patterns(rules: tuple[Pattern, ...]) -> str:

@@ -99,7 +99,7 @@ PATTERNS = (
     Pattern("no-nakaguro-parallel", r"[^・\n。]+(?:・[^・\n。]+){5,}", severity="info"),
     Pattern("max-kanji-continuous", r"\p{Han}{9,}", severity="info"),
     Pattern("max-ten", r"(?:[^。、\n]*、){7,}", severity="info"),
-    Pattern("connective-hierarchy", r"並びに[^。及\n]*。|若しくは[^。又\n]*。"),
+    Pattern("connective-hierarchy", r"(?:^|[。\n])(?:[^。及\n]*並びに[^。及\n]*|[^。又\n]*若しくは[^。又\n]*)。"),
     Pattern("repeated-exclamation", r"!!+", (1, 3, 6), severity="info"),
 )
 
