@@ -18,6 +18,8 @@ from docaudit.llm.language import bucket
 
 #: At most so many labelled rows are learned from, those with the smallest hash of their id.
 TRAINING_ROWS = 3000
+#: Documents of more bytes are not learned from, so that the sample is bounded whatever the texts.
+TRAINING_BYTES = 32_768
 #: In training, a longer document is several sequences of so many lines.
 TRAINING_LINES = 64
 
@@ -131,20 +133,23 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = TRAINING_ROWS) -> Model | None:
-    """A model of labels.quality from at most `rows` documents for which `learn` holds; None without both classes."""
+    """A model of labels.quality from at most `rows` documents for which `learn` holds; None without both classes.
+
+    Null texts count as empty; of rows with one id the least text counts, of repeated labels the lower one.
+    """
     marked = labels.where(learn & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = {r.doc_id: r.quality for r in marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()}
     if len(set(chosen.values())) < 2:
         return None
-    found = docs.where(F.col("doc_id").isin(list(chosen))).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).toPandas()
-    found = found.sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
+    own = docs.where(F.col("doc_id").isin(list(chosen))).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = own.where(F.octet_length("text") <= TRAINING_BYTES).groupBy("doc_id").agg(F.min("text").alias("text")).toPandas().sort_values("doc_id")
     classes = [chosen[d] for d in found.doc_id]
     return Model(found.text.tolist(), classes) if len(set(classes)) == 2 else None
 
 
 def score(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
-    """Adds `score` to the kept columns: the model's P(good); 0.5 for all without a model. Null text counts as empty."""
-    keep = keep if keep is not None else docs.columns
+    """Adds `score` to the kept columns, in place of one of that name: the model's P(good); 0.5 for all without a model. Null text counts as empty."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c != "score"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(part, data, offsets):
@@ -153,7 +158,7 @@ def score(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -
         return pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in keep), pa.array(got)], names=[*keep, "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return batches.map_slices(docs.select(*{*keep, "text"}), run, f"{schema}, score double")
+    return batches.map_slices(docs.select(*dict.fromkeys([*keep, "text"])), run, ", ".join(x for x in (schema, "score double") if x))
 
 
 def held_out(doc_id: Column) -> Column:
