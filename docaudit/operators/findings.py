@@ -85,24 +85,21 @@ def phrase_hits(docs: DataFrame, rules: tuple[Phrases, ...] = PHRASES, settings:
     """
     rows = [(r.rule, k, p.split(), len(p.split()), r.where, r.lang) for r in rules if settings.limit(r.rule, r.limits) is not None for k, p in enumerate(r.phrases)]
     lexicon = docs.sparkSession.createDataFrame(rows, "rule string, ordinal int, parts array<string>, size int, place string, language string")
-    cut = model.sentences(docs).select("doc_id", "lang", "para", "sent", "n_words", T.bare_words(F.col("text")).alias("words"))
-    last = F.max("para").over(_by_document())
-    nth = F.row_number().over(_by_document().orderBy("para", "sent"))
-    placed = cut.withColumns({"last": last, "nth": nth})
-    each = placed.select("*", F.posexplode("words").alias("pos", "word"))
+    cut = model.sentences(docs).select("doc_id", "lang", "para", "sent", T.bare_words(F.col("text")).alias("words"))
+    each = cut.select("*", F.posexplode_outer("words").alias("pos", "word")).where("word IS NOT NULL")
     joined = each.join(F.broadcast(lexicon.withColumn("word", F.col("parts")[0])), "word").where(F.col("lang") == F.col("language"))
-    matched = joined.where(F.slice("words", F.col("pos") + 1, F.col("size")) == F.col("parts"))
-    there = (F.col("place") == "any") | ((F.col("place") == "start") & (F.col("pos") == 0)) | ((F.col("place") == "opening") & (F.col("nth") <= 4)) | ((F.col("place") == "closing") & (F.col("para") == F.col("last")))
-    hits = matched.where(there).groupBy("doc_id", "rule", "para", "sent").agg(F.min(F.struct("ordinal", "parts")).alias("m"))
+    matched = joined.where(F.slice("words", F.col("pos") + 1, F.col("size")) == F.col("parts")).select("doc_id", "rule", "place", "para", "sent", "pos", "ordinal", "parts")
+    anywhere = matched.where((F.col("place") == "any") | ((F.col("place") == "start") & (F.col("pos") == 0)))
+    # Where a document opens and closes is asked for its matches alone.
+    ends = matched.where(F.col("place").isin("opening", "closing"))
+    sentence = F.struct("para", "sent")
+    bounds = model.sentences(docs).join(ends.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("para").alias("last"), F.slice(F.array_sort(F.collect_list(sentence)), 1, 4).alias("first"))
+    inside = F.when(F.col("place") == "opening", F.array_contains("first", sentence)).otherwise(F.col("para") == F.col("last"))
+    placed = anywhere.unionByName(ends.join(bounds, "doc_id").where(inside).select(*anywhere.columns))
+    hits = placed.groupBy("doc_id", "rule", "para", "sent").agg(F.min(F.struct("ordinal", "parts")).alias("m"))
     return hits.select("doc_id", "rule", "para", "sent", F.array_join("m.parts", " ").alias("phrase"))
 
 
-def _by_document():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("doc_id")
-
-
 def phrase_findings(docs: DataFrame, rules: tuple[Phrases, ...] = PHRASES, settings: Settings = Settings()) -> DataFrame:
     """One row for each rule and document whose sentences hit meet its bound."""
     live = [r for r in rules if settings.limit(r.rule, r.limits) is not None]

@@ -118,3 +118,20 @@ def test_cycles(spark):
     assert found == {"a", "b", "c", "d", "e"}
     assert assay.in_cycles(spark.createDataFrame(chain, "a string, b string")).count() == 0
     assert assay.in_cycles(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_phrases_by_place(spark):
+    from docaudit.plans.rules import Phrases
+
+    rules = tuple(Phrases(f"r-{place}", ("picture this",), (1, 1, 1), where=place) for place in ("any", "start", "opening", "closing"))
+    texts = {
+        1: "One. Two. Three. We picture this. Five.\nEnd of it.",
+        2: "One. Two. Three. Four. Picture this now.\nEnd of it.",
+        3: "One. Two. Three. Four. Five.\nThe end. We picture this!",
+        4: "Picture this.",
+        5: "Nothing here.",
+        6: None,
+    }
+    docs = spark.createDataFrame([(k, "en", t) for k, t in texts.items()], "doc_id bigint, lang string, text string")
+    found = {(r.doc_id, r.rule) for r in findings.phrase_findings(docs, rules).collect()}
+    assert found == {(1, "r-any"), (1, "r-opening"), (2, "r-any"), (2, "r-start"), (3, "r-any"), (3, "r-closing"), *((4, r.rule) for r in rules)}
