@@ -18,6 +18,8 @@ from docaudit.llm import batches
 #: language has no others, and then one. An automaton takes about 50 bytes a letter, in the broadcast and each worker.
 ROWS_PER_LANGUAGE = 16
 ROW_BYTES = 4096
+#: So many languages are learned at most, those with most labelled rows: labels may be anything.
+LANGUAGES = 500
 #: So many code points of a text are parsed side by side with the rest of it; results do not depend on it.
 LANE = 1024
 #: Documents with more phrases per letter than this in the best language are in none of the learned ones.
@@ -237,6 +239,11 @@ def training_rows(docs: DataFrame, learn: Column, rows: int = ROWS_PER_LANGUAGE,
     """
     labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     labelled = labelled.select("lang", "doc_id", "text", F.xxhash64("text").alias("row"))
+    most = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    counts = {r.lang: r.n for r in most.collect()}
+    if not counts:
+        return {}
+    labelled = labelled.where(F.col("lang").isin(list(counts)))
     long = F.octet_length("text") > row_bytes
     place = F.struct(long.alias("long"), F.when(long, F.octet_length("text")).alias("size"), F.xxhash64("doc_id").alias("hash"), "doc_id", "row")
     ids = labelled.select("lang", place.alias("place")).distinct()
@@ -246,7 +253,6 @@ def training_rows(docs: DataFrame, learn: Column, rows: int = ROWS_PER_LANGUAGE,
     # A bounded number of rows for each language, of bounded bytes.
     met = (F.col("lang") == F.col("_lang")) & (F.col("doc_id") == F.col("_id")) & (F.col("row") == F.col("_row"))
     table = labelled.join(F.broadcast(chosen), met).select("lang", "nth", "text").toPandas().sort_values(["lang", "nth"]).drop_duplicates(["lang", "nth"])
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()} if len(table) else {}
     made = {language: " ".join(letters(x) for x in own.text) for language, own in table.groupby("lang")}
     return {k: made[k] for k in sorted(made, key=lambda x: (-counts[x], x)) if made[k].strip()}
 
