@@ -7,17 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docaudit.llm import contamination, language, line_chunks, packing, pii, quality, simhash, site_tree, substrings, weighted_sampling
+from docaudit.llm import alignment, contamination, language, line_chunks, negatives, packing, pii, quality, sharding, simhash, site_tree, substrings, weighted_sampling
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_site_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,9 +79,31 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors, id_ = table(spark, sf_dir, "embeddings"), F.col("vec_id")
+    relabelled = vectors.withColumn("label", F.when(id_ % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(relabelled, id_ % 100 == 0)
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    crc = F.crc32(F.coalesce("text", F.lit("")))
+    return found.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = (
+    op1_site_tree, op2_packing, op3_decontamination, op4_substrings, op5_weighted_sampling, op6_pii, op7_line_chunks, op8_simhash, op9_language, op10_quality,
+    op11_alignment, op12_negatives, op13_sharding,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_site_tree, op2_packing, op3_decontamination, op4_substrings, op5_weighted_sampling, op6_pii, op7_line_chunks, op8_simhash, op9_language, op10_quality)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_chunks": line_chunks.SQL}
+    return {"op7_line_chunks": line_chunks.SQL, "op12_negatives": negatives.SQL}

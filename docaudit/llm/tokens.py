@@ -8,6 +8,7 @@ the tokenizer whole. Pieces' ids are kept for each Python worker up to a bound.
 from __future__ import annotations
 
 import functools
+import itertools
 import unicodedata
 
 import numpy as np
@@ -16,6 +17,8 @@ from docaudit.llm import words
 
 #: Pieces a worker remembers before it starts over.
 KNOWN_PIECES = 200_000
+#: Bytes beyond which a text is cut for the sentencepiece model.
+WHOLE = 1 << 16
 #: Byte classes: 0 white space, 1 letter, 2 digit, 3 other, 4 left to the tokenizer.
 CLASS = np.full(256, 3, np.uint8)
 CLASS[[0x20, *range(0x09, 0x0E)]] = 0
@@ -32,15 +35,26 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    def __init__(self, path: str):
+    """With plain, the strings of added tokens inside texts are ordinary text."""
+
+    def __init__(self, path: str, plain: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain
         #: Tokens that the tokenizer cuts out before its pattern; texts that hold one go through it whole.
-        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = [] if plain else [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
         self.forget()
 
+    def token_bytes(self) -> list[bytes]:
+        """The bytes of every id; an added token's are its own string's."""
+        back = {ord(c): b for b, c in self.letters.items()}
+        found = [b""] * self.tokenizer.get_vocab_size()
+        for token, k in self.tokenizer.get_vocab().items():
+            found[k] = bytes(back[ord(c)] for c in token) if all(ord(c) in back for c in token) else token.encode()
+        return found
+
     def forget(self) -> None:
         self.places: dict[bytes, int] = {}
         self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
@@ -115,6 +129,51 @@ class Encoder:
         return ids, total[np.searchsorted(at, offsets)]
 
 
+class PieceEncoder:
+    """A sentencepiece BPE over texts that begin with the blank it would add.
+
+    No piece of the vocabulary has a blank behind another character, so merges never cross the start of a run of
+    blanks: there long texts are cut, and the merges' memory depends on the longest stretch without a blank alone.
+    """
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.names = [self.model.id_to_piece(k) for k in range(self.model.get_piece_size())]
+        if any("\u2581" in x.lstrip("\u2581") for x in self.names):
+            raise ValueError("pieces of this vocabulary cross blanks")
+
+    def token_bytes(self) -> list[bytes]:
+        """The bytes of every id, U+2581 as a blank and <0xHH> as the byte HH."""
+        return [bytes([int(x[3:5], 16)]) if self.model.is_byte(k) else x.replace("\u2581", " ").encode() for k, x in enumerate(self.names)]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, one text behind the other, and where each text's begin (one more at the end).
+
+        Each text is empty or begins with a blank. One with U+2581 of its own may be cut elsewhere than the model would.
+        """
+        raw, parts, firsts = data.tobytes(), [], [0]
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            while a < b:
+                to = raw.find(b" ", min(a + WHOLE, b), b) if b - a > WHOLE else b
+                while 0 < to < b and raw[to - 1] == 0x20:  # not within a run
+                    to = raw.find(b" ", to + 1, b)
+                to = b if to < 0 or to == b - 1 else to  # a blank alone is nothing to the model
+                parts.append(raw[a + 1 : to].decode("utf-8", "replace"))
+                a = to
+            firsts.append(len(parts))
+        found = self.model.encode(parts, num_threads=1) if parts else []
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(itertools.chain.from_iterable(found), np.int32, int(sizes.sum()))
+        return ids, np.r_[0, np.cumsum(sizes)][np.array(firsts)].astype(np.int64)
+
+
+@functools.cache
+def encoder(path: str, plain: bool = False) -> Encoder:
+    return Encoder(path, plain)
+
+
 @functools.cache
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def piece_encoder(path: str) -> PieceEncoder:
+    return PieceEncoder(path)
