@@ -90,9 +90,9 @@ def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sharding.shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    crc = F.crc32(F.coalesce("text", F.lit("")))
-    return found.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    docs = table(spark, sf_dir, "documents")
+    found = sharding.shards(docs.select("doc_id", "text", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32")))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 QUERIES = (
