@@ -139,16 +139,11 @@ def number_without_unit(docs: DataFrame) -> DataFrame:
     return each.where("bare AND bares = 1 AND units = n - 1 AND n >= 3").select("doc_id", "line", F.col("text").alias("quote"))
 
 
-def table_total_mismatch(docs: DataFrame) -> DataFrame:
-    """A row labelled total whose number in a column is not the sum of those above it, within a cent for each."""
-    body = table_cells(docs).where("row > 0")
-    value = F.regexp_replace(F.regexp_extract("text", "^[$€£]?\\s*(-?[0-9][0-9,]*(?:\\.[0-9]+)?)$", 1), ",", "").try_cast("decimal(18,4)")
-    labels = body.where("col = 1").select("doc_id", "tbl", "row", F.lower("text").rlike("^\\**(grand )?total\\b").alias("total"))
-    cells = body.where("col > 1").withColumn("value", value).join(labels, ["doc_id", "tbl", "row"])
-    totals = cells.where("total AND value IS NOT NULL").select("doc_id", "tbl", "col", "line", F.col("row").alias("last"), F.col("value").alias("written"))
-    parts = cells.where("NOT total").select("doc_id", "tbl", "col", "row", "value")
-    summed = totals.join(parts, ["doc_id", "tbl", "col"]).where("row < last").groupBy("doc_id", "tbl", "col", "line", "written").agg(F.sum("value").alias("expected"), F.count("value").alias("n"), F.count("*").alias("all"))
-    return summed.where((F.col("n") >= 2) & (F.col("n") == F.col("all")) & (F.abs(F.col("written") - F.col("expected")) > 0.01 * F.col("n"))).select("doc_id", "line", F.col("written").cast("string").alias("quote"))
+def total_mismatch(docs: DataFrame) -> DataFrame:
+    """Totals of tables and lists that no admissible sum makes; see runs.totals()."""
+    from docaudit.operators import runs
+
+    return runs.totals(docs).select("doc_id", "line", "quote")
 
 
 def table_product_mismatch(docs: DataFrame) -> DataFrame:
@@ -272,7 +267,7 @@ RULES = {
         number_without_unit, broken_link, image_alt_text, image_file_name_alt, vague_link_text, link_text_url_mismatch, footnote_mismatch, unclosed_code_fence, heading_echo,
         step_reference_missing, dangling_figure_reference, dangling_reference, emoji_heading, bold_label_list, rule_of_three, preamble_length,
     )
-} | {"total-mismatch": table_total_mismatch, "line-amount-mismatch": table_product_mismatch}
+} | {"total-mismatch": total_mismatch, "line-amount-mismatch": table_product_mismatch}
 
 
 def findings(docs: DataFrame, rules: tuple[str, ...] = tuple(RULES)) -> DataFrame:

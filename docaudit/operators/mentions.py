@@ -194,7 +194,7 @@ def unused_definition(docs: DataFrame) -> DataFrame:
 def phone_number_variant(docs: DataFrame) -> DataFrame:
     """Numbers of one document that differ by two neighbouring digits swapped."""
     raw = F.regexp_extract_all("text", F.lit("(\\+?[0-9][0-9() .-]{7,18}[0-9])"), F.lit(1))
-    own = docs.where("text IS NOT NULL").select("doc_id", F.explode(raw).alias("raw")).select("doc_id", F.regexp_replace("raw", "[^0-9]", "").alias("digits")).distinct()
+    own = docs.where("text IS NOT NULL").select("doc_id", F.explode(raw).alias("raw")).where(~F.col("raw").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}")).select("doc_id", F.regexp_replace("raw", "[^0-9]", "").alias("digits")).distinct()
     swaps = F.transform(F.sequence(F.lit(1), F.length("digits") - 1), lambda k: F.concat(F.substring("digits", F.lit(1), k - 1), F.substring("digits", k + 1, F.lit(1)), F.substring("digits", k, F.lit(1)), F.substring("digits", k + 2, F.length("digits"))))
     turned = own.select("doc_id", F.col("digits").alias("one"), F.explode(swaps).alias("digits")).where("one < digits")
     return turned.join(own, ["doc_id", "digits"]).select("doc_id", F.lit(1).alias("para"), F.concat_ws(" / ", "one", "digits").alias("quote")).distinct()

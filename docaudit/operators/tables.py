@@ -36,6 +36,49 @@ def total_mismatch(parts: DataFrame, totals: DataFrame, key: str, part: str, tot
     return joined.where((F.col("n") >= 2) & (F.abs(F.col("written") - F.col("expected")) > F.col("n"))).select(key, "written", "expected", "n")
 
 
+#: A total for a year over parts by quarter, month or week.
+YEARLY = (4, 12, 52)
+
+
+def inadmissible_totals(
+    rows: DataFrame, key: list[str], position: str, label: str, value: str, unsure: str | None = None, bare: str | None = None, closing: str | None = None, span: str | None = None, keep: list[str] | None = None
+) -> DataFrame:
+    """Rows that `label` calls totals whose value no admissible sum of the rows above makes: keep, position, written and expected.
+
+    Values are whole numbers; null ones are not added. Admissible are the sum of all parts, of the parts behind the
+    last total, and of that total and those parts; without parts, the sum of totals. Two parts (or two totals alone)
+    must stand above, none of them unsure. Optional boolean columns: bare (numbers without a unit, where the total must
+    be above each part unless one is negative), closing (may be the sum of the last parts from any row on, or the rest
+    less it), span (may be YEARLY times a sum). Rows of one key and position come in any order; keys are null-safe.
+    """
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c else F.lit(False)
+    is_total, amount = F.coalesce(F.col(label), F.lit(False)), F.col(value)
+    above = Window.partitionBy(*key).orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*key).orderBy(position).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    part, total = F.when(~is_total, amount), F.when(is_total, amount)
+    each = rows.withColumns({
+        "_parts": F.coalesce(F.sum(part).over(above), F.lit(0)), "_n": F.count(part).over(above), "_totals": F.coalesce(F.sum(total).over(above), F.lit(0)), "_t": F.count(total).over(above),
+        "_last": F.last(total, True).over(above), "_unsure": F.coalesce(F.max(flag(unsure)).over(above), F.lit(False)), "_least": F.min(part).over(above), "_most": F.max(part).over(above),
+    })
+    each = each.withColumn("_behind", F.col("_parts") - F.coalesce(F.last(F.when(is_total & amount.isNotNull(), F.col("_parts")), True).over(above), F.lit(0)))
+    sums = F.when(F.col("_n") == 0, F.array("_totals")).otherwise(F.array(F.col("_parts"), F.col("_behind"), F.coalesce(F.col("_last"), F.lit(0)) + F.col("_behind")))
+    if closing:
+        # The closing row is the last one: what it says and the sum of all parts are known to every row of its key.
+        said, all_ = F.last(F.when(flag(closing), amount), True).over(whole), F.last(F.when(flag(closing), F.col("_parts")), True).over(whole)
+        each = each.withColumns({"_said": said, "_all": all_})
+        # A cut before a part: the parts from there on, or those before it less them.
+        fits = part.isNotNull() & ((F.col("_parts") == F.col("_all") - F.col("_said")) | ((F.col("_parts") * 2 == F.col("_all") + F.col("_said")) & (F.col("_n") > 0)))
+        each = each.withColumn("_fits", F.max(F.coalesce(fits, F.lit(False))).over(whole))
+    admitted = F.exists(sums, lambda s: s == amount) | (flag(span) & F.exists(sums, lambda s: (s != 0) & ((s * YEARLY[0] == amount) | (s * YEARLY[1] == amount) | (s * YEARLY[2] == amount))))
+    if closing:
+        admitted = admitted | (flag(closing) & F.col("_fits"))
+    enough = (F.col("_n") >= 2) | ((F.col("_n") == 0) & (F.col("_t") >= 2))
+    as_sum = ~flag(bare) | F.coalesce((F.col("_least") < 0) | (F.col("_most") < amount), F.lit(True))
+    expected = F.when(F.col("_n") == 0, F.col("_totals")).otherwise(F.coalesce(F.col("_last"), F.lit(0)) + F.col("_behind"))
+    wrong = each.where(is_total & amount.isNotNull() & enough & as_sum & ~F.col("_unsure") & ~flag(unsure) & ~admitted)
+    return wrong.select(*(keep or key), position, amount.alias("written"), expected.alias("expected"))
+
+
 def rate_mismatch(rows: DataFrame, key: list[str], base: str, rate: str, written: str) -> DataFrame:
     """Rows whose written amount is not base times rate under any rounding."""
     return product_mismatch(rows, key, base, rate, written)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from docaudit.operators import findings, reports, structure, tables
 from docaudit.plans import model, oracle
+from docaudit.plans import planted as planted  # registers its queries
+from docaudit.plans.registry import ORACLE, QUERIES, query
 from docaudit.plans.rules import FORMS, PATTERNS, PHRASES
 from docaudit.sources import readers
 
@@ -17,25 +19,6 @@ BANDS = (("AUTOMOBILE", -1000.0, 9000.0), ("BUILDING", 0.0, 10000.0), ("FURNITUR
 SWEEP_LIMITS = (15, 20, 25, 30, 40, 50, 75)
 SIGNALS = ("all-caps-shouting", "repeated-exclamation", "digit-density", "comma-space-form", "exclamation-form", "demonstrative-opener", "common-opener", "doubled-punctuation", "which-that-consistency")
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def query(sql: str | None, *names: str):
-    """Registers a function of the named tables under its name, with its SQL."""
-
-    def register(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(*(table(spark, sf_dir, n) for n in names))
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return register
-
 
 def _with(rest: str) -> str:
     return f"WITH {model.SQL.strip()} {rest}"
