@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Stands between sentences while a paragraph is cut.
 MARK = "\x01"
@@ -44,6 +48,32 @@ def bare_words(text: Column) -> Column:
     return F.filter(F.transform(words(text), bare), lambda x: F.length(x) > 0)
 
 
+def fold(text: str) -> str:
+    """NFKC in lower case without white space: full and half width, composed and decomposed forms are alike."""
+    return unicodedata.normalize("NFKC", "".join(text.split())).lower()
+
+
+@F.pandas_udf(StringType())
+def _folded(texts: pd.Series) -> pd.Series:
+    return texts.map(fold, na_action="ignore")
+
+
+def folded(text: Column) -> Column:
+    """fold() of each text, null for null; texts of ASCII alone stay in the JVM."""
+    ascii_ = F.lower(F.regexp_replace(text, r"[\t-\r\x1c-\x20]+", ""))
+    return F.when(F.octet_length(text) == F.length(text), ascii_).otherwise(_folded(text))
+
+
+@F.pandas_udf(StringType())
+def _nfkc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+
+
+def nfkc(text: Column) -> Column:
+    """The compatibility composition of a text: full-width letters and half-width kana as the usual ones."""
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(_nfkc(text))
+
+
 def fingerprint(*parts: Column) -> Column:
     """The first 16 hexadecimal digits of the SHA-256 of the parts, white space runs as one blank."""
     return F.substring(F.sha2(F.concat_ws(" ", *(F.trim(F.regexp_replace(p.cast("string"), "\\s+", " ")) for p in parts)), 256), 1, 16)

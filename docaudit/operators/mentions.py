@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -294,26 +296,62 @@ def compare(before: DataFrame, after: DataFrame) -> DataFrame:
     return joined.select(*keyed, F.coalesce("text", "now").alias("text"), outcome.alias("outcome"))
 
 
+#: Characters of quotations that one automaton holds.
+QUOTES_HELD = 2_000_000
+
+
 def cite(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     """quote_id and outcome of quotations: ok, quote-elsewhere, quote-not-found or missing-address.
 
-    quotes(quote_id, doc_id, quote) names the source; white space and case do not count. A quote not in its own source
-    is looked for in all by its first six words, so that no two texts meet without a reason.
+    quotes(quote_id, doc_id, quote) names the source; texts are compared in NFKC and lower case without white space,
+    wherever a quotation begins. One of white space alone, or null, is in no source. A quotation whose own source lacks
+    it is looked for in all. missing-address: the source is not there, or has no text. Sources with one id are one.
+    """
+    own = quotes.select("quote_id", "doc_id", T.folded(F.col("quote")).alias("key"))
+    named = own.select("doc_id", "key").where("key <> ''").distinct()
+    there = sources.where("text IS NOT NULL").select("doc_id").distinct().withColumn("there", F.lit(True))
+    met = named.join(sources.where("text IS NOT NULL").select("doc_id", T.folded(F.col("text")).alias("body")), "doc_id")
+    held = met.where(F.contains("body", F.col("key"))).select("doc_id", "key").distinct().withColumn("ok", F.lit(True))
+    direct = own.join(there, "doc_id", "left").join(held, ["doc_id", "key"], "left")
+    found = held_anywhere(direct.where("there AND ok IS NULL AND key <> ''").select("key"), sources).withColumn("seen", F.lit(True))
+    outcome = F.when(F.col("there").isNull(), "missing-address").when(F.col("ok"), "ok").when(F.col("seen"), "quote-elsewhere").otherwise("quote-not-found")
+    return direct.join(found, "key", "left").select("quote_id", outcome.alias("outcome"))
+
+
+def held_anywhere(keys: DataFrame, sources: DataFrame) -> DataFrame:
+    """Those keys (folded, not empty) that the folded text of any source holds at any place, each once.
+
+    Keys are searched for all at once by an automaton, in blocks of QUOTES_HELD characters: a stated set of queries,
+    whose blocks each read the sources once. A key longer than that is a block of its own.
     """
-    flat = lambda c: F.lower(F.regexp_replace(c, "\\s+", ""))
-    own = quotes.join(sources.select("doc_id", F.lit(True).alias("there"), flat(F.col("text")).alias("body")), "doc_id", "left")
-    direct = own.select("quote_id", "quote", F.coalesce("there", F.lit(False)).alias("there"), F.coalesce(F.contains("body", flat(F.col("quote"))), F.lit(False)).alias("ok"))
-    return _elsewhere(direct, sources, flat)
-
-
-def _elsewhere(direct: DataFrame, sources: DataFrame, flat) -> DataFrame:
-    size = 6
-    words = lambda c: F.split(F.lower(F.trim(c)), "\\s+")
-    missing = direct.where("NOT ok AND there").withColumn("w", words(F.col("quote"))).where(F.size("w") >= size)
-    wanted = missing.select("quote_id", "quote", F.array_join(F.slice("w", 1, size), " ").alias("gram"))
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda k: F.array_join(F.slice("w", k, size), " "))
-    bodies = sources.where("text IS NOT NULL").withColumn("w", words(F.col("text"))).where(F.size("w") >= size)
-    at = bodies.select(F.explode(F.array_distinct(grams)).alias("gram"), "doc_id").join(wanted, "gram")
-    seen = at.join(sources.select("doc_id", "text"), "doc_id").where(F.contains(flat(F.col("text")), flat(F.col("quote")))).select("quote_id").distinct().withColumn("seen", F.lit(True))
-    outcome = F.when(~F.col("there"), "missing-address").when(F.col("ok"), "ok").when(F.col("seen"), "quote-elsewhere").otherwise("quote-not-found")
-    return direct.join(seen, "quote_id", "left").select("quote_id", outcome.alias("outcome"))
+    texts, out, block, size = sources.where("text IS NOT NULL").select("text"), None, [], 0
+    for (key,) in keys.distinct().toLocalIterator():
+        if block and size + len(key) > QUOTES_HELD:
+            found = _searched(texts, block)
+            out, block, size = found if out is None else out.unionByName(found), [], 0
+        block.append(key)
+        size += len(key)
+    if block:
+        found = _searched(texts, block)
+        out = found if out is None else out.unionByName(found)
+    return keys.sparkSession.createDataFrame([], "key string") if out is None else out.distinct()
+
+
+def _searched(texts: DataFrame, keys: list[str]) -> DataFrame:
+    held = texts.sparkSession.sparkContext.broadcast(keys)
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for k, key in enumerate(held.value):
+            automaton.add_word(key, k)
+        automaton.make_automaton()
+        seen: set[int] = set()
+        for batch in found:
+            before = set(seen)
+            for text in batch.column(0).to_pylist():
+                seen.update(k for _, k in automaton.iter(T.fold(text)))
+            yield pa.RecordBatch.from_pydict({"key": [held.value[k] for k in sorted(seen - before)]}, schema=pa.schema([("key", pa.string())]))
+
+    return texts.mapInArrow(run, "key string")

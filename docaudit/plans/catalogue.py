@@ -257,18 +257,34 @@ def structure_percentiles(docs):
 
 
 @query(
-    r"""SELECT b.item_id, count(d.doc_id) > 0 AS quoted FROM benchmark b LEFT JOIN documents d ON contains(lower(regexp_replace(d.text, '\s+', '', 'g')), lower(regexp_replace(b.text, '\s+', '', 'g')))
-    WHERE len(regexp_split_to_array(trim(b.text), '\s+')) >= 6 GROUP BY b.item_id""",
+    r"""SELECT b.item_id, count(d.doc_id) > 0 AS quoted FROM benchmark b LEFT JOIN documents d ON contains(lower(regexp_replace(d.text, '\s+', '', 'g')), lower(regexp_replace(b.text, '\s+', '', 'g'))) AND regexp_replace(b.text, '\s+', '', 'g') <> '' GROUP BY b.item_id""",
     "benchmark", "documents",
 )
 def cite_check(benchmark, docs):
+    """Which benchmark texts, of any length, some document holds; white space and case do not count."""
+    from docaudit.functions import text as T
+    from docaudit.operators import mentions
+
+    keyed = benchmark.select("item_id", T.folded(F.col("text")).alias("key"))
+    found = mentions.held_anywhere(keyed.where("key <> ''").select("key"), docs).withColumn("quoted", F.lit(True))
+    return keyed.join(found, "key", "left").select("item_id", F.coalesce("quoted", F.lit(False)).alias("quoted"))
+
+
+@query(
+    r"""WITH q AS (SELECT l.doc_id, unnest(range(0, 3)) AS k, d.text FROM labels l JOIN documents d USING (doc_id) WHERE length(d.text) >= 40),
+    c AS (SELECT doc_id || ':' || k AS quote_id, CASE k WHEN 2 THEN doc_id + 1 ELSE doc_id END AS doc_id, CASE k WHEN 1 THEN 'zq' || replace(substr(text, 11, 25), ' ', '  ') ELSE replace(substr(text, 11, 25), ' ', '  ') END AS quote FROM q),
+    f AS (SELECT doc_id, lower(regexp_replace(text, '\s+', '', 'g')) AS body FROM documents WHERE text IS NOT NULL), k AS (SELECT quote_id, c.doc_id, lower(regexp_replace(quote, '\s+', '', 'g')) AS key, f.body FROM c LEFT JOIN f USING (doc_id))
+    SELECT quote_id, CASE WHEN body IS NULL THEN 'missing-address' WHEN key <> '' AND contains(body, key) THEN 'ok' WHEN key <> '' AND EXISTS (SELECT 1 FROM f WHERE contains(f.body, k.key)) THEN 'quote-elsewhere' ELSE 'quote-not-found' END AS outcome FROM k""",
+    "labels", "documents",
+)
+def cite_outcomes(labels, docs):
+    """Quotations that begin within words, cut from labelled documents: their own, a changed one, and one that names the next document."""
     from docaudit.operators import mentions
 
-    quotes = benchmark.where(F.size(F.split(F.trim("text"), "\\s+")) >= 6).select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
-    direct = quotes.withColumns({"there": F.lit(True), "ok": F.lit(False)})
-    flat = lambda c: F.lower(F.regexp_replace(c, "\\s+", ""))
-    found = mentions._elsewhere(direct, docs.select("doc_id", "text"), flat)
-    return found.select(F.col("quote_id").alias("item_id"), (F.col("outcome") == "quote-elsewhere").alias("quoted"))
+    own = labels.join(docs, "doc_id").where(F.length("text") >= 40).select("doc_id", F.replace(F.substring("text", 11, 25), F.lit(" "), F.lit("  ")).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
+    named = F.when(F.col("k") == 2, F.col("doc_id") + 1).otherwise(F.col("doc_id"))
+    quotes = own.select(F.concat_ws(":", "doc_id", "k").alias("quote_id"), named.alias("doc_id"), F.when(F.col("k") == 1, F.concat(F.lit("zq"), "part")).otherwise(F.col("part")).alias("quote"))
+    return mentions.cite(quotes, docs)
 
 
 @query(
