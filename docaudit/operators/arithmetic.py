@@ -134,35 +134,53 @@ CHECKS = (
 
 
 def figures(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a column for each of FIGURES: value and half_step, null where no line has the label."""
-    lines = F.filter(T.paragraphs(F.col("text")), lambda x: x.rlike(r"[A-Za-z][ )*]*[:|][^0-9]*[0-9]"))
+    """doc_id, row, facts (of its block) and, for each statement, a column for each of FIGURES: value and half_step, null where nothing has the label.
+
+    Lines between blank ones are a block. Where a block says a label again, the second of each label are a statement of
+    their own, and so on. What a statement lacks is taken from its block if it is there once, or else from the document
+    if one block alone has it: a name at the top holds for all.
+    """
     part = lambda x, k: F.regexp_extract(x, _LINE, k)
     names = F.create_map(*(F.lit(x) for name, labels in FIGURES.items() for label in labels for x in (label, name)))
     label = lambda x: F.trim(F.regexp_replace(F.translate(F.lower(part(x, 1)), "()", ""), " +", " "))
-    facts = F.transform(lines, lambda x: F.struct(F.try_element_at(names, label(x)).alias("name"), part(x, 2).alias("raw")))
-    read = docs.where("text IS NOT NULL").select("doc_id", "text", F.filter(facts, lambda f: f["name"].isNotNull()).alias("facts")).where(F.size("facts") > 1)
-    value = lambda f: F.regexp_replace(f["raw"], "[$€£¥,+]", "").try_cast("double")
-    half = lambda f: 0.5 * F.pow(F.lit(10.0), -F.length(F.regexp_extract(f["raw"], r"\.([0-9]+)$", 1)))
-    own = F.transform("facts", lambda f: F.struct(value(f).alias("value"), half(f).alias("half_step")))
-    read = read.select("doc_id", "text", F.col("facts.name").alias("names"), own.alias("figures"))
+    value = lambda raw: F.regexp_replace(raw, "[$€£¥,+]", "").try_cast("double")
+    half = lambda raw: 0.5 * F.pow(F.lit(10.0), -F.length(F.regexp_extract(raw, r"\.([0-9]+)$", 1)))
+
+    def facts(block: Column) -> Column:
+        lines = F.filter(F.split(block, "\n", -1), lambda x: x.rlike(r"[A-Za-z][ )*]*[:|][^0-9]*[0-9]"))
+        read = F.transform(lines, lambda x: F.struct(F.try_element_at(names, label(x)).alias("name"), value(part(x, 2)).alias("value"), half(part(x, 2)).alias("half_step")))
+        return F.filter(read, lambda f: f["name"].isNotNull())
+
+    blocks = F.filter(F.transform(F.split(T.plain(F.col("text")), r"\n[ \t]*\n", -1), facts), lambda x: F.size(x) > 0)
+    read = T.exploded(docs.where("text IS NOT NULL").withColumn("row", F.monotonically_increasing_id()), ["doc_id", "row"], F.array(blocks), "blocks").where(F.size(F.flatten("blocks")) > 1)
+    # Labels that one block alone has; FIGURES are few.
+    once = F.filter(F.array(*map(F.lit, FIGURES)), lambda n: F.size(F.filter("blocks", lambda b: F.exists(b, lambda f: f["name"] == n))) == 1)
+    shared = T.exploded(read, ["doc_id", "row", "blocks"], F.array(once), "once")
+    shared = T.exploded(shared, ["doc_id", "row", "blocks"], F.array(F.filter(F.flatten("blocks"), lambda f: F.array_contains("once", f["name"]))), "shared")
+    block = T.exploded(shared, ["doc_id", "row", "shared"], F.col("blocks"), "facts", "block")
+    times = F.array_max(F.transform(F.array(*map(F.lit, FIGURES)), lambda n: F.when(~n.isin(*SUMMED), F.size(F.filter("facts", lambda f: f["name"] == n))).otherwise(0)))
+    said = T.exploded(block.withColumn("times", F.greatest(times, F.lit(1))), ["doc_id", "row", "shared", "block", "facts", "times"], F.sequence(F.lit(1), F.col("times")), "nth")
 
     def figure(name: str) -> Column:
-        at = F.array_position("names", F.lit(name)).cast("int") - 1
-        first = F.get("figures", at)
+        own, of_doc = F.filter("facts", lambda f: f["name"] == name), F.filter("shared", lambda f: f["name"] == name)
         if name not in SUMMED:
-            return F.when(at >= 0, first)
-        same = F.filter(F.arrays_zip("names", "figures"), lambda x: x["names"] == name)
-        total = F.aggregate(same, F.lit(0.0), lambda s, x: s + x["figures"]["value"])
-        return F.when(at >= 0, F.struct(total.alias("value"), first["half_step"].alias("half_step")))
+            return F.when(F.size(own) == 1, F.get(own, F.lit(0))).when(F.size(own) > 1, F.get(own, F.col("nth") - 1)).otherwise(F.get(of_doc, F.lit(0)))
+
+        def total(x: Column) -> Column:
+            return F.when(F.size(x) > 0, F.struct(F.lit(name).alias("name"), F.aggregate(x, F.lit(0.0), lambda s, f: s + f["value"]).alias("value"), F.get(x, F.lit(0))["half_step"].alias("half_step")))
 
-    return read.select("doc_id", "text", *(figure(name).alias(f"figure {name}") for name in FIGURES))
+        alike = F.when((F.col("times") > 1) & (F.size(own) == F.col("times")), F.get(own, F.col("nth") - 1)).otherwise(total(own))
+        return F.coalesce(alike, total(of_doc))
+
+    return said.select("doc_id", "row", "facts", *(figure(name).alias(f"figure {name}") for name in FIGURES))
 
 
 def figure_findings(docs: DataFrame, checks: tuple[Check, ...] = CHECKS) -> DataFrame:
-    """doc_id, rule, severity, n (1) and quote (what was expected and what is stated), a row for each rule and document.
+    """doc_id, rule, severity, n (1) and quote (what was expected and what is stated), a row for each wrong statement.
 
-    Null texts, empty texts and texts without labelled figures have none; of several lines with one label the first
-    counts, but deposits, withdrawals and deductions are summed. Repeated rows are each answered.
+    Null texts, empty texts and texts without labelled figures have none; statements are what figures() gives, deposits,
+    withdrawals and deductions of one are summed. Two statements of a document that say the same are reported once
+    if their figures are the same lines. Repeated rows are each answered.
     """
     v = Figures()
     rows = []
@@ -171,8 +189,12 @@ def figure_findings(docs: DataFrame, checks: tuple[Check, ...] = CHECKS) -> Data
         for name in c.needs:
             there = there & F.col(f"`figure {name}`").isNotNull()
         quote = F.concat_ws(" ", F.lit(c.needs[-1]), F.format_string("%.2f", v(c.needs[-1])), F.lit("against"), F.format_string("%.2f", c.want(v).cast("double")))
-        rows.append(F.when(there & c.wrong(v), F.struct(F.lit(c.rule).alias("rule"), F.lit(c.severity).alias("severity"), F.lit(1).cast("bigint").alias("n"), quote.alias("quote"))))
-    return T.exploded(figures(docs), ["doc_id"], F.filter(F.array(*rows), lambda x: x.isNotNull()), "f").select("doc_id", "f.*")
+        own = F.lit(False)
+        for name in c.needs:
+            own = own | F.array_contains("facts.name", F.lit(name))
+        # A statement made of what other blocks say is theirs to report: the first block that has one of its figures does.
+        rows.append(F.when(there & own & c.wrong(v), F.struct(F.lit(c.rule).alias("rule"), F.lit(c.severity).alias("severity"), F.lit(1).cast("bigint").alias("n"), quote.alias("quote"))))
+    return T.exploded(figures(docs), ["doc_id", "row"], F.filter(F.array(*rows), lambda x: x.isNotNull()), "f").select("doc_id", "row", "f.*").distinct().drop("row")
 
 
 _UNIT_DAYS = {"day": 1, "week": 7, "month": 30, "year": 365}

@@ -63,3 +63,41 @@ def test_every_figure_is_used():
 
 def test_an_empty_table(spark):
     assert arithmetic.findings(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+SEVERAL = """Total charges: 10,000
+
+Capacity: 80
+Registered: 70
+
+Capacity: 50
+Registered: 95
+
+Patient share: 30%
+Amount paid: 3,500
+
+Dose: 400 mg
+Doses per day: 3
+Daily maximum: 1,200 mg
+Dose: 500 mg
+Doses per day: 3
+Daily maximum: 1,200 mg
+
+Deposits: 10
+Opening balance: 100
+Deposits: 20
+Withdrawals: 5
+Closing balance: 125
+
+Opening balance: 7
+Deposits: 1
+Withdrawals: 1
+Closing balance: 8
+"""
+
+
+def test_every_statement_of_a_document(spark):
+    docs = spark.createDataFrame([(1, SEVERAL), (2, SEVERAL), (2, SEVERAL), (3, "Capacity: 80\nRegistered: 95\n\nCapacity: 80\nRegistered: 95")], "doc_id bigint, text string")
+    found = sorted((r.doc_id, r.rule, r.quote) for r in arithmetic.figure_findings(docs).collect())
+    own = [("closing-balance-mismatch", "closing 8.00 against 7.00"), ("count-over-capacity", "registered 95.00 against 50.00"), ("product-exceeds-maximum", "daily maximum 1200.00 against 1500.00"), ("share-amount-mismatch", "paid 3500.00 against 3000.00")]
+    assert found == sorted([(d, *x) for d in (1, 2, 2) for x in own] + [(3, "count-over-capacity", "registered 95.00 against 80.00")])
