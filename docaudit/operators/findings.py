@@ -81,19 +81,32 @@ def pattern_findings(docs: DataFrame, rules: tuple[Pattern, ...] = PATTERNS, set
 def phrase_hits(docs: DataFrame, rules: tuple[Phrases, ...] = PHRASES, settings: Settings = Settings()) -> DataFrame:
     """doc_id, rule, para, sent and phrase of each sentence's first phrase of each rule, as whole words.
 
-    Words are joined with the phrases' first words; the lists are fixed and small, so that side is broadcast.
+    Only texts and sentences that hold the longest word of some phrase are cut into words. Words that begin a phrase
+    are joined with the phrases; the lists are fixed and small, so that side is broadcast.
     """
     rows = [(r.rule, k, p.split(), len(p.split()), r.where, r.lang) for r in rules if settings.limit(r.rule, r.limits) is not None for k, p in enumerate(r.phrases)]
     lexicon = docs.sparkSession.createDataFrame(rows, "rule string, ordinal int, parts array<string>, size int, place string, language string")
-    cut = model.sentences(docs).select("doc_id", "lang", "para", "sent", T.bare_words(F.col("text")).alias("words"))
-    each = cut.select("*", F.posexplode_outer("words").alias("pos", "word")).where("word IS NOT NULL")
+    firsts, longest, most = sorted({x[2][0] for x in rows}), F.array(*map(F.lit, sorted({max(x[2], key=len) for x in rows}))), max((x[3] for x in rows), default=1)
+
+    def holding(df: DataFrame) -> DataFrame:
+        """Rows whose text, in lower case once, holds such a word."""
+        return T.exploded(df, df.columns, F.array(F.lower("text")), "low").where(F.exists(longest, lambda w: F.contains("low", w))).drop("low")
+
+    spoken = docs.where(F.col("lang").isin(*sorted({x[5] for x in rows}))).select("doc_id", "lang", "text")
+    cut = holding(model.sentences(holding(spoken)))
+    words = T.exploded(cut, ["doc_id", "lang", "para", "sent"], F.array(T.bare_words(F.col("text"))), "words")
+    spots = F.transform("words", lambda w, k: F.when(w.isin(*firsts), F.struct(k.alias("pos"), w.alias("word"), F.slice("words", k + 1, most).alias("next"))))
+    each = T.exploded(words, ["doc_id", "lang", "para", "sent"], F.filter(spots, lambda x: x.isNotNull()), "s").select("doc_id", "lang", "para", "sent", "s.*")
     joined = each.join(F.broadcast(lexicon.withColumn("word", F.col("parts")[0])), "word").where(F.col("lang") == F.col("language"))
-    matched = joined.where(F.slice("words", F.col("pos") + 1, F.col("size")) == F.col("parts")).select("doc_id", "rule", "place", "para", "sent", "pos", "ordinal", "parts")
+    matched = joined.where(F.slice("next", F.lit(1), F.col("size")) == F.col("parts")).select("doc_id", "rule", "place", "para", "sent", "pos", "ordinal", "parts")
     anywhere = matched.where((F.col("place") == "any") | ((F.col("place") == "start") & (F.col("pos") == 0)))
     # Where a document opens and closes is asked for its matches alone.
     ends = matched.where(F.col("place").isin("opening", "closing"))
     sentence = F.struct("para", "sent")
-    bounds = model.sentences(docs).join(ends.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("para").alias("last"), F.slice(F.array_sort(F.collect_list(sentence)), 1, 4).alias("first"))
+    asked = model.sentences(docs).join(ends.select("doc_id").distinct(), "doc_id", "left_semi")
+    # Each paragraph has a sentence, so a document's first four are among these sixteen.
+    early = F.collect_list(F.when((F.col("para") <= 4) & (F.col("sent") <= 4), sentence))
+    bounds = asked.groupBy("doc_id").agg(F.max("para").alias("last"), F.slice(F.array_sort(early), 1, 4).alias("first"))
     inside = F.when(F.col("place") == "opening", F.array_contains("first", sentence)).otherwise(F.col("para") == F.col("last"))
     placed = anywhere.unionByName(ends.join(bounds, "doc_id").where(inside).select(*anywhere.columns))
     hits = placed.groupBy("doc_id", "rule", "para", "sent").agg(F.min(F.struct("ordinal", "parts")).alias("m"))
@@ -135,11 +148,15 @@ def form_findings(docs: DataFrame, rules: tuple[Forms, ...] = FORMS, settings: S
 
 def not_run(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, rule and reason for every rule that a document was not checked against."""
-    rows = [(r.rule, getattr(r, "lang", None), settings.limit(r.rule, r.limits) is None) for r in (*PATTERNS, *PHRASES, *FORMS)]
-    rules = docs.sparkSession.createDataFrame(rows, "rule string, language string, off boolean")
-    reason = F.when(F.col("off"), "level is off").when(F.col("no_text"), "no text").when(F.col("language").isNotNull() & ~F.col("lang").eqNullSafe(F.col("language")), "other language")
-    pairs = docs.select("doc_id", "lang", F.col("text").isNull().alias("no_text")).crossJoin(F.broadcast(rules))
-    return pairs.select("doc_id", "rule", reason.alias("reason")).where("reason IS NOT NULL")
+    rules = (*PATTERNS, *PHRASES, *FORMS)
+
+    def reason(r) -> Column:
+        why = F.when(F.lit(settings.limit(r.rule, r.limits) is None), "level is off").when(F.col("text").isNull(), "no text")
+        if getattr(r, "lang", None) is not None:
+            why = why.when(~F.col("lang").eqNullSafe(F.lit(r.lang)), "other language")
+        return F.when(why.isNotNull(), F.struct(F.lit(r.rule).alias("rule"), why.alias("reason")))
+
+    return T.exploded(docs, ["doc_id"], F.filter(F.array(*map(reason, rules)), lambda x: x.isNotNull()), "r").select("doc_id", "r.*")
 
 
 def findings(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:

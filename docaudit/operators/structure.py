@@ -80,11 +80,21 @@ def repeated_heads(docs: DataFrame, limit: int = 2, head: int = 1) -> DataFrame:
 
 
 def repeated_grams(docs: DataFrame, size: int = 4, limit: int = 5, chars: int = 18) -> DataFrame:
-    """doc_id, gram and n of word windows in more than `limit` sentences of a document; a sentence counts once."""
-    cut = model.sentences(docs).select("doc_id", "para", "sent", T.bare_words(F.col("text")).alias("w")).where(F.size("w") >= size)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda k: F.array_join(F.slice("w", k, size), " ")))
-    each = T.exploded(cut, ["doc_id"], grams, "gram").where(F.length("gram") >= chars)
-    return each.groupBy("doc_id", "gram").agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    """doc_id, gram and n of word windows in more than `limit` sentences of a document; a sentence counts once.
+
+    Windows are counted by hash in the document's own row; only texts of those that repeat are exchanged and counted
+    anew. Rows are documents of their own.
+    """
+    sentences = F.flatten(F.transform(T.paragraphs(F.col("text")), T.sentences))
+    cut = T.exploded(docs.where("text IS NOT NULL").select("doc_id", "text", F.monotonically_increasing_id().alias("row")), ["doc_id", "row"], F.array(F.filter(F.transform(sentences, T.bare_words), lambda w: F.size(w) >= size)), "s")
+    starts = lambda w: F.sequence(F.lit(1), F.size(w) - size + 1)
+    hashed = T.exploded(cut, ["doc_id", "row", "s"], F.array(F.array_sort(F.flatten(F.transform("s", lambda w: F.array_distinct(F.transform(starts(w), lambda k: F.xxhash64(F.slice(w, k, size)))))))), "h")
+    again = F.array_distinct(F.filter("h", lambda h, k: (k >= limit) & (F.get("h", k - limit) == h)))
+    few = T.exploded(hashed, ["doc_id", "row", "s"], F.array(again), "again").where(F.size("again") > 0)
+    each = T.exploded(few, ["doc_id", "row", "again"], F.col("s"), "w")
+    grams = F.array_distinct(F.transform(F.filter(starts("w"), lambda k: F.array_contains("again", F.xxhash64(F.slice("w", k, size)))), lambda k: F.array_join(F.slice("w", k, size), " ")))
+    found = T.exploded(each, ["doc_id", "row"], grams, "gram").where(F.length("gram") >= chars)
+    return found.groupBy("doc_id", "row", "gram").agg(F.count("*").alias("n")).where(F.col("n") > limit).drop("row")
 
 
 #: Brackets that pair (fixed values).

@@ -179,8 +179,9 @@ def lang_guess(docs):
 
 @query("WITH g AS (SELECT sha256(text) AS text_sha256, min(doc_id) AS first, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY text) SELECT * FROM g WHERE n > 1", "documents")
 def duplicate_document(docs):
-    each = docs.where("text IS NOT NULL").groupBy("text").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    return each.select(F.sha2("text", 256).alias("text_sha256"), "first", "n")
+    """Texts on several rows: rows meet by a hash of 256 bits, texts are not exchanged."""
+    each = docs.where("text IS NOT NULL").groupBy(F.sha2("text", 256).alias("text_sha256")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    return each.where("n > 1").select("text_sha256", "first", "n")
 
 
 @query(_with("SELECT sha256(text) AS para_sha256, count(*) AS n, count(DISTINCT doc_id) AS documents FROM paragraphs GROUP BY text HAVING count(*) > 1"), "documents")
