@@ -13,13 +13,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docaudit.llm import batches
+from docaudit.session import checkpointed, scratch
 
 #: Bounds of the training sample: rows for each language; longer rows than this, in bytes, are taken only where a
 #: language has no others, and then one. An automaton takes about 50 bytes a letter, in the broadcast and each worker.
 ROWS_PER_LANGUAGE = 16
 ROW_BYTES = 4096
-#: So many languages are learned at most, those with most labelled rows: labels may be anything.
-LANGUAGES = 500
+#: Languages whose automata a task holds at once; more are parsed in blocks, one pass over the documents each.
+LANGUAGES_AT_ONCE = 8
 #: So many code points of a text are parsed side by side with the rest of it; results do not depend on it.
 LANE = 1024
 #: Documents with more phrases per letter than this in the best language are in none of the learned ones.
@@ -239,11 +240,9 @@ def training_rows(docs: DataFrame, learn: Column, rows: int = ROWS_PER_LANGUAGE,
     """
     labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     labelled = labelled.select("lang", "doc_id", "text", F.xxhash64("text").alias("row"))
-    most = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    counts = {r.lang: r.n for r in most.collect()}
+    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
-    labelled = labelled.where(F.col("lang").isin(list(counts)))
     long = F.octet_length("text") > row_bytes
     place = F.struct(long.alias("long"), F.when(long, F.octet_length("text")).alias("size"), F.xxhash64("doc_id").alias("hash"), "doc_id", "row")
     ids = labelled.select("lang", place.alias("place")).distinct()
@@ -265,23 +264,17 @@ def identify(docs: DataFrame, texts: dict[str, str], keep: list[str] | None = No
     gives an empty table; repeated rows are each answered. phrase_rate is of the phrases after the first.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in COLUMNS]
+    names = list(texts)
+    if len(names) > LANGUAGES_AT_ONCE:
+        return _in_blocks(docs, texts, keep)
     rows = docs.select(*dict.fromkeys([*keep, "text"]))
     model = docs.sparkSession.sparkContext.broadcast(Automata(texts))
 
     def run(part, data, offsets):
-        automata = model.value
-        found = batches.strings(data, offsets)
-        counts, sizes = automata.phrases(found)
-        known = np.array([any(c.isalpha() for c in x) for x in found], bool) & (len(automata.languages) > 0)
-        languages, scores, rates = [], np.zeros(len(sizes)), np.ones(len(sizes))
-        for k, row in enumerate(counts):
-            if not known[k]:
-                languages.append("und")
-                continue
-            order = np.argsort(row, kind="stable")
-            languages.append(automata.languages[order[0]])
-            rates[k] = (row[order[0]] - 1) / max(1, sizes[k])
-            scores[k] = row[order[1]] / (row[order[0]] + row[order[1]]) if len(row) > 1 else 1.0
+        best, second, counts, sizes, known = _two_best(model.value, batches.strings(data, offsets))
+        languages = [names[k] if there else "und" for k, there in zip(best.tolist(), known.tolist())]
+        rates = np.where(known, (counts - 1) / np.maximum(1, sizes), 1.0)
+        scores = np.where(known, np.where(np.isinf(second), 1.0, second / np.where(np.isinf(second), 1, counts + second)), 0.0)
         out = [part.column(part.schema.get_field_index(c)) for c in keep]
         return pa.RecordBatch.from_arrays([*out, pa.array(languages, pa.string()), pa.array(scores), pa.array(rates)], names=[*keep, *COLUMNS])
 
@@ -289,6 +282,48 @@ def identify(docs: DataFrame, texts: dict[str, str], keep: list[str] | None = No
     return batches.map_slices(rows, run, ", ".join([*schema, SCHEMA]), limit=SLICE_BYTES)
 
 
+def _two_best(automata: Automata, found: list[str]) -> tuple[np.ndarray, ...]:
+    """Of each text the language with the fewest phrases, the runner-up's phrases (infinite if there is none), the winner's, the letters parsed, and whether there is a letter and a language."""
+    counts, sizes = automata.phrases(found)
+    known = np.array([any(c.isalpha() for c in x) for x in found], bool) & (len(automata.languages) > 0)
+    if not len(automata.languages):
+        return np.zeros(len(found), np.int64), np.full(len(found), np.inf), np.ones(len(found)), sizes, known
+    order = np.argsort(counts, axis=1, kind="stable")
+    pick = lambda k: np.take_along_axis(counts, order[:, k : k + 1], 1)[:, 0]
+    return order[:, 0], pick(1) if counts.shape[1] > 1 else np.full(len(found), np.inf), pick(0), sizes, known
+
+
+def _in_blocks(docs: DataFrame, texts: dict[str, str], keep: list[str]) -> DataFrame:
+    """identify() for any number of languages: each block's automata are held alone, and its two best counts are written.
+
+    Passes grow with the languages, memory does not. docs is read once for each block and must give its rows in one order.
+    """
+    names, row, spark = list(texts), batches.free_name(docs, "row"), docs.sparkSession
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    with scratch(spark) as kept:
+        found = None
+        for first in range(0, len(names), LANGUAGES_AT_ONCE):
+            model = spark.sparkContext.broadcast(Automata({k: texts[k] for k in names[first : first + LANGUAGES_AT_ONCE]}))
+
+            def run(part, data, offsets, model=model, first=first):
+                best, second, counts, sizes, known = _two_best(model.value, batches.strings(data, offsets))
+                return batches.record(nth=part.column(part.schema.get_field_index(row)), best=pa.array(best + first), phrases=pa.array(counts), second=pa.array(second), size=pa.array(sizes), known=pa.array(known))
+
+            own = kept(batches.map_slices(rows.select(row, "text"), run, "nth bigint, best bigint, phrases double, second double, size bigint, known boolean", limit=SLICE_BYTES))
+            model.destroy()
+            found = own if found is None else found.unionByName(own)
+        # Two counts a block: of equal ones the earlier language wins.
+        counts = F.array_sort(F.flatten(F.collect_list(F.array("phrases", "second"))))
+        merged = found.groupBy("nth").agg(F.min(F.struct("phrases", "best")).alias("first"), counts[1].alias("second"), F.max("size").alias("size"), F.max("known").alias("known"))
+        score = F.col("second") / (F.col("first.phrases") + F.col("second"))
+        language = F.element_at(F.array(*map(F.lit, names)), F.col("first.best").cast("int") + 1)
+        rate = (F.col("first.phrases") - 1) / F.greatest("size", F.lit(1))
+        out = merged.select("nth", F.when(F.col("known"), language).otherwise("und").alias("lang_pred"), F.when(F.col("known"), score).otherwise(0.0).alias("score"), F.when(F.col("known"), rate).otherwise(1.0).alias("phrase_rate"))
+        out = checkpointed(out)
+    own = rows.drop(*COLUMNS)
+    return own.join(out, own[row] == out["nth"]).select(*keep, *COLUMNS)
+
+
 def known_languages(docs: DataFrame, worst: float = WORST_RATE) -> DataFrame:
     """The documents with a letter that a learned language parses, all columns as they were but for a missing lang, which is filled in.
 

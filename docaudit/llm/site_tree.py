@@ -4,8 +4,8 @@ The pages of one host are merged into a tree of style nodes: an element's path o
 the pages that show it, how differently its children are laid out over them (presentation) and how differently its text
 reads (content), both as an entropy between 0 (the same everywhere) and 1 (never the same twice); copies of a page count
 once. Branches of low importance are cut from each page, with those that tags, roles or class names mark as menus,
-notices, adverts, forms or comments; a name that only hints at one raises the importance that its branch needs. Of what
-is left, article and main elements are taken alone where they hold most of the text.
+notices, adverts or comments; a name that only hints at one raises the importance that its branch needs. Noise inside a
+block (a hidden word, a button) goes with its characters alone. A form goes if it is there to be filled in.
 """
 
 from __future__ import annotations
@@ -43,19 +43,22 @@ _TOKEN = re.compile(
     |</?[a-zA-Z][^>]*(?:>|\Z)""",
     re.S | re.I | re.X,
 )
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style|type)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html "
-    "legend li main menu nav ol optgroup option p pre search section select summary table tbody tfoot thead tr ul".split()
+    "legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul".split()
 )
 #: A start tag ends an open element of these, up to the element that bounds the search.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _P_BOUNDS = frozenset("article aside blockquote body div footer header li main nav section table td th".split())
-NOISE_TAGS = frozenset("aside button dialog fieldset footer form head label menu nav noscript search select template".split())
+NOISE_TAGS = frozenset("aside button dialog fieldset footer head label menu nav noscript search select template".split())
+CONTROLS = frozenset("button input select textarea".split())
+#: A form with fewer words than this for each control, but hidden ones, is to be filled in, not read.
+WORDS_A_CONTROL = 25
 NOISE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split())
 #: Parts of class names and ids, cut at marks and capitals, that name what is no article text, and parts that say
 #: nothing. A name of such parts alone is noise.
@@ -100,10 +103,10 @@ def _mix(a: int, b: int) -> int:
 
 
 class _Node:
-    __slots__ = ("tag", "path", "noise", "content", "look", "text", "linked")
+    __slots__ = ("tag", "path", "noise", "content", "form", "look", "text", "linked")
 
-    def __init__(self, tag: str, path: int, noise: bool, content: bool):
-        self.tag, self.path, self.noise, self.content = tag, path, noise, content
+    def __init__(self, tag: str, path: int, noise: bool, content: bool, form: int = -1):
+        self.tag, self.path, self.noise, self.content, self.form = tag, path, noise, content, form
         self.look, self.text = 0, 0
 
 
@@ -117,18 +120,27 @@ def parse(page: str, low: dict[int, float] | None = None) -> tuple[list[tuple[st
     stack, open_tags = [root], Counter()
     blocks: list[tuple[str, bool, bool, bool]] = []
     styles: dict[int, tuple[int, int]] = {}
-    parts: list[str] = []
+    #: Runs of characters of the open block, each with whether it is noise.
+    parts: list[tuple[str, bool]] = []
+    #: For each form its controls and the words of its text; the form that is open, and the form of each block.
+    forms: list[list[int]] = []
+    homes: list[int] = []
     linked = links = 0
 
     def flush() -> None:
         nonlocal linked
-        text = " ".join("".join(parts).split())
+        whole = " ".join("".join(x for x, _ in parts).split())
+        text = " ".join("".join(x for x, noise in parts if not noise).split())
         parts.clear()
-        if text:
+        if whole:
             top = stack[-1]
-            top.text = _mix(top.text, crc32(text.encode("utf-8", "replace")))
+            top.text = _mix(top.text, crc32(whole.encode("utf-8", "replace")))
             links_alone = linked >= len("".join(text.split())) and linked > 0
-            blocks.append((text, top.noise, top.content, links_alone and (top.tag in ENTRIES or top.tag == "a" and stack[-2].tag in ENTRIES)))
+            noise = top.noise or not text
+            blocks.append((text or whole, noise, top.content, links_alone and (top.tag in ENTRIES or top.tag == "a" and stack[-2].tag in ENTRIES)))
+            homes.append(top.form)
+            if top.form >= 0 and not noise:
+                forms[top.form][1] += len(text.split())
         linked = 0
 
     def close() -> None:
@@ -154,8 +166,8 @@ def parse(page: str, low: dict[int, float] | None = None) -> tuple[list[tuple[st
         text = entities.unescape(raw) if "&" in raw else raw
         if stack[-1].tag == "head" and not text.isspace():
             close_to(("head",), ())
-        parts.append(text)
-        linked += len("".join(text.split())) if links else 0
+        parts.append((text, stack[-1].noise))
+        linked += len("".join(text.split())) if links and not stack[-1].noise else 0
 
     at = 0
     for m in _TOKEN.finditer(page):
@@ -167,7 +179,7 @@ def parse(page: str, low: dict[int, float] | None = None) -> tuple[list[tuple[st
             continue
         tag = tag.lower()
         if tag in ("br", "td", "th"):
-            parts.append(" ")
+            parts.append((" ", False))
         if m["end"]:
             if open_tags[tag] > 0:
                 if tag in BLOCKS or tag in CONTENT:
@@ -189,8 +201,14 @@ def parse(page: str, low: dict[int, float] | None = None) -> tuple[list[tuple[st
         above = stack[-1]
         label = crc32(f"{tag} {names}".encode("utf-8", "replace"))
         above.look = _mix(above.look, label)
+        if tag in CONTROLS and above.form >= 0 and attrs.get("type", "").lower() != "hidden":
+            forms[above.form][0] += 1
         if tag in VOID:
             continue
+        form = above.form
+        if tag == "form" and form < 0:
+            form = len(forms)
+            forms.append([0, 0])
         path = _mix(above.path, label)
         content = above.content or tag in CONTENT or attrs.get("role") in ("main", "article")
         noise = above.noise or tag in NOISE_TAGS or (tag == "header" and not above.content and above.tag in ("", "html", "body")) or attrs.get("role", "").lower() in NOISE_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true"
@@ -199,8 +217,9 @@ def parse(page: str, low: dict[int, float] | None = None) -> tuple[list[tuple[st
         if not noise and "style" in attrs:
             noise = bool(_HIDDEN.search(attrs["style"]))
         if not noise and path in low and low[path] < (LEAST_IF_SUSPECT if named else LEAST_IMPORTANCE):
-            noise = tag not in CONTENT and tag not in ("html", "body")
-        stack.append(_Node(tag, path, noise, content and not noise))
+            # A word that every page has in its sentences is no branch.
+            noise = tag in BLOCKS and tag not in CONTENT and tag not in ("html", "body")
+        stack.append(_Node(tag, path, noise, content and not noise, form))
         open_tags[tag] += 1
         links += tag == "a"
     if at < len(page):
@@ -208,7 +227,9 @@ def parse(page: str, low: dict[int, float] | None = None) -> tuple[list[tuple[st
     flush()
     while len(stack) > 1:
         close()
-    return blocks, styles
+    # A form of controls is noise; one that holds the page's text is not.
+    filled = [words < WORDS_A_CONTROL * max(1, controls) for controls, words in forms]
+    return [(text, noise or home >= 0 and filled[home], content, entry) for (text, noise, content, entry), home in zip(blocks, homes)], styles
 
 
 def main_text(page: str, low: dict[int, float] | None = None) -> str:
@@ -219,9 +240,6 @@ def main_text(page: str, low: dict[int, float] | None = None) -> str:
         kept = [b for b in parse(page)[0] if not b[1]]
     # Outside of articles, entries of link text alone are menus, unless there is nothing else.
     kept = [b for b in kept if b[2] or not b[3]] or kept
-    inside = [b for b in kept if b[2]]
-    if 2 * sum(len(b[0]) for b in inside) >= sum(len(b[0]) for b in kept):
-        kept = inside
     return "\n".join(b[0] for b in kept)
 
 

@@ -236,3 +236,16 @@ def test_spans_over_nested_base_spans():
     base = [("card", 0, 200), ("ip", 5, 9)]
     text = "x" * 150 + " 555-010-9998"
     assert pii.added_spans(text, base, pii.model()) == []
+
+
+def test_blocks_of_languages_find_what_all_at_once_find(spark, monkeypatch):
+    texts = {f"l{k}": " ".join(f"{'abcdefgh'[k % 8]}{'aeiou'[x % 5]}{'klmno'[(k * x) % 5]}{'pqrst'[x % 3]}" for x in range(45)) for k in range(7)} | {"twin": "", "en": "the quick brown fox"}
+    texts = {k: language.letters(v) or "the quick brown fox" for k, v in texts.items()}
+    docs = cases.documents(spark, [*cases.ODD, *((k, " ".join(list(texts.values())[k % 9].split()[k : k + 6])) for k in range(40))])
+    want = sorted(map(str, language.identify(docs, texts).select("doc_id", *language.COLUMNS).collect()))
+    for size in (1, 2, 4):
+        monkeypatch.setattr(language, "LANGUAGES_AT_ONCE", size)
+        found = language.identify(docs, texts)
+        assert sorted(map(str, found.select("doc_id", *language.COLUMNS).collect())) == want
+        assert found.columns == [*docs.columns, *language.COLUMNS]
+    assert language.identify(cases.empty(spark), texts).count() == 0

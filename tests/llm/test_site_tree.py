@@ -79,6 +79,8 @@ def test_names_that_only_hint_keep_their_text(spark):
 
 def test_titles_and_intros_beside_articles_stay(spark):
     assert texts_of(spark, "<body><div class=post><header><h1>Title {k}</h1></header><p>Text {k} of it</p></div></body>", 3)[1] == "Title 1\nText 1 of it"
+    shape = "<body><h1>Heading {k}</h1><p>Lead of {k}</p><article>" + "<p>Much more text than the lead has, about {k}</p>" * 5 + "</article></body>"
+    assert texts_of(spark, shape, 3)[1] == "\n".join(["Heading 1", "Lead of 1"] + ["Much more text than the lead has, about 1"] * 5)
     shape = "<body><h1>Heading {k}</h1><p>A long introduction number {k} that goes on and on</p><article><p>Teaser {k}</p></article></body>"
     assert texts_of(spark, shape, 3)[1] == "Heading 1\nA long introduction number 1 that goes on and on\nTeaser 1"
     assert texts_of(spark, "<body><p>Text {k}</p><p><a href=x>A paragraph of link text {k}</a></p><ul><li><a href=y>Entry {k}</a></li></ul></body>", 3)[1] == "Text 1\nA paragraph of link text 1"
@@ -103,3 +105,15 @@ def test_the_tree_alone_finds_the_text_of_sites_with_opaque_names(spark):
             off += site_tree.main_text(page) != want[100 * h + k]
     found = {r.page_id: r.text for r in site_tree.extract(pages(spark, rows)).collect()}
     assert found == want and off == len(rows)
+
+
+def test_noise_inside_blocks_goes_with_its_characters():
+    for noise in ('<span style="display:none">HIDDEN</span>', "<b hidden>x</b>", '<span class="ad">BUY NOW</span>', "<button>SHARE</button>", "<noscript>js</noscript>", "<select><option>a<option>b</select>"):
+        assert site_tree.main_text(f"<body><article><p>Hi {noise} there</p><p>{noise}</p></article></body>") == "Hi there"
+
+
+def test_forms_to_be_filled_in_go_and_pages_inside_one_stay():
+    text = "".join(f"<p>Paragraph {k} of the page has a number of words to read.</p>" for k in range(6))
+    page = '<form id="aspnetForm"><input type=hidden name=state><input name=q><h1>Head</h1>' + text + "</form>"
+    assert site_tree.main_text(page).split("\n")[::6] == ["Head", "Paragraph 5 of the page has a number of words to read."]
+    assert site_tree.main_text(f"<body>{text}<form><p>Tell us your name</p><input><select><option>x</select></form></body>").count("\n") == 5
