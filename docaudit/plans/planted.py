@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docaudit.functions import text as T
-from docaudit.operators import arithmetic, markdown, masking, mentions, ranges, runs, stet, tree
+from docaudit.operators import arithmetic, crossdoc, markdown, masking, mentions, ranges, runs, stet, tree
 from docaudit.plans.registry import query
 from docaudit.plans.rules import PATTERNS
+from docaudit.sources import html_tables
 
 #: One document in so many has its fault.
 FAULTY = 3
@@ -269,6 +270,50 @@ def orders_meanwhile(orders, lineitem):
     return met.where("o_orderkey <> other").groupBy("o_orderkey").agg(F.count("*").alias("n"))
 
 
+@query(
+    """WITH f AS (SELECT o_orderkey AS k, o_custkey % 20 AS folder FROM orders)
+    SELECT 'f' || a.folder || '/o' || a.k || '.md' AS path, CASE WHEN b.k IS NULL THEN 'file' ELSE 'anchor' END AS variant
+    FROM f a LEFT JOIN f b ON b.k = a.k + 1 AND b.folder = (a.k + 1) % 20 WHERE b.k IS NULL OR a.k % 2 = 0""",
+    "orders",
+)
+def links_between_files(orders):
+    """A file for each order, in one of twenty folders, with a link to the next order's heading as if it lay in a folder by its number."""
+    key, after = F.col("o_orderkey"), F.col("o_orderkey") + 1
+    path = F.format_string("f%d/o%d.md", F.col("o_custkey") % 20, key)
+    head = F.when(key % 2 == 0, F.lit("order-none")).otherwise(F.concat(F.lit("order-"), after.cast("string")))
+    text = F.concat(F.format_string("# Order %d\n`[no](none.md)` [next](../f%d/./o%d.md#", key, after % 20, after), head, F.lit(") [top](https://x.org/a.md)\n"))
+    return crossdoc.broken_links(orders.select(path.alias("path"), text.alias("text"))).select("path", "variant")
+
+
+@query(
+    """WITH v AS (SELECT lpad(c_custkey::VARCHAR, 12, '0') || '.md' AS path, 'Nation ' || c_nationkey AS term, lower(c_mktsegment) AS body FROM customer),
+    b AS (SELECT term, body, count(*) AS n, min(path) AS first FROM v GROUP BY ALL), u AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY n DESC, first) AS place, sum(n) OVER (PARTITION BY term)::BIGINT AS files FROM b)
+    SELECT v.path, v.term, u.files, u.first AS example FROM v JOIN u ON v.term = u.term AND u.place = 1 WHERE v.body <> u.body""",
+    "customer",
+)
+def definition_votes(customer):
+    """A file for each customer that defines its nation by its segment: those out of step with most files of the nation."""
+    path = F.concat(F.lpad(F.col("c_custkey").cast("string"), 12, "0"), F.lit(".md"))
+    text = F.concat(F.lit('Here "Nation '), F.col("c_nationkey").cast("string"), F.lit('" means '), F.lower("c_mktsegment"), F.lit(".\n"))
+    return crossdoc.definitions_out_of_step(customer.select(path.alias("path"), text.alias("text"))).select("path", "term", "files", "example")
+
+
+@query(
+    f"""WITH k AS (SELECT l_orderkey AS page_id, {_NTH}::INT AS k, count(*) OVER (PARTITION BY l_orderkey) AS n, l_quantity::BIGINT AS q FROM lineitem)
+    SELECT page_id, k - 1 AS row, 0 AS col, 'Order ' || page_id AS text FROM k UNION ALL SELECT page_id, k - 1, 1, k::VARCHAR FROM k UNION ALL SELECT page_id, k - 1, 2, 'q' || q FROM k
+    UNION ALL SELECT page_id, n, 0, 'Sum of ' || n FROM k WHERE k = 1 UNION ALL SELECT page_id, n, 1, 'Sum of ' || n FROM k WHERE k = 1 UNION ALL SELECT page_id, n, 2, '' FROM k WHERE k = 1""",
+    "lineitem",
+)
+def html_grid(lineitem):
+    """Tables of HTML with a head over all rows and a foot over two columns, spread over the places they cover."""
+    line = F.concat(F.when(F.col("nth") == 1, F.lit("<tr>@")).otherwise(F.lit("<tr>")), F.lit("<td>"), F.col("nth").cast("string"), F.lit("<td>q"), F.col("l_quantity").cast("bigint").cast("string"))
+    counts = lineitem.groupBy(F.col("l_orderkey").alias("order")).agg(F.count("*").cast("string").alias("n"))
+    body = _lines_of(lineitem, line, F.lit("<p>Items</p><table>"), F.lit("")).join(counts, F.col("doc_id") == F.col("order"))
+    head = F.concat(F.lit("<th rowspan="), F.col("n"), F.lit(">Order "), F.col("doc_id").cast("string"), F.lit("</th>"))
+    page = F.concat(F.replace("text", F.lit("@"), head), F.lit("<tr><td colspan=2>Sum of "), F.col("n"), F.lit("</table>"))
+    return html_tables.table_grid(body.select(F.col("doc_id").alias("page_id"), page.alias("html"))).select("page_id", "row", "col", "text")
+
+
 def _places(patterns) -> str:
     """SQL for the place of every match of the patterns in the raw texts."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
