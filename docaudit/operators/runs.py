@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from docaudit.operators import mentions, tables, tree
+from docaudit.operators import mentions, ranges, tables, tree
 
 LIST_ITEM = r"^[ \t]{0,12}(?:[-*+]|[0-9]{1,3}[.)])[ \t]"
 TABLE_ROW = r"^[ \t]{0,12}\|"
@@ -209,6 +209,27 @@ def version_order(docs: DataFrame) -> DataFrame:
     return bad.select("doc_id", own["line"].alias("line"), begin.cast("int").alias("start"), (begin + F.length(own["quote"])).cast("int").alias("end"), own["quote"].alias("quote"), beside.alias("beside"))
 
 
+_DATE = "|".join((mentions._ISO, mentions._LONG, mentions._BRITISH))
+#: A line that states the period of what a document lists.
+PERIOD = rf"(?i)^[-*#|\s]*(?:\w+ )?(?:period|term|dates covered)[* ]*[:|]\s*({_DATE})\s*(?:to|until|through|–|-)\s*({_DATE})"
+
+
+def dates_outside_period(docs: DataFrame) -> DataFrame:
+    """doc_id, line, start, end and quote of dates of list items and table rows that none of their document's periods holds.
+
+    A line counts by its only date. Documents that state no period are not judged; a period that ends before it starts
+    holds nothing. Periods and dates meet by cells, not each with each. docs is a stored table.
+    """
+    stated = tree.lines(docs).where(F.col("text").rlike(PERIOD))
+    bound = lambda k: F.unix_date(mentions.date_of(F.regexp_extract("text", PERIOD, k)))
+    periods = stated.select("row", bound(1).alias("first"), bound(2).alias("last")).where("first IS NOT NULL AND last IS NOT NULL")
+    listed = _dated(runs(docs)).where(F.length("value") == 10).withColumn("at", F.col("day").cast("int"))
+    judged = listed.join(periods.select("row").distinct(), "row", "left_semi")
+    out = ranges.within(judged.select("doc_id", "row", "line", "start", "text", "quote", "at"), periods, ["row"], "at", "first", "last", "left_anti")
+    begin = F.col("start") + F.instr("text", F.col("quote")) - 1
+    return out.select("doc_id", "line", begin.cast("int").alias("start"), (begin + F.length("quote")).cast("int").alias("end"), "quote")
+
+
 #: Labels of totals (fixed words), those of a span of time, and those that close a table without naming what they sum.
 TOTALS = ("total", "subtotal", "sub-total", "grand total", "sum", "amount due", "balance due", "合計", "小計", "総計", "計")
 SPAN_TOTALS = ("annual total", "yearly total", "total for the year", "total per year", "年間合計")

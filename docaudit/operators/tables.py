@@ -132,6 +132,14 @@ def outside_band(rows: DataFrame, bands: DataFrame, key: list[str], value: str,
     return joined.where(~F.col(value).between(F.col("low"), F.col("high"))).select(*key, tier)
 
 
+def outside_all(rows: DataFrame, bands: DataFrame, on: list[str], value: str, low: str, high: str) -> DataFrame:
+    """Rows whose value no band of their `on` columns holds, where there is one; any number of bands, joined by cells."""
+    from docaudit.operators import ranges
+
+    judged = rows.join(bands.select(*on).distinct(), on, "left_semi").where(F.col(value).isNotNull())
+    return ranges.within(judged, bands, on, value, low, high, "left_anti")
+
+
 def band_gaps(bands: DataFrame, group: str) -> DataFrame:
     """Neighbouring bands that overlap or leave a gap: group, high and the next low."""
     following = F.lead("low").over(Window.partitionBy(group).orderBy("low", "high"))

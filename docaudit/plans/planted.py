@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docaudit.functions import text as T
-from docaudit.operators import arithmetic, crossdoc, markdown, masking, mentions, ranges, runs, stet, tree
+from docaudit.operators import arithmetic, crossdoc, markdown, masking, mentions, ranges, runs, stet, tables, tree
 from docaudit.plans.registry import query
 from docaudit.plans.rules import PATTERNS
 from docaudit.sources import html_tables
@@ -314,6 +314,31 @@ def html_grid(lineitem):
     return html_tables.table_grid(body.select(F.col("doc_id").alias("page_id"), page.alias("html"))).select("page_id", "row", "col", "text")
 
 
+@query(
+    """WITH d AS (SELECT DISTINCT l_orderkey AS doc_id, l_shipdate::DATE AS day FROM lineitem), o AS (SELECT *, min(day) OVER (PARTITION BY doc_id) AS first, row_number() OVER (PARTITION BY doc_id ORDER BY day) AS nth FROM d)
+    SELECT doc_id, (3 + nth)::INT AS line, strftime(day, '%Y-%m-%d') AS quote FROM o WHERE day > first + 400 AND doc_id % 5 <> 0""",
+    "lineitem",
+)
+def dates_outside_period(lineitem):
+    """Lists of an order's shipping days under a period of 400 days from the first; one in five states none."""
+    days = lineitem.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_set(F.col("l_shipdate").cast("date"))).alias("days"))
+    first = F.element_at("days", 1)
+    head = F.when(F.col("doc_id") % 5 == 0, F.lit("Some days")).otherwise(F.concat(F.lit("Shipping period: "), first.cast("string"), F.lit(" to "), F.date_add(first, 400).cast("string")))
+    docs = days.select("doc_id", F.concat(F.lit("# Order\n"), head, F.lit("\n\n- "), F.array_join(F.transform("days", lambda x: x.cast("string")), " sent\n- "), F.lit("\n")).alias("text"))
+    return runs.dates_outside_period(docs).select("doc_id", "line", "quote")
+
+
+@query(
+    """WITH b AS (SELECT s_nationkey AS n, min(s_acctbal) AS low, max(s_acctbal) AS high FROM supplier GROUP BY ALL)
+    SELECT c_custkey FROM customer JOIN b ON c_nationkey = n WHERE NOT c_acctbal BETWEEN low AND high""",
+    "customer", "supplier",
+)
+def balances_outside(customer, supplier):
+    """Customers whose balance lies outside what suppliers of their nation have."""
+    bands = supplier.groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(F.min("s_acctbal").alias("low"), F.max("s_acctbal").alias("high"))
+    return tables.outside_all(customer.select("c_custkey", "c_nationkey", "c_acctbal"), bands, ["c_nationkey"], "c_acctbal", "low", "high").select("c_custkey")
+
+
 def _places(patterns) -> str:
     """SQL for the place of every match of the patterns in the raw texts."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
