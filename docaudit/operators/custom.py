@@ -10,10 +10,12 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docaudit.functions import text as T
+from docaudit.operators import regex_safety
 
 COLUMNS = ("doc_id", "rule", "severity", "message", "start", "end", "line", "col", "quote")
 
@@ -35,7 +37,13 @@ class Custom:
 
 
 def unsafe(pattern: str) -> str | None:
-    """Why a pattern is not run: it does not compile, can match nothing, refers back, or repeats what repeats itself."""
+    """Why a pattern is not run: it is too long, does not compile, can match nothing, refers back, or has too many ways to match.
+
+    Classes by Unicode name (\\p{...}), which Python does not know, are read as word characters here.
+    """
+    if len(pattern) > regex_safety.MOST_CHARACTERS:
+        return "is too long"
+    pattern = re.sub(r"\\[pP]\{[^}]*\}", r"\\w", pattern)
     try:
         compiled = re.compile(pattern)
     except re.error as e:
@@ -58,7 +66,10 @@ def unsafe(pattern: str) -> str | None:
             repeats[-1] = repeats[-1] or inner or bool(x[1:])
         elif x in "*+" or x.startswith("{") and len(x) > 1:
             repeats[-1] = True
-    return None
+    try:
+        return regex_safety.ambiguity(pattern)
+    except ValueError as e:
+        return str(e)
 
 
 def words(rule: str, listed: tuple[str, ...], message: str = "", severity: str = "warning", lang: str | None = None) -> Custom:
@@ -97,7 +108,15 @@ def _placed(pattern: str) -> Column:
 
 
 def custom_findings(docs: DataFrame, rules: tuple[Custom, ...]) -> DataFrame:
-    """Every match of every rule, in the order of the text. Null texts have none; repeated rows are each answered."""
+    """Every match of every rule, in the order of the text. Null texts have none; repeated rows are each answered.
+
+    A pattern that Java's matcher does not compile is a ValueError.
+    """
+    for r in rules:
+        try:
+            docs.sparkSession._jvm.java.util.regex.Pattern.compile(r.pattern)
+        except IllegalArgumentException as e:
+            raise ValueError(f"{r.rule}: does not compile: {e}") from None
     frames = []
     for r in rules:
         own = docs.where("text IS NOT NULL" if r.lang is None else F.col("text").isNotNull() & (F.col("lang") == r.lang))

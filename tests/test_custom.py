@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from docaudit.operators import custom
+from docaudit.operators import custom, regex_safety
 
 TEXT = "Intro 🙂 foo\nfoo bar Foo\n\n  the team MUST go, foobar\nwe must"
 
@@ -54,3 +54,39 @@ def test_comments_switch_rules_off(spark):
     table = docs(spark, [(1, "en", text), (2, "en", "foo\n<!-- stet other -->\nfoo")])
     found = custom.custom_findings(table, (custom.Custom("own", "foo"),))
     assert sorted((r.doc_id, r.line) for r in custom.unsuppressed(found, table).collect()) == [(1, 1), (1, 4), (2, 1), (2, 3)]
+
+
+def ways(pattern, text):
+    """In how many ways a backtracking matcher may read the text up to its end: by paths through the positions."""
+    own = regex_safety.positions(pattern)
+    counts = {k: 1 for k in own.first if ord(text[0]) in own.sets[k]}
+    for c in text[1:]:
+        following: dict = {}
+        for k, n in counts.items():
+            for q in own.follow[k]:
+                if ord(c) in own.sets[q]:
+                    following[q] = following.get(q, 0) + n
+        counts = following
+    return sum(counts.values())
+
+
+@pytest.mark.parametrize("pattern", ["(a|aa)+b", "(a|b|ab)*c", "a*a*a*a*a*b", "(?:x|x)*y", r"(\w|\d)+!", "(a|b|[ab])+z", r"(?:\s|\n)*x", "x(?=(a|aa)*b)y", ".*a.*a.*a", "a{1,90}a{1,90}a{1,90}b", "(?:ab|a|b)+;"])
+def test_patterns_with_too_many_ways_are_not_run(pattern):
+    assert custom.unsafe(pattern) is not None
+
+
+@pytest.mark.parametrize("pattern", [r"\bfoo\b", r"\s*\w+\s*;", r"(?:ab|cd)+e", r"[A-Z][a-z]+(?: [A-Z][a-z]){0,3}", r"\$[0-9]+(?:\.[0-9]{2})?", r"(?i)(?<![A-Za-z])(?:one|two\s+words)(?![a-z])", "a{2,3}b{1,2}", r"\p{L}+-\p{Lu}", ".*foo"])
+def test_plain_patterns_are_run(pattern):
+    assert custom.unsafe(pattern) is None
+
+
+def test_the_verdict_follows_the_number_of_ways():
+    assert ways("(a|aa)+", "a" * 24) > 10_000 and ways("a*a*a*", "a" * 40) > 500
+    assert ways(r"(?:ab|cd)+", "abcd" * 10) == 1 and ways("[a-z]+", "a" * 40) == 1
+
+
+def test_long_patterns_and_other_dialects(spark):
+    assert custom.unsafe("a" * 600) == "is too long"
+    docs = spark.createDataFrame([(1, "x", "en")], "doc_id int, text string, lang string")
+    with pytest.raises(ValueError):
+        custom.custom_findings(docs, (custom.Custom("own", r"(?P<n>x)"),))
