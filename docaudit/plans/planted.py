@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docaudit.functions import text as T
-from docaudit.operators import arithmetic, crossdoc, markdown, masking, mentions, ranges, runs, stet, tables, tree
+from docaudit.operators import arithmetic, crossdoc, density, markdown, masking, mentions, ranges, runs, stet, tables, tree
 from docaudit.plans.registry import query
 from docaudit.plans.rules import PATTERNS
 from docaudit.sources import html_tables
@@ -339,6 +339,16 @@ def balances_outside(customer, supplier):
     return tables.outside_all(customer.select("c_custkey", "c_nationkey", "c_acctbal"), bands, ["c_nationkey"], "c_acctbal", "low", "high").select("c_custkey")
 
 
+@query(
+    """WITH w AS (SELECT user_id, event_id AS first, count(*) OVER r AS n, max(event_id) OVER r AS last FROM events WINDOW r AS (PARTITION BY user_id ORDER BY event_id RANGE BETWEEN CURRENT ROW AND 999 FOLLOWING)),
+    o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, first) AS place FROM w) SELECT user_id, first, last, n FROM o WHERE place = 1""",
+    "events",
+)
+def busiest_stretch(events):
+    """The thousand events in a row of which each user has most."""
+    return density.densest(events, ["user_id"], "event_id", 1000)
+
+
 def _places(patterns) -> str:
     """SQL for the place of every match of the patterns in the raw texts."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
