@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docaudit.functions import text as T
-from docaudit.operators import arithmetic, crossdoc, density, markdown, masking, mentions, ranges, runs, stet, tables, tree
+from docaudit.operators import arithmetic, crossdoc, density, markdown, masking, mentions, ranges, runs, signatures, stet, tables, tree
 from docaudit.plans.registry import query
 from docaudit.plans.rules import PATTERNS
 from docaudit.sources import html_tables
@@ -349,6 +349,23 @@ def busiest_stretch(events):
     return density.densest(events, ["user_id"], "event_id", 1000)
 
 
+@query(
+    f"""WITH {_COUNTED} SELECT doc_id, 5 AS line, 'f' || doc_id AS fn, 'p1' AS name, 'signature' AS side FROM n WHERE doc_id % 3 = 0
+    UNION ALL SELECT doc_id, 5, 'f' || doc_id, 'p' || (n + 1), 'table' FROM n WHERE doc_id % 3 = 0""",
+    "lineitem",
+)
+def parameter_tables(lineitem):
+    """A function for each order with a parameter for each item, over a table that is off by one in one order of three."""
+    off = F.when(F.col("l_orderkey") % 3 == 0, 1).otherwise(0)
+    row = F.concat(F.lit("| `p"), (F.col("nth") + off).cast("string"), F.lit("` | text |\n"))
+    counts = lineitem.groupBy(F.col("l_orderkey").alias("order")).agg(F.count("*").cast("int").alias("n"))
+    named = _lines_of(lineitem, row, F.lit("\nText.\n"), F.lit("")).join(counts, F.col("doc_id") == F.col("order"))
+    takes = F.array_join(F.transform(F.sequence(F.lit(1), F.col("n")), lambda k: F.concat(F.lit("p"), k.cast("string"), F.lit(": Map<string, number> = g(1, 2)"))), ", ")
+    code = F.concat(F.lit("```ts\nexport function f"), F.col("doc_id").cast("string"), F.lit("("), takes, F.lit("): void {\n```\nText.\n| Parameter | Kind |\n|---|---|\n"))
+    docs = named.select("doc_id", F.concat(code, F.replace("text", F.lit("\nText.\n"), F.lit(""))).alias("text"))
+    return signatures.parameter_mismatches(docs)
+
+
 def _places(patterns) -> str:
     """SQL for the place of every match of the patterns in the raw texts."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
