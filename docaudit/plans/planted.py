@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docaudit.functions import text as T
-from docaudit.operators import arithmetic, crossdoc, density, markdown, masking, mentions, ranges, runs, signatures, stet, tables, tree
+from docaudit.operators import arithmetic, crossdoc, density, findings, markdown, masking, mentions, ranges, runs, signatures, stet, tables, tree
 from docaudit.plans.registry import query
-from docaudit.plans.rules import PATTERNS
+from docaudit.plans.rules import PATTERNS, PHRASES, Settings
 from docaudit.sources import html_tables
 
 #: One document in so many has its fault.
@@ -150,6 +150,32 @@ def planted_markdown(orders):
     return markdown.findings(documents(orders, MARKDOWN)).select("doc_id", "rule").distinct()
 
 
+#: Every phrase of every rule, with how many sentences must hold it for the rule to speak; densities take all of a text.
+PHRASED = tuple(
+    (k, r.rule, p, r.lang, r.where, 60 if r.kind == "density" else int(Settings().limit(r.rule, r.limits)) + (r.kind == "above"))
+    for k, (r, p) in enumerate((r, p) for r in PHRASES for p in r.phrases)
+)
+
+
+@query(
+    f"SELECT o_orderkey AS doc_id, rule FROM orders JOIN (VALUES {', '.join(f"({k}, '{rule}')" for k, rule, *_ in PHRASED)}) r(nth, rule) ON o_orderkey % {len(PHRASED)} = nth WHERE o_orderkey // {len(PHRASED)} % 2 = 0",
+    "orders",
+)
+def planted_phrases(orders):
+    """A text for each order with one phrase of one rule, where and as often as it counts, or without: its own rule must find it."""
+    rows = orders.sparkSession.createDataFrame(list(PHRASED), "nth bigint, own string, phrase string, lang string, place string, n int")
+    spoken = orders.select("o_orderkey", (F.col("o_orderkey") % len(PHRASED)).alias("nth"), (F.floor(F.col("o_orderkey") / len(PHRASED)) % 2 == 0).alias("there")).join(F.broadcast(rows), "nth")
+    phrase = F.when(F.col("there"), F.col("phrase")).otherwise("stone")
+    start = F.concat(F.upper(F.substring(phrase, 1, 1)), F.substring(phrase, F.lit(2), F.length(phrase)), F.lit(" stone river window. "))
+    inside = F.concat(F.lit("Stone window river "), phrase, F.lit(" lamp. "))
+    filler = F.repeat(F.lit("\nStone river window lamp."), 5)
+    said = F.repeat(F.when(F.col("place") == "any", inside).otherwise(start), F.col("n"))
+    text = F.when(F.col("place") == "opening", F.concat(said, filler)).when(F.col("place") == "closing", F.concat(F.lit("Lamp."), filler, F.lit("\n"), said)).otherwise(F.concat(said, F.lit("\nLamp.")))
+    docs = spoken.select(F.col("o_orderkey").alias("doc_id"), "lang", text.alias("text"), "own")
+    own = docs.select("doc_id", F.col("own").alias("rule")).toDF("doc_id", "rule")
+    return findings.phrase_findings(docs).select("doc_id", "rule").toDF("doc_id", "rule").join(own, ["doc_id", "rule"], "left_semi")
+
+
 def _lines_of(lineitem: DataFrame, line: Column, head: Column, foot: Column) -> DataFrame:
     """doc_id (an order) and text: head, a line for each of its items in the order of place, and foot; all end with a line feed."""
     each = lineitem.withColumn("nth", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_PLACE)))
