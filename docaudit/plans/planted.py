@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docaudit.functions import text as T
-from docaudit.operators import arithmetic, crossdoc, density, findings, markdown, masking, mentions, ranges, runs, signatures, stet, tables, tree
+from docaudit.operators import arithmetic, crossdoc, density, findings, markdown, masking, mentions, ranges, runs, shape, signatures, stet, tables, tree
 from docaudit.plans.registry import query
 from docaudit.plans.rules import PATTERNS, PHRASES, Settings
 from docaudit.sources import html_tables
@@ -392,6 +392,22 @@ def parameter_tables(lineitem):
     return signatures.parameter_mismatches(docs)
 
 
+@query(
+    """WITH d AS (SELECT o_orderkey AS doc_id, o_orderkey % 9 AS m FROM orders), w AS (SELECT *, m * 30 + CASE WHEN m > 2 THEN 40 ELSE 0 END AS words FROM d)
+    SELECT doc_id, CASE WHEN words >= 200 THEN round(m * 1000.0 / words, 1) END AS heading_density, CASE WHEN m >= 3 THEN 100.0 END AS short_sections,
+      CASE WHEN m >= 5 THEN round(100 * 40 * sqrt(m - 1) / (30 * m + 40)) END AS section_uniformity, CASE WHEN m >= 4 THEN round(100.0 / m) END AS heading_forms, CASE WHEN m >= 2 THEN 0.0 END AS bookends, CASE WHEN m >= 3 THEN 1.0 ELSE 0.0 END AS emoji_headings FROM w""",
+    "orders",
+)
+def shape_measures(orders):
+    """Documents of none to eight sections, the third of which is longer and headed by a question."""
+    part = lambda k: F.concat(F.lit("## "), F.when(k == 3, F.lit("\U0001f680 How to do ")).otherwise(F.lit("Part ")), k.cast("string"), F.lit("\n"), F.when(k == 3, F.repeat(F.lit("lamp "), 70)).otherwise(F.repeat(F.lit("lamp "), 30)), F.lit("\n\n"))
+    m = (F.col("o_orderkey") % 9).cast("int")
+    parts = F.when(m > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(m, F.lit(1))), part), "")).otherwise(F.lit(""))
+    docs = orders.select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("# Order\n\n"), parts).alias("text"))
+    found = shape.measures(docs)
+    return found.select("doc_id", *(F.col(f"`{m}`").alias(m.replace("-", "_")) for m in ("heading-density", "short-sections", "section-uniformity", "heading-forms", "bookends", "emoji-headings")))
+
+
 def _places(patterns) -> str:
     """SQL for the place of every match of the patterns in the raw texts."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
