@@ -79,6 +79,21 @@ def fingerprint(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws(" ", *(F.trim(F.regexp_replace(p.cast("string"), "\\s+", " ")) for p in parts)), 256), 1, 16)
 
 
+def variation(sizes: Column) -> Column:
+    """100 times the deviation over the mean of an array of whole numbers, rounded; null where the mean is 0.
+
+    The squares are summed up one number behind the other: where the exact value lies between two whole numbers, the
+    order of the sums decides, and parts summed up apart and then joined may give the other one.
+    """
+    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"), F.lit(0).cast("bigint").alias("total"))
+
+    def step(s: Column, x: Column) -> Column:
+        mean = s["mean"] + (x - s["mean"]) / (s["n"] + 1)
+        return F.struct((s["n"] + 1).alias("n"), mean.alias("mean"), (s["squares"] + (x - mean) * (x - s["mean"])).alias("squares"), (s["total"] + x).alias("total"))
+
+    return F.aggregate(sizes, start, step, lambda s: F.round(F.when(s["total"] != 0, 100 * F.sqrt(s["squares"] / s["n"]) / (s["total"] / s["n"]))).cast("bigint"))
+
+
 def exploded(df: DataFrame, keep: list[str], array: Column, name: str, pos: str | None = None) -> DataFrame:
     """A row for each element, and its number from 0 if asked for; null and empty arrays have none.
 

@@ -31,18 +31,22 @@ def sentence_too_long(docs: DataFrame, limit: int = 25) -> DataFrame:
     return model.sentences(docs).where(F.col("n_words") > limit).select("doc_id", "para", "sent", F.col("n_words").cast("bigint").alias("n"))
 
 
+def _alike(sizes: DataFrame, place: list[str], limit: int, least: int) -> DataFrame:
+    """doc_id, n and cv of documents with at least `least` sizes, in the order of their places, whose variation is below the limit."""
+    each = sizes.groupBy("doc_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(*place, "size"))).alias("sizes"))
+    return each.where(F.col("n") >= least).select("doc_id", "n", T.variation(F.col("sizes.size")).alias("cv")).where(F.col("cv") < limit)
+
+
 def sentence_rhythm(docs: DataFrame, limit: int = 30, least: int = 8) -> DataFrame:
     """doc_id, n and cv of documents whose sentences are alike in length: 100 times deviation over mean below the limit."""
-    sizes = model.sentences(docs).select("doc_id", F.length(F.regexp_replace("text", "\\s", "")).alias("size"))
-    each = sizes.groupBy("doc_id").agg(F.count("*").alias("n"), F.round(100 * F.stddev_pop("size") / F.avg("size")).cast("bigint").alias("cv"))
-    return each.where((F.col("n") >= least) & (F.col("cv") < limit))
+    sizes = model.sentences(docs).select("doc_id", "para", "sent", F.length(F.regexp_replace("text", "\\s", "")).alias("size"))
+    return _alike(sizes, ["para", "sent"], limit, least)
 
 
 def paragraph_variance(docs: DataFrame, limit: int = 30, least: int = 9) -> DataFrame:
     """The same over paragraphs."""
-    sizes = model.paragraphs(docs).select("doc_id", F.length(F.regexp_replace("text", "\\s", "")).alias("size"))
-    each = sizes.where("size > 0").groupBy("doc_id").agg(F.count("*").alias("n"), F.round(100 * F.stddev_pop("size") / F.avg("size")).cast("bigint").alias("cv"))
-    return each.where((F.col("n") >= least) & (F.col("cv") < limit))
+    sizes = model.paragraphs(docs).select("doc_id", "para", F.length(F.regexp_replace("text", "\\s", "")).alias("size"))
+    return _alike(sizes.where("size > 0"), ["para"], limit, least)
 
 
 def paragraph_too_long(docs: DataFrame, limit: int = 5, full_sentence: int = 12) -> DataFrame:
