@@ -14,9 +14,10 @@ PERCENTILES = (5, 10, 25, 50, 75, 90, 95)
 
 def measures(docs: DataFrame) -> DataFrame:
     """doc_id and structure measures: paragraphs, sentences, words, sentences a paragraph, words a sentence, variation."""
-    each = model.sentences(docs).groupBy("doc_id").agg(F.count_distinct("para").alias("paragraphs"), F.count("*").alias("sentences"), F.sum("n_words").alias("words"), F.stddev_pop("n_words").alias("sd"), F.avg("n_words").alias("mean"))
+    each = model.sentences(docs).groupBy("doc_id").agg(F.count("*").alias("sentences"), F.sum("n_words").alias("words"), F.array_sort(F.collect_list(F.struct("para", "sent", "n_words"))).alias("sizes"))
+    each = each.withColumns({"paragraphs": F.size(F.array_distinct(F.col("sizes.para"))).cast("bigint"), "mean": F.col("words") / F.col("sentences")})
     return each.select(
-        "doc_id", "paragraphs", "sentences", "words", F.round(F.col("sentences") * 10 / F.col("paragraphs")).cast("bigint").alias("sentences_10_paragraphs"), F.round("mean").cast("bigint").alias("words_a_sentence"), F.round(100 * F.col("sd") / F.col("mean")).cast("bigint").alias("variation"),
+        "doc_id", "paragraphs", "sentences", "words", F.round(F.col("sentences") * 10 / F.col("paragraphs")).cast("bigint").alias("sentences_10_paragraphs"), F.round("mean").cast("bigint").alias("words_a_sentence"), T.variation(F.col("sizes.n_words")).alias("variation"),
     )
 
 
