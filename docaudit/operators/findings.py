@@ -78,37 +78,37 @@ def pattern_findings(docs: DataFrame, rules: tuple[Pattern, ...] = PATTERNS, set
     return _found(counted, rows)
 
 
+def _bounds(docs: DataFrame) -> DataFrame:
+    """doc_id, last (the last paragraph with a sentence) and first (para and sent of the first four sentences): numbers alone are exchanged."""
+    cut = T.exploded(docs, ["doc_id"], F.array(T.paragraphs(F.col("text"))), "paras")
+    # What is left of a paragraph of blanks and marks of the cut is no sentence.
+    some = F.filter(F.transform("paras", lambda x, k: F.when(F.trim(F.translate(x, "\x01\x02", "  ")) != "", k + 1)), lambda k: k.isNotNull())
+    held = T.exploded(cut, ["doc_id", "paras"], F.array(some), "some").where(F.size("some") > 0)
+    each = F.transform(F.slice("some", 1, 4), lambda k: F.transform(F.slice(T.sentences(F.element_at("paras", k)), 1, 4), lambda s, n: F.struct(k.alias("para"), (n + 1).alias("sent"))))
+    early = held.select("doc_id", F.array_max("some").alias("last"), F.slice(F.flatten(each), 1, 4).alias("first"))
+    return early.groupBy("doc_id").agg(F.max("last").alias("last"), F.slice(F.array_sort(F.flatten(F.collect_list("first"))), 1, 4).alias("first"))
+
+
 def phrase_hits(docs: DataFrame, rules: tuple[Phrases, ...] = PHRASES, settings: Settings = Settings()) -> DataFrame:
     """doc_id, rule, para, sent and phrase of each sentence's first phrase of each rule, as whole words.
 
-    Only texts and sentences that hold the longest word of some phrase are cut into words. Words that begin a phrase
-    are joined with the phrases; the lists are fixed and small, so that side is broadcast.
+    Sentences are cut into words once; those with the longest word of some phrase are kept, and their words that begin
+    a phrase are joined with the phrases. The lists are fixed and small, so that side is broadcast.
     """
     rows = [(r.rule, k, p.split(), len(p.split()), r.where, r.lang) for r in rules if settings.limit(r.rule, r.limits) is not None for k, p in enumerate(r.phrases)]
     lexicon = docs.sparkSession.createDataFrame(rows, "rule string, ordinal int, parts array<string>, size int, place string, language string")
-    firsts, longest, most = sorted({x[2][0] for x in rows}), F.array(*map(F.lit, sorted({max(x[2], key=len) for x in rows}))), max((x[3] for x in rows), default=1)
-
-    def holding(df: DataFrame) -> DataFrame:
-        """Rows whose text, in lower case once, holds such a word."""
-        return T.exploded(df, df.columns, F.array(F.lower("text")), "low").where(F.exists(longest, lambda w: F.contains("low", w))).drop("low")
-
+    firsts, longest, most = sorted({x[2][0] for x in rows}), sorted({max(x[2], key=len) for x in rows}), max((x[3] for x in rows), default=1)
     spoken = docs.where(F.col("lang").isin(*sorted({x[5] for x in rows}))).select("doc_id", "lang", "text")
-    cut = holding(model.sentences(holding(spoken)))
-    words = T.exploded(cut, ["doc_id", "lang", "para", "sent"], F.array(T.bare_words(F.col("text"))), "words")
+    # Words are looked up in a set: a search of the text for each phrase costs more than cutting it.
+    words = T.exploded(model.sentences(spoken), ["doc_id", "lang", "para", "sent"], F.array(T.bare_words(F.col("text"))), "words").where(F.exists("words", lambda w: w.isin(*longest)))
     spots = F.transform("words", lambda w, k: F.when(w.isin(*firsts), F.struct(k.alias("pos"), w.alias("word"), F.slice("words", k + 1, most).alias("next"))))
     each = T.exploded(words, ["doc_id", "lang", "para", "sent"], F.filter(spots, lambda x: x.isNotNull()), "s").select("doc_id", "lang", "para", "sent", "s.*")
     joined = each.join(F.broadcast(lexicon.withColumn("word", F.col("parts")[0])), "word").where(F.col("lang") == F.col("language"))
-    matched = joined.where(F.slice("next", F.lit(1), F.col("size")) == F.col("parts")).select("doc_id", "rule", "place", "para", "sent", "pos", "ordinal", "parts")
-    anywhere = matched.where((F.col("place") == "any") | ((F.col("place") == "start") & (F.col("pos") == 0)))
-    # Where a document opens and closes is asked for its matches alone.
-    ends = matched.where(F.col("place").isin("opening", "closing"))
-    sentence = F.struct("para", "sent")
-    asked = model.sentences(docs).join(ends.select("doc_id").distinct(), "doc_id", "left_semi")
-    # Each paragraph has a sentence, so a document's first four are among these sixteen.
-    early = F.collect_list(F.when((F.col("para") <= 4) & (F.col("sent") <= 4), sentence))
-    bounds = asked.groupBy("doc_id").agg(F.max("para").alias("last"), F.slice(F.array_sort(early), 1, 4).alias("first"))
-    inside = F.when(F.col("place") == "opening", F.array_contains("first", sentence)).otherwise(F.col("para") == F.col("last"))
-    placed = anywhere.unionByName(ends.join(bounds, "doc_id").where(inside).select(*anywhere.columns))
+    matched = joined.where((F.slice("next", F.lit(1), F.col("size")) == F.col("parts")) & ((F.col("place") != "start") | (F.col("pos") == 0)))
+    placed = matched.select("doc_id", "rule", "place", "para", "sent", "ordinal", "parts")
+    if any(x[4] in ("opening", "closing") for x in rows):
+        inside = F.when(F.col("place") == "opening", F.array_contains("first", F.struct("para", "sent"))).when(F.col("place") == "closing", F.col("para") == F.col("last")).otherwise(True)
+        placed = placed.join(_bounds(docs), "doc_id").where(inside)
     hits = placed.groupBy("doc_id", "rule", "para", "sent").agg(F.min(F.struct("ordinal", "parts")).alias("m"))
     return hits.select("doc_id", "rule", "para", "sent", F.array_join("m.parts", " ").alias("phrase"))
 
