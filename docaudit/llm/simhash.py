@@ -5,12 +5,13 @@ indexed with one bit a wildcard, for every bit: 64 keys for a fingerprint. Equal
 verified on all bits. Only distinct fingerprints take part, so copies cost nothing. A key with very many
 fingerprints is cut again by the same rule over the other half, and again: links stay whole.
 
-Near copies of the pipeline are another matter: MinHash keys over shingle sets, verified on the sets.
+Near copies of the pipeline take the same links as candidates, and MinHash keys over shingle sets for what lies beyond
+three bits; both are verified on the sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -241,7 +242,7 @@ def _named(distinct: DataFrame, roots: DataFrame, key: str) -> DataFrame:
 
 
 #: The pipeline's rule: sets of five-word shingles with a Jaccard similarity of 4/5 or more. MinHashes in BANDS keys of
-#: ROWS each give the candidates: a pair at 0.8 shares no key once in 13,000 times, one at 0.85 once in 1.3 million.
+#: ROWS each give candidates beside the links of fingerprints: a pair at 0.8 shares no key once in 13,000 times, one at 0.85 once in 1.3 million.
 #: The sets themselves verify.
 NEAR_SHINGLE = 5
 BANDS = 24
@@ -397,32 +398,36 @@ def _rest_links(member: DataFrame, found: DataFrame, sets: DataFrame, block: int
 def near_links(docs: DataFrame, distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     """node and root of the components over all pairs that share a key and whose sets are near.
 
-    distinct: node, rep (doc_id and row of one document), keys. A first link for each node joins most of a group; what
-    stays apart within a key is compared in blocks, so that no key's nodes are gathered and no pair is listed.
+    distinct: node, rep (doc_id and row of one document), keys, f. Candidates are the links of fingerprints by deletion
+    variants, and the keys for pairs that more than BITS bits keep apart. A first link for each node joins most of a
+    key; what stays apart there is compared in blocks, so that no key's nodes are gathered and no pair is listed.
     """
+    near = checkpointed(links(distinct.where("keys IS NOT NULL AND size(keys) > 0").select("node", F.lit(0).alias("t"), "f"), ["f"], BITS))
     member = distinct.select("node", F.explode("keys").alias("key"))
     sizes = checkpointed(member.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"))
     member = checkpointed(member.join(sizes, "key"))
-    sets = _sets(docs, distinct, member.select("node").distinct())
-    found = _first_links(member, sets)
+    named = member.select("node").unionByName(near.select(F.explode(F.array("a", "b")).alias("node")))
+    sets = _sets(docs, distinct, named.distinct())
+    found = checkpointed(_verified(sets, near).unionByName(_first_links(member, sets)))
     return components(found.unionByName(_rest_links(member, found, sets, block)))
 
 
-def duplicates(docs: DataFrame) -> DataFrame:
+def duplicates(docs: DataFrame, prints: Callable = set_prints) -> DataFrame:
     """doc_id, row (xxhash64 of the text) and component_id over near-copies, chained.
 
+    Candidates are SimHash fingerprints at BITS or fewer differing bits, met by deletion variants, and equal MinHash keys.
     Near means a Jaccard similarity of 0.8 or more between the sets of five-word shingles; every link is verified on
-    the sets. Texts without words are one group.
+    the sets. Texts without words are one group. prints: set_prints(), or another choice of keys.
     """
 
     def run(part, data, offsets):
-        node, counts, keys = set_prints(data, offsets)
+        node, counts, keys = prints(data, offsets)
         ends = np.r_[0, np.cumsum(np.where(counts > 0, BANDS, 0))].astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64)))
-        return batches.record(doc_id=part.column(part.schema.get_field_index("doc_id")), row=part.column(part.schema.get_field_index("row")), node=pa.array(node.view(np.int64)), n=pa.array(counts.astype(np.int64)), keys=lists)
+        return batches.record(doc_id=part.column(part.schema.get_field_index("doc_id")), row=part.column(part.schema.get_field_index("row")), node=pa.array(node.view(np.int64)), n=pa.array(counts.astype(np.int64)), keys=lists, f=pa.array(fingerprints(data, offsets).view(np.int64)))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    prints = checkpointed(batches.map_slices(docs.select("doc_id", F.xxhash64("text").alias("row"), "text"), run, f"doc_id {kind}, row bigint, node bigint, n bigint, keys array<bigint>", limit=1 << 20))
-    distinct = checkpointed(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "row")).alias("rep"), F.first("keys").alias("keys")))
+    each = checkpointed(batches.map_slices(docs.select("doc_id", F.xxhash64("text").alias("row"), "text"), run, f"doc_id {kind}, row bigint, node bigint, n bigint, keys array<bigint>, f bigint", limit=1 << 20))
+    distinct = checkpointed(each.groupBy("node").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "row")).alias("rep"), F.first("keys").alias("keys"), F.min("f").alias("f")))
     named = _named(distinct.select("node", "first"), near_links(docs, distinct), "node")
-    return prints.select("doc_id", "row", "node").join(named, "node", "left").select("doc_id", "row", "component_id")
+    return each.select("doc_id", "row", "node").join(named, "node", "left").select("doc_id", "row", "component_id")
