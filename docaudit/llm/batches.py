@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +15,36 @@ from pyspark.sql import DataFrame
 SLICE_BYTES = 2 << 20
 
 
+#: What empties the caches of this process, and the module whose tasks ran last.
+_clearing: list[Callable[[], None]] = []
+_last: dict[str, str] = {}
+
+
+def cached(f: Callable) -> Callable:
+    """functools.cache for what a worker keeps from task to task, until one of another module begins."""
+    made = functools.cache(f)
+    _clearing.append(made.cache_clear)
+    return made
+
+
+def begin(module: str) -> None:
+    """Drops what tasks of another module left in this worker."""
+    if _last.get("module", module) != module:
+        for clear in _clearing:
+            clear()
+        release()
+    _last["module"] = module
+
+
+def release() -> None:
+    """Gives memory that is free back to the system: workers are used again, beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU library
+        pass
+
+
 def texts_of(column: pa.Array) -> pa.Array:
     """The column as strings, null as the empty text."""
     return pc.fill_null(column.cast(pa.large_string()), "")
@@ -38,6 +70,7 @@ def map_slices(df: DataFrame, function: Callable, schema: str, column: str = "te
     """`function(rows, bytes, offsets)` gives a RecordBatch, or several, for each slice of each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(function.__module__)
         for batch in batches:
             for rows, data, offsets in slices(batch, column, limit):
                 made = function(rows, data, offsets)
@@ -45,6 +78,7 @@ def map_slices(df: DataFrame, function: Callable, schema: str, column: str = "te
                     yield made
                 else:
                     yield from made
+        release()
 
     return df.mapInArrow(run, schema)
 

@@ -22,6 +22,8 @@ from docaudit.session import checkpointed
 
 CAPACITY = 2048
 SEPARATOR = 0
+#: Bytes of text that are encoded at once.
+SLICE_BYTES = 1 << 19
 #: Pieces that one task packs, and rounds of exchange.
 PIECES_PER_TASK = 20_000
 ROUNDS = 4
@@ -54,7 +56,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids:
         return batches.record(**made, **({"ids": pa.array(kept, pa.list_(pa.int32()))} if keep_ids else {}))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return batches.map_slices(docs.select("doc_id", "text"), run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * keep_ids)
+    return batches.map_slices(docs.select("doc_id", "text"), run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * keep_ids, limit=SLICE_BYTES)
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, int]:

@@ -7,13 +7,12 @@ the tokenizer whole. Pieces' ids are kept for each Python worker up to a bound.
 
 from __future__ import annotations
 
-import functools
 import itertools
 import unicodedata
 
 import numpy as np
 
-from docaudit.llm import words
+from docaudit.llm import batches, words
 
 #: Pieces a worker remembers before it starts over.
 KNOWN_PIECES = 200_000
@@ -169,11 +168,11 @@ class PieceEncoder:
         return ids, np.r_[0, np.cumsum(sizes)][np.array(firsts)].astype(np.int64)
 
 
-@functools.cache
+@batches.cached
 def encoder(path: str, plain: bool = False) -> Encoder:
     return Encoder(path, plain)
 
 
-@functools.cache
+@batches.cached
 def piece_encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
