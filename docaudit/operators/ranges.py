@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Widths below it are taken as it; grids from there on to the widest interval are powers of four.
@@ -51,6 +51,17 @@ def within(points: DataFrame, intervals: DataFrame, on: list[str], point: str, f
     return met.drop("_grid", "_cell", "_g", "_c", *(f"_{c}" for c in on))
 
 
+def unheld(both: DataFrame, on: list[str], point: str, first: str, last: str) -> DataFrame:
+    """Of rows that are points or intervals (the other's columns null), the points that no interval of equal `on` columns holds.
+
+    In the order of places the greatest end of the intervals that have begun says whether one still goes on: one pass,
+    without a join. Rows of equal `on` columns meet in one task, so this is for keys of documents; within() is for any.
+    """
+    begun = Window.partitionBy(*on).orderBy("_at", F.col(point).isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = both.withColumn("_at", F.coalesce(point, first)).withColumn("_until", F.max(F.when(F.col(first) <= F.col(last), F.col(last))).over(begun))
+    return placed.where(F.col(point).isNotNull() & ~F.coalesce(F.col("_until") >= F.col(point), F.lit(False))).drop("_at", "_until")
+
+
 def overlapping(left: DataFrame, right: DataFrame, on: list[str], left_first: str, left_last: str, right_first: str, right_last: str) -> DataFrame:
     """Pairs of intervals of equal `on` columns that share a point, with the columns of both sides; see within().
 

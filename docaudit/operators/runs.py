@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from docaudit.functions import text as T
 from docaudit.operators import mentions, ranges, tables, tree
 
 LIST_ITEM = r"^[ \t]{0,12}(?:[-*+]|[0-9]{1,3}[.)])[ \t]"
@@ -19,11 +20,12 @@ VERSION = r"^\[?v?([0-9]{1,4})\.([0-9]{1,4})\.([0-9]{1,4})(?:-([0-9A-Za-z.-]+))?
 MONTH = r"\b[0-9]{4}-(?:0[1-9]|1[0-2])\b(?!-)"
 
 
-def runs(docs: DataFrame) -> DataFrame:
+def runs(docs: DataFrame, asked: Column | None = None) -> DataFrame:
     """row, doc_id, run, kind (list or table), tbl (of a table's header), line, start, indent and text.
 
     Items of one indent are a run up to the next line that is no item or stands less deep; deeper lists between them
     are runs of their own. A table's header and rule are in no run, its rows have the rule's line as tbl. Code is blank.
+    Lines for which `asked` is true come too, run or not, and say so in a column of that name; those in no run have no kind.
     """
     each = tree.lines(docs)
     kind = F.when(F.col("text").rlike(TABLE_ROW), "table").when(F.col("text").rlike(LIST_ITEM), "list")
@@ -35,8 +37,14 @@ def runs(docs: DataFrame) -> DataFrame:
     so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
     closed = F.array(*(F.last(F.when(F.col("breaks") | (F.col("indent") < d), F.col("line")), True).over(so_far) for d in INDENTS))
     each = each.withColumns({"run": F.coalesce(F.element_at(closed, F.col("indent") + 1), F.lit(0)), "tbl": F.coalesce(F.last(F.when(F.col("rule"), F.col("line")), True).over(so_far), F.lit(0))})
-    kept = each.where("kind IS NOT NULL AND NOT rule AND NOT header")
-    return kept.select("row", "doc_id", "run", "kind", F.when(F.col("tbl") > F.col("run"), F.col("tbl")).otherwise(F.col("run")).alias("tbl"), "line", "start", "indent", "text")
+    inside = F.col("kind").isNotNull() & ~F.col("rule") & ~F.col("header")
+    if asked is not None:
+        each = each.withColumn("asked", asked)
+        each = each.where(inside | F.col("asked")).withColumn("kind", F.when(inside, F.col("kind")))
+    else:
+        each = each.where(inside)
+    kept = each
+    return kept.select(*(["asked"] if asked is not None else []), "row", "doc_id", "run", "kind", F.when(F.col("tbl") > F.col("run"), F.col("tbl")).otherwise(F.col("run")).alias("tbl"), "line", "start", "indent", "text")
 
 
 def sibling_headings(docs: DataFrame) -> DataFrame:
@@ -150,12 +158,15 @@ def _dated(each: DataFrame) -> DataFrame:
     """Lines with just one date: value (ISO), day (a number) and quote; others have null."""
     day = "|".join((mentions._ISO, mentions._LONG, mentions._BRITISH))
     found = F.regexp_extract_all("text", F.lit(f"({day}|{MONTH})"), F.lit(1))
-    one = each.withColumn("quote", F.when(F.size(found) == 1, F.get(found, F.lit(0))))
-    date = mentions.date_of(F.col("quote"))
+    # Behind explode the line is not searched again by each column that is made of its date.
+    quote = F.when(F.col("text").rlike(f"{day}|{MONTH}"), F.when(F.size(found) == 1, F.get(found, F.lit(0))))
+    one = T.exploded(each, each.columns, F.array(F.struct(quote.alias("quote"))), "d").select(*each.columns, "d.quote")
+    one = T.exploded(one, one.columns, F.array(F.struct(mentions.date_of(F.col("quote")).alias("date"))), "d").select(*one.columns, "d.date")
+    date = F.col("date")
     monthly = F.col("quote").rlike("^[0-9]{4}-[0-9]{2}$")
     value = F.when(monthly, F.col("quote")).otherwise(F.date_format(date, "yyyy-MM-dd"))
     number = F.when(monthly, F.substring("quote", 1, 4).try_cast("int") * 12 + F.substring("quote", 6, 2).try_cast("int")).otherwise(F.unix_date(date))
-    return one.withColumns({"value": value, "day": number.cast("double"), "version": version_key(_unmarked(F.col("text")))})
+    return one.withColumns({"value": value, "day": number.cast("double"), "version": version_key(_unmarked(F.col("text")))}).drop("date")
 
 
 def _out_of_order(points: DataFrame, key: list[str], least: int = 3) -> DataFrame:
@@ -218,14 +229,16 @@ def dates_outside_period(docs: DataFrame) -> DataFrame:
     """doc_id, line, start, end and quote of dates of list items and table rows that none of their document's periods holds.
 
     A line counts by its only date. Documents that state no period are not judged; a period that ends before it starts
-    holds nothing. Periods and dates meet by cells, not each with each. docs is a stored table.
+    holds nothing. Periods and dates meet in the order of days, not each with each. docs is a stored table.
     """
-    stated = tree.lines(docs).where(F.col("text").rlike(PERIOD))
     bound = lambda k: F.unix_date(mentions.date_of(F.regexp_extract("text", PERIOD, k)))
-    periods = stated.select("row", bound(1).alias("first"), bound(2).alias("last")).where("first IS NOT NULL AND last IS NOT NULL")
-    listed = _dated(runs(docs)).where(F.length("value") == 10).withColumn("at", F.col("day").cast("int"))
-    judged = listed.join(periods.select("row").distinct(), "row", "left_semi")
-    out = ranges.within(judged.select("doc_id", "row", "line", "start", "text", "quote", "at"), periods, ["row"], "at", "first", "last", "left_anti")
+    keep = ["doc_id", "row", "line", "start", "text"]
+    # A line of a period is never one of a date alone: it has two.
+    each = _dated(runs(docs, F.col("text").rlike(PERIOD))).withColumn("at", F.when((F.length("value") == 10) & F.col("kind").isNotNull(), F.col("day").cast("int")))
+    each = each.withColumns({"first": F.when(F.col("asked"), bound(1)), "last": F.when(F.col("asked"), bound(2))})
+    each = T.exploded(each, [*keep, "quote"], F.array(F.struct("at", "first", "last")), "x").select(*keep, "quote", "x.*").where("at IS NOT NULL OR (first IS NOT NULL AND last IS NOT NULL)")
+    judged = each.withColumn("stated", F.max(F.col("first").isNotNull()).over(Window.partitionBy("row")))
+    out = ranges.unheld(judged.where("stated"), ["row"], "at", "first", "last")
     begin = F.col("start") + F.instr("text", F.col("quote")) - 1
     return out.select("doc_id", "line", begin.cast("int").alias("start"), (begin + F.length("quote")).cast("int").alias("end"), "quote")
 
