@@ -9,8 +9,10 @@ leaves of the unit that is open on their line.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from docaudit.functions import text as T
 from docaudit.operators import masking
@@ -52,10 +54,15 @@ def _arabic(raw: Column) -> Column:
     return F.when(raw.rlike("^[0-9.]+$"), raw).otherwise(roman_value(raw).cast("string"))
 
 
+def _shares(docs: DataFrame) -> int:
+    """Twice the shuffle partitions, a stated number: by their compressed size alone texts would be put together, and their lines sorted by few tasks."""
+    return 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """row, doc_id, line (from 1), start and text of every line of the texts there are, code blanked."""
     # Texts are dealt, not their lines: what is cut from a text stays where its row is, and windows by row exchange nothing.
-    plain = docs.where("text IS NOT NULL").select("doc_id", F.monotonically_increasing_id().alias("row"), masking.without_code(T.plain(F.col("text"))).alias("text")).repartition("row")
+    plain = docs.where("text IS NOT NULL").select("doc_id", F.monotonically_increasing_id().alias("row"), masking.without_code(T.plain(F.col("text"))).alias("text")).repartition(_shares(docs), "row")
     cut = T.exploded(plain, ["row", "doc_id"], F.split("text", "\n", -1), "text", "line").withColumn("line", F.col("line") + 1)
     end = F.sum(F.length("text") + 1).over(_so_far())
     return cut.withColumn("start", (end - F.length("text") - 1).cast("int"))
@@ -117,67 +124,99 @@ def _openings(each: DataFrame) -> DataFrame:
     return each.withColumn("opens", F.coalesce("opens", item)).drop("raw", "letter", "style", "unit", *firsts)
 
 
-def _heading_addresses(each: DataFrame) -> DataFrame:
-    """Adds counted: "h" and the numbers of headings of each depth since the last less deep one, for headings."""
-    so_far = _so_far()
-    depths = range(1, 7)
-    each = each.withColumns({f"c{d}": F.count_if(F.col("is_heading") & (F.col("depth") == d)).over(so_far) for d in depths})
-    each = each.withColumns({f"b{d}": F.last(F.when(F.col("is_heading") & (F.col("depth") < d), F.col(f"c{d}")), True).over(so_far) for d in depths})
-    counts = F.array(*((F.col(f"c{d}") - F.coalesce(f"b{d}", F.lit(0))).cast("string") for d in depths))
-    counted = F.concat(F.lit("h"), F.array_join(F.slice(counts, F.lit(1), F.coalesce("depth", F.lit(1))), "."))
-    return each.withColumn("counted", F.when(F.col("is_heading"), counted)).drop(*(f"{x}{d}" for x in "cb" for d in depths))
+def outline(depths: list[int], ranks: list[int], numbers: list[str | None], absolute: list[bool]) -> list[tuple[int, int, str | None]]:
+    """(parent, next, address) of each of a document's units in order: places in the list, -1 for none.
+
+    The parent is the nearest unit before with a lower rank, next the first one behind with no higher rank. Headings
+    without a number count those of each depth since the last less deep one.
+    """
+    found: list[list] = [[-1, -1, None] for _ in ranks]
+    counts = [0] * 7
+    stack: list[tuple[int, int, str | None, str | None]] = []
+    for k, (depth, rank, number, own) in enumerate(zip(depths, ranks, numbers, absolute)):
+        counted = None
+        if depth:
+            counts[depth] += 1
+            counts[depth + 1 :] = [0] * (6 - depth)
+            counted = "h" + ".".join(map(str, counts[1 : depth + 1]))
+        while stack and stack[-1][0] >= rank:
+            found[stack.pop()[1]][1] = k
+        _, found[k][0], numbered, section = stack[-1] if stack else (0, -1, None, None)
+        if number is None:
+            section = found[k][2] = counted
+        else:
+            before = numbered + "." if numbered is not None else section + "/" if section is not None else ""
+            numbered = found[k][2] = number if own else before + number
+        stack.append((rank, k, numbered, section))
+    return [tuple(x) for x in found]
+
+
+@F.pandas_udf(StructType([StructField("parent", ArrayType(IntegerType())), StructField("next", ArrayType(IntegerType())), StructField("address", ArrayType(StringType()))]))
+def _outlines(depths: pd.Series, ranks: pd.Series, numbers: pd.Series, absolute: pd.Series) -> pd.DataFrame:
+    """outline() of each document's units, each part of it an array."""
+    found = [outline(list(a), list(b), list(c), list(d)) for a, b, c, d in zip(depths, ranks, numbers, absolute)]
+    return pd.DataFrame({name: [[x[k] for x in units] for units in found] for k, name in enumerate(("parent", "next", "address"))})
 
 
-def _located(docs: DataFrame) -> DataFrame:
-    """Every line with the unit it opens, the units open before it by rank, and where the next unit of each rank starts."""
-    each = _heading_addresses(_openings(lines(docs)))
+def _outlined(each: DataFrame, **more: Column) -> DataFrame:
+    """doc_id, row, units (in order, each with what outline() says), doc_end and other aggregates of each document of lines with what they open."""
     end = F.struct(F.col("line"), (F.col("start") + F.length("text")).alias("end"))
     before = Window.partitionBy("row").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = Window.partitionBy("row").orderBy("line").rowsBetween(1, Window.unboundedFollowing)
-    whole = Window.partitionBy("row").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     written = F.when(F.trim("text") != "", end)
-    each = each.withColumns({"last_written": F.last(written, True).over(before), "doc_end": F.last(written, True).over(whole)})
-    own = F.struct("line", F.col("opens.number").alias("number"), F.col("opens.absolute").alias("absolute"), "counted")
-    until = F.struct("line", "last_written")
-    at = lambda d, x: F.when(F.col("opens.rank") == d, x)
-    return each.withColumns({"held": F.array(*(F.last(at(d, own), True).over(before) for d in RANKS)), "nexts": F.array(*(F.first(at(d, until), True).over(ahead) for d in RANKS))})
+    each = each.withColumns({"written": written, "last_written": F.last(written, True).over(before)})
+    unit = F.struct("line", "start", "opens", "depth", "last_written")
+    packed = each.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("opens").isNotNull(), unit))).alias("units"), F.max("written").alias("doc_end"), *(c.alias(n) for n, c in more.items()))
+    # A heading's depth is 0 for none: arrays with nulls come to pandas as other numbers.
+    depths = F.transform("units", lambda u: F.coalesce(u["depth"], F.lit(0)))
+    return packed.withColumn("outline", _outlines(depths, F.col("units.opens.rank"), F.col("units.opens.number"), F.col("units.opens.absolute")))
 
 
-def _address(chain: Column) -> Column:
-    """The address of the last of a chain of units, outermost first."""
-    first = F.struct(F.lit(None).cast("string").alias("numbered"), F.lit(None).cast("string").alias("section"), F.lit(None).cast("string").alias("own"))
+def nodes(docs: DataFrame) -> DataFrame:
+    """doc_id, row, line, parent (line of the unit around it, 0 for the document), kind, rank, address, label, heading, ordinal, start, end and last of every unit.
 
-    def step(s: Column, u: Column) -> Column:
-        joined = F.coalesce(F.concat(s["numbered"], F.lit("."), u["number"]), F.concat(s["section"], F.lit("/"), u["number"]), u["number"])
-        numbered = F.when(u["number"].isNull(), s["numbered"]).when(u["absolute"], u["number"]).otherwise(joined)
-        section = F.when(u["number"].isNull(), u["counted"]).otherwise(s["section"])
-        return F.struct(numbered.alias("numbered"), section.alias("section"), F.when(u["number"].isNull(), u["counted"]).otherwise(numbered).alias("own"))
+    start and end are places in the text without byte order mark and carriage returns, last is the last written line.
+    Null texts have none, the empty text neither; repeated rows have trees of their own, told apart by row. docs is a
+    stored table, or gives its rows in one order whenever it is read. A document's units are gathered in a row.
+    """
+    each = _outlined(_openings(lines(docs)))
+    both = F.transform(F.arrays_zip(F.col("units").alias("unit"), F.col("outline.parent").alias("parent"), F.col("outline.next").alias("next"), F.col("outline.address").alias("address")), lambda x: F.struct(
+        x["unit"].alias("unit"), x["address"].alias("address"), F.coalesce(F.get("units", x["parent"])["line"], F.lit(0)).alias("parent"),
+        F.when(x["next"] < 0, F.col("doc_end")).otherwise(F.get("units", x["next"])["last_written"]).alias("until"),
+    ))
+    found = T.exploded(each, ["doc_id", "row"], both, "u").select("doc_id", "row", "u.*")
+    return found.select("doc_id", "row", "unit.line", "parent", "unit.opens.kind", "unit.opens.rank", "address", "unit.opens.label", "unit.opens.heading", "unit.opens.ordinal", "unit.start", F.col("until.end").alias("end"), F.col("until.line").alias("last"))
 
-    return F.aggregate(chain, first, step, lambda s: s["own"])
 
+def _read(each: DataFrame) -> DataFrame:
+    """Adds skip, the length of a unit's own label at the head of its line, and read, what stands behind it."""
+    label = F.when(F.col("opens.kind").isin("article", "chapter") & (F.col("opens.label") != ""), F.instr("text", F.col("opens.label")) + F.length("opens.label") - 1).otherwise(0)
+    return each.withColumn("skip", F.greatest(label, F.lit(0)).cast("int")).withColumn("read", F.substring("text", F.col("skip") + 1, F.length("text")))
 
-def _open_units(held: Column) -> Column:
-    """Of the last lines of each rank, outermost first, those that no outer one has closed since."""
-    start = F.struct(F.lit(0).alias("last"), F.filter(held, lambda x: F.lit(False)).alias("out"))
-    return F.aggregate(held, start, lambda s, x: F.when(x.isNotNull() & (x["line"] > s["last"]), F.struct(x["line"].alias("last"), F.array_append(s["out"], x).alias("out"))).otherwise(s), lambda s: s["out"])
 
+def _pieces(pattern: str) -> Column:
+    """What stands in read before each match of the pattern, and the match; the last has none."""
+    return F.zip_with(F.split("read", F.lit(pattern), -1), F.regexp_extract_all("read", F.lit(pattern), F.lit(0)), lambda p, q: F.struct(p.alias("before"), q.alias("quote")))
 
-def nodes(docs: DataFrame) -> DataFrame:
-    """doc_id, row, line, parent (line of the unit around it, 0 for the document), kind, rank, address, label, heading, ordinal, start, end and last of every unit.
 
-    start and end are places in the text without byte order mark and carriage returns, last is the last written line.
-    Null texts have none, the empty text neither; repeated rows have trees of their own, told apart by row. docs is a
-    stored table, or gives its rows in one order whenever it is read.
-    """
-    each = _located(docs).where("opens IS NOT NULL")
-    around = F.slice(F.col("held"), F.lit(1), F.col("opens.rank") - 1)
-    each = each.withColumn("chain", _open_units(around))
-    own = F.struct("line", F.col("opens.number").alias("number"), F.col("opens.absolute").alias("absolute"), "counted")
-    following = F.array_min(F.filter(F.slice("nexts", F.lit(1), F.col("opens.rank")), lambda x: x.isNotNull()))
-    until = F.when(following.isNull(), F.col("doc_end")).otherwise(following["last_written"])
-    parent = F.when(F.size("chain") > 0, F.element_at("chain", -1)["line"]).otherwise(0)
-    found = each.withColumns({"until": until, "parent": parent, "address": _address(F.array_append("chain", own))})
-    return found.select("doc_id", "row", "line", "parent", "opens.kind", "opens.rank", "address", "opens.label", "opens.heading", "opens.ordinal", "start", F.col("until.end").alias("end"), F.col("until.line").alias("last"))
+def _made(kind: str) -> Column:
+    """Of pieces each match: at (its place in read), quote and target."""
+    # A line holds a few mentions; the pieces before one say where it is.
+    nth = F.sequence(F.lit(1), F.size("pieces") - 1)
+    length = lambda x: F.length(x["before"]) + F.coalesce(F.length(x["quote"]), F.lit(0))
+    place = lambda k: F.aggregate(F.slice("pieces", F.lit(1), k - 1), F.lit(0), lambda s, x: s + length(x))
+
+    def target(quote: Column, behind: Column) -> Column:
+        if kind != "reference":
+            return F.lit(None).cast("string")
+        number = _arabic(F.regexp_extract(quote, REFERENCE, 1))
+        items = F.regexp_extract_all(quote, F.lit(r"\(([A-Za-z0-9]{1,4})\)"), F.lit(1))
+        return F.when(~behind.rlike(ELSEWHERE), F.array_join(F.concat(F.array(number), items), "."))
+
+    def match(k: Column) -> Column:
+        quote = F.element_at("pieces", k)["quote"]
+        return F.struct((place(k) + F.length(F.element_at("pieces", k)["before"])).alias("at"), quote.alias("quote"), target(quote, F.element_at("pieces", k + 1)["before"]).alias("target"))
+
+    return F.transform(nth, match)
 
 
 def leaves(docs: DataFrame) -> DataFrame:
@@ -186,28 +225,13 @@ def leaves(docs: DataFrame) -> DataFrame:
     target is the address that a reference names, null for the rest and for references into other documents. A unit's
     own label is no reference.
     """
-    so_far = _so_far()
-    each = _openings(lines(docs)).withColumn("parent", F.coalesce(F.last(F.when(F.col("opens").isNotNull(), F.col("line")), True).over(so_far), F.lit(0)))
-    label = F.when(F.col("opens.kind").isin("article", "chapter") & (F.col("opens.label") != ""), F.instr("text", F.col("opens.label")) + F.length("opens.label") - 1).otherwise(0)
-    each = each.withColumn("skip", F.greatest(label, F.lit(0)).cast("int")).withColumn("read", F.substring("text", F.col("skip") + 1, F.length("text")))
-    found = None
+    each = _openings(lines(docs)).withColumn("parent", F.coalesce(F.last(F.when(F.col("opens").isNotNull(), F.col("line")), True).over(_so_far()), F.lit(0)))
+    each, found = _read(each), None
     for kind, pattern in {"reference": REFERENCE, **LEAVES}.items():
-        pieces = F.zip_with(F.split("read", F.lit(pattern), -1), F.regexp_extract_all("read", F.lit(pattern), F.lit(0)), lambda p, q: F.struct(p.alias("before"), q.alias("quote")))
-        own = each.where(F.col("read").rlike(pattern)).select("doc_id", "row", "line", "parent", "start", "skip", pieces.alias("pieces"))
-        # A line holds a few mentions; the pieces before one say where it is.
-        nth = F.sequence(F.lit(1), F.size("pieces") - 1)
-        length = lambda x: F.length(x["before"]) + F.coalesce(F.length(x["quote"]), F.lit(0))
-        place = lambda k: F.aggregate(F.slice("pieces", F.lit(1), k - 1), F.lit(0), lambda s, x: s + length(x))
-        made = F.transform(nth, lambda k: F.struct((place(k) + F.length(F.element_at("pieces", k)["before"])).alias("at"), F.element_at("pieces", k)["quote"].alias("quote"), F.element_at("pieces", k + 1)["before"].alias("behind")))
-        hit = T.exploded(own, ["doc_id", "row", "line", "parent", "start", "skip"], made, "m")
-        if kind == "reference":
-            number = _arabic(F.regexp_extract("m.quote", REFERENCE, 1))
-            items = F.regexp_extract_all("m.quote", F.lit(r"\(([A-Za-z0-9]{1,4})\)"), F.lit(1))
-            target = F.when(~F.col("m.behind").rlike(ELSEWHERE), F.array_join(F.concat(F.array(number), items), "."))
-        else:
-            target = F.lit(None).cast("string")
+        keep = ["doc_id", "row", "line", "parent", "start", "skip"]
+        own = each.where(F.col("read").rlike(pattern)).select(*keep, _pieces(pattern).alias("pieces"))
         start = F.col("start") + F.col("skip") + F.col("m.at")
-        hit = hit.select("doc_id", "row", "line", "parent", F.lit(kind).alias("kind"), start.alias("start"), (start + F.length("m.quote")).alias("end"), F.col("m.quote").alias("quote"), target.alias("target"))
+        hit = T.exploded(own, keep, _made(kind), "m").select("doc_id", "row", "line", "parent", F.lit(kind).alias("kind"), start.alias("start"), (start + F.length("m.quote")).alias("end"), "m.quote", "m.target")
         found = hit if found is None else found.unionByName(hit)
     return found
 
@@ -215,13 +239,18 @@ def leaves(docs: DataFrame) -> DataFrame:
 def dangling_references(docs: DataFrame) -> DataFrame:
     """doc_id, line, start, end, quote and target of references to an address that the document does not have.
 
-    Documents without a numbered unit are not judged, nor are references into other documents.
+    Documents without a numbered unit are not judged, nor are references into other documents. Units and references
+    come of one reading of the lines.
     """
-    named = nodes(docs).where("kind <> 'section'").select("doc_id", "row", F.col("address").alias("target"), F.lit(True).alias("there"), *(F.lit(None).cast(k).alias(c) for c, k in (("line", "int"), ("start", "int"), ("end", "int"), ("quote", "string"))))
-    asked = leaves(docs).where("kind = 'reference' AND target IS NOT NULL").select("doc_id", "row", "target", F.lit(False).alias("there"), "line", "start", "end", "quote")
-    both = named.unionByName(asked)
-    judged = both.withColumns({"known": F.max("there").over(Window.partitionBy("row", "target")), "numbered": F.max("there").over(Window.partitionBy("row"))})
-    return judged.where("NOT there AND NOT known AND numbered").select("doc_id", "line", "start", "end", "quote", "target")
+    each = _read(_openings(lines(docs))).withColumn("pieces", F.when(F.col("read").rlike(REFERENCE), _pieces(REFERENCE)))
+    start = F.col("start") + F.col("skip")
+    hits = F.when(F.col("pieces").isNotNull(), F.transform(_made("reference"), lambda m: F.struct("line", (start + m["at"]).alias("start"), (start + m["at"] + F.length(m["quote"])).alias("end"), m["quote"].alias("quote"), m["target"].alias("target"))))
+    packed = _outlined(each.withColumn("hits", hits), asked=F.flatten(F.collect_list("hits"))).where(F.size("asked") > 0)
+    numbered = F.filter(F.arrays_zip(F.col("units.opens.kind").alias("kind"), F.col("outline.address").alias("address")), lambda x: x["kind"] != "section")
+    there = F.transform(numbered, lambda x: x["address"])
+    missing = T.exploded(packed.withColumn("there", there).where(F.size("there") > 0), ["doc_id", "asked"], F.array(F.array_except(F.transform("asked", lambda x: x["target"]), F.col("there"))), "missing")
+    found = F.filter("asked", lambda x: x["target"].isNotNull() & F.array_contains("missing", x["target"]))
+    return T.exploded(missing.where(F.size("missing") > 0), ["doc_id"], found, "f").select("doc_id", "f.line", "f.start", "f.end", "f.quote", "f.target")
 
 
 def rendered(docs: DataFrame) -> DataFrame:
