@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from docaudit.operators import runs
+import pyarrow
+
+from docaudit.operators import runs, tree
+from docaudit.sources import html_tables
 
 
 def plan(df) -> str:
@@ -23,3 +26,58 @@ def test_periods_are_met_without_a_join(spark, tmp_path):
     # One exchange, of the texts.
     assert "Join" not in plan(found) and plan(found).count("Exchange hashpartitioning") == 1
     assert sorted((r.doc_id, r.quote) for r in found.collect()) == [(1, "2024-02-01"), (1, "2024-03-15"), (1, "8 May 2024"), (4, "2024-03-15")]
+
+
+def test_trees_come_of_one_exchange_and_one_reading(spark, tmp_path):
+    text = "PART 1 Supply\n# One\n### Deep\n## Two\nARTICLE 1 Items\n(a) goods, see Section 2.1, Section 1(b) and Section 7 of the Trade Act\n(i) more, see Section 1(a)(i)\n\n2.1 Terms\n# Three\n"
+    docs = stored(spark, tmp_path, [(1, text), (2, "see Section 3"), (3, ""), (4, None), (5, "2.1 Terms, Section 2.1\n2.2 See Section 2.1 and Section 9")])
+    found, asked = tree.nodes(docs), tree.dangling_references(docs)
+    for df in (found, asked):
+        assert plan(df).count("Exchange hashpartitioning") == 1 and plan(df).count("Scan parquet") == 1
+    nodes = sorted((r.doc_id, r.line, r.parent, r.address, r.last) for r in found.collect())
+    assert nodes == [
+        (1, 1, 0, "pt1", 1), (1, 2, 0, "h1", 9), (1, 3, 2, "h1.0.1", 3), (1, 4, 2, "h1.1", 9), (1, 5, 4, "1", 9), (1, 6, 5, "1.a", 7), (1, 7, 6, "1.a.i", 7), (1, 9, 5, "2.1", 9), (1, 10, 0, "h2", 10),
+        (5, 1, 0, "2.1", 1), (5, 2, 0, "2.2", 2),
+    ]
+    assert sorted((r.doc_id, r.line, r.quote, r.target) for r in asked.collect()) == [(1, 6, "Section 1(b)", "1.b"), (5, 2, "Section 9", "9")]
+
+
+def test_plain_pages_are_cut_as_the_parser_reads_them():
+    def parsed(page):
+        reader = html_tables._Reader()
+        reader.feed(page)
+        reader.close()
+        return [(t.cells, t.row) for t in reader.tables], [len(reader.stack), reader.skip]
+
+    plain = [
+        "<table><tr><td>a &amp; b<td rowspan=2 ROWSPAN='3' colspan>c</td></table>", "x<TABLE class=\"a b\"><TR><TH>1 > 0<p>2</TH ><td>&lt;b&gt; &nbsp &#x41</table", "<table>\n<tr><td\n colspan=\"2\">u<table><td>v</table>w<tr><td rowspan=>z",
+        "<table><td>a<br/>b<!-- <td> --><td>c", "<table><td><script>'<td>'</script>d<td>e</table>", "<table><tr><td>1 < 2<td>3</tr></table>", "<table><td title=\"a&quot;b\" rowspan=02>q", "<title><table><td>x</title><table><td>y", "<p>no", "",
+    ]
+    for page in plain:
+        reader = html_tables._read(page)
+        assert ([(t.cells, t.row) for t in reader.tables], [len(reader.stack), reader.skip]) == parsed(page), page
+
+
+def test_grids_leave_a_task_many_rows_at_once(spark, monkeypatch):
+    """Batches used to be one a page."""
+    made = []
+    own = html_tables.pa.RecordBatch
+
+    class Counting:
+        @staticmethod
+        def from_arrays(arrays, names):
+            made.append(len(arrays[0]))
+            return own.from_arrays(arrays, names=names)
+
+    class Arrow:
+        RecordBatch = Counting
+
+        def __getattr__(self, name):
+            return getattr(pyarrow, name)
+
+    monkeypatch.setattr(html_tables, "pa", Arrow())
+    batch = own.from_pydict({"page_id": pyarrow.array(range(50)), "html": ["<table><tr><td>a<td>b</table>"] * 49 + [None]})
+    pages = spark.createDataFrame([(1, "x")], "page_id bigint, html string")
+    monkeypatch.setattr(type(pages), "mapInArrow", lambda self, f, schema: list(f(iter([batch]))), raising=False)
+    found = html_tables.table_grid(pages)
+    assert made == [98] and found[0].column("page_id").to_pylist()[-1] == 48
