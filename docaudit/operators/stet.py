@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docaudit.functions import text as T
-from docaudit.operators import ranges
+from docaudit.operators import ranges, tree
 
 #: Kind, then what stands up to the end of the comment.
 COMMENT = r"<!--\s*(stet|stet-section|stet-file)\s*:([^>]*?)-->"
@@ -26,7 +26,7 @@ END = 1 << 30
 def _lines(docs: DataFrame) -> DataFrame:
     """row, doc_id, line and text of documents that hold such a comment, code left out; a comment over several lines is on its first."""
     own = docs.where(F.contains("text", F.lit("stet"))).select("doc_id", T.plain(F.col("text")).alias("text"))
-    marked = own.where(F.col("text").rlike(COMMENT)).withColumn("row", F.monotonically_increasing_id())
+    marked = own.where(F.col("text").rlike(COMMENT)).withColumn("row", F.monotonically_increasing_id()).repartition(tree.shares(docs), "row")
     cut = T.exploded(marked, ["row", "doc_id", F.regexp_extract_all("text", F.lit(COMMENT), F.lit(0)).alias("comments")], F.split("text", "\n", -1), "text", "line")
     return cut.withColumn("line", F.col("line") + 1)
 
@@ -82,9 +82,10 @@ def scopes(docs: DataFrame) -> DataFrame:
 
 def kept(found: DataFrame, docs: DataFrame) -> DataFrame:
     """Findings (with doc_id, rule and line) that no comment covers; those without a line meet stet-file alone."""
-    own = scopes(docs).select("doc_id", "rule", "first", "last")
-    placed = found.withColumn("_line", F.coalesce(F.col("line"), F.lit(0)))
-    return ranges.within(placed, own, ["doc_id", "rule"], "_line", "first", "last", "left_anti").drop("_line")
+    own = scopes(docs).select("doc_id", "rule", F.col("first").alias("_first"), F.col("last").alias("_last"))
+    placed = found.withColumns({"_line": F.coalesce(F.col("line"), F.lit(0)), "_first": F.lit(None).cast("int"), "_last": F.lit(None).cast("int")})
+    both = placed.unionByName(own, allowMissingColumns=True)
+    return ranges.unheld(both, ["doc_id", "rule"], "_line", "_first", "_last").select(*found.columns)
 
 
 def suppressed(found: DataFrame, docs: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pyarrow
 
-from docaudit.operators import runs, tree
+from docaudit.operators import runs, stet, tree
 from docaudit.sources import html_tables
 
 
@@ -81,3 +81,12 @@ def test_grids_leave_a_task_many_rows_at_once(spark, monkeypatch):
     monkeypatch.setattr(type(pages), "mapInArrow", lambda self, f, schema: list(f(iter([batch]))), raising=False)
     found = html_tables.table_grid(pages)
     assert made == [98] and found[0].column("page_id").to_pylist()[-1] == 48
+
+
+def test_comments_are_read_once_and_met_without_a_join(spark, tmp_path):
+    text = "<!-- stet: a — why -->\none\ntwo\n\n<!-- stet-section: b -->\nthree\n# Next\nfour\n<!-- stet-file: c -->\n"
+    docs = stored(spark, tmp_path, [(1, text), (2, "plain"), (3, None)])
+    found = spark.createDataFrame([(1, "a", 2, 7), (1, "a", 6, 8), (1, "a", 6, 8), (1, "b", 6, 1), (1, "b", 8, 2), (1, "c", None, 3), (2, "a", 2, 4), (None, "a", 2, 5)], "doc_id bigint, rule string, line int, first int")
+    left = stet.kept(found, docs)
+    assert left.columns == found.columns and "Join" not in plan(left) and plan(left).count("Scan parquet") == 1
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([(1, "a", 6, 8), (1, "a", 6, 8), (1, "b", 8, 2), (2, "a", 2, 4), (None, "a", 2, 5)], key=str)
