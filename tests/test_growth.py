@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pyarrow
 
-from docaudit.operators import runs, stet, tree
+from docaudit.operators import runs, signatures, stet, tree
 from docaudit.sources import html_tables
 
 
@@ -90,3 +90,16 @@ def test_comments_are_read_once_and_met_without_a_join(spark, tmp_path):
     left = stet.kept(found, docs)
     assert left.columns == found.columns and "Join" not in plan(left) and plan(left).count("Scan parquet") == 1
     assert sorted(map(tuple, left.collect()), key=str) == sorted([(1, "a", 6, 8), (1, "a", 6, 8), (1, "b", 8, 2), (2, "a", 2, 4), (None, "a", 2, 5)], key=str)
+
+
+def test_parameters_meet_their_tables_in_one_reading(spark, tmp_path):
+    code = "```ts\nfunction f(a: Map<x, y> = (1, 2), {b}, c = d => d, e) {\n```\n"
+    table = "| Argument | Kind |\n|---|---|\n| `a` | x |\n| g | x |\n| g | y |\n"
+    fits = code.replace("{b}", "b")
+    rows = [(1, fits + table), (2, code + table), (3, fits + "# Next\n" + table), (4, fits + fits + table + "end\n" + table), (5, table), (6, None), (7, fits.replace("```", "~~~") + "text\n" + table)]
+    found = signatures.parameter_mismatches(stored(spark, tmp_path, rows))
+    assert "Join" not in plan(found) and "Union" not in plan(found) and plan(found).count("Scan parquet") == 1
+    apart = [("b", "signature"), ("c", "signature"), ("e", "signature"), ("g", "table")]
+    want = [(1, 4, "f", *x) for x in apart] + [(4, 7, "f", *x) for x in apart] + [(7, 5, "f", *x) for x in apart]
+    assert sorted(map(tuple, found.collect())) == want
+    assert signatures.mark("a, [b, c], d => e, f) -> g, h") == "a\x01 [b, c]\x01 d => e\x01 f\x02 -> g, h"
