@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from docaudit.functions import text as T
 
-#: Label, figure and what follows it.
-_LINE = r"^[\s|*-]*([A-Za-z][A-Za-z ()/-]*?)[ *]*[:|][\s*]*([-+]?[$€£¥]?[0-9][0-9,]*(?:\.[0-9]+)?)\s*(%|[A-Za-z]*)"
+#: Lines of a label and a figure; what a line holds of both is left with a mark between.
+_FACT = "\x01"
+_FACTS = r"(?dm)^(?=[^\n]*?[A-Za-z][ )*]*[:|][^0-9\n]*[0-9])(?:[^\S\n]|[|*-])*([A-Za-z][A-Za-z ()/-]*?)[ *]*[:|](?:[^\S\n]|\*)*([-+]?[$€£¥]?[0-9][0-9,]*(?:\.[0-9]+)?)[^\n]*"
 
 #: Figures by the labels that name them, without brackets: the first such line counts.
 FIGURES: dict[str, tuple[str, ...]] = {
@@ -74,13 +75,19 @@ SUMMED = ("deposits", "withdrawals", "deductions")
 
 
 class Figures:
-    """The columns of the figures: value and half a step of the last digit written."""
+    """The figures of a statement by their names: value and half a step of the last digit written."""
+
+    def there(self, name: str) -> Column:
+        return F.array_contains("said", F.lit(name))
+
+    def _of(self, name: str) -> Column:
+        return F.get("stated", F.array_position("said", F.lit(name)).cast("int") - 1)
 
     def __call__(self, name: str) -> Column:
-        return F.col(f"`figure {name}`")["value"]
+        return self._of(name)["value"]
 
     def half_step(self, name: str) -> Column:
-        return F.col(f"`figure {name}`")["half_step"]
+        return self._of(name)["half_step"]
 
     def differs(self, want: Column, name: str) -> Column:
         """Whether the figure is not the wanted value at its own precision."""
@@ -117,7 +124,7 @@ CHECKS = (
     _is("annual-pay-mismatch", ("monthly pay", "bonus months", "annual pay"), lambda v: v("monthly pay") * (12 + v("bonus months"))),
     # A year's interest, or a month's.
     Check("interest-mismatch", ("interest balance", "interest rate", "interest"), lambda v: v.differs(v("interest balance") * v("interest rate") / 100, "interest") & v.differs(v("interest balance") * v("interest rate") / 1200, "interest"), lambda v: v("interest balance") * v("interest rate") / 100),
-    Check("installment-total-mismatch", ("payments", "payment", "payment total"), lambda v: v.differs(v("payments") * v("payment"), "payment total") & (F.col("`figure fee`").isNull() | v.differs(v("payments") * v("payment") + v("fee"), "payment total")), lambda v: v("payments") * v("payment")),
+    Check("installment-total-mismatch", ("payments", "payment", "payment total"), lambda v: v.differs(v("payments") * v("payment"), "payment total") & (~v.there("fee") | v.differs(v("payments") * v("payment") + v("fee"), "payment total")), lambda v: v("payments") * v("payment")),
     _is("rent-multiple-mismatch", ("rent", "deposit months", "deposit"), lambda v: v("rent") * v("deposit months")),
     _is("ratio-mismatch", ("profit", "sales", "margin"), lambda v: 100 * v("profit") / F.nullif(v("sales"), F.lit(0.0))),
     _is("share-amount-mismatch", ("bill total", "share", "paid"), lambda v: v("bill total") * v("share") / 100),
@@ -134,45 +141,58 @@ CHECKS = (
 
 
 def figures(docs: DataFrame) -> DataFrame:
-    """doc_id, row, facts (of its block) and, for each statement, a column for each of FIGURES: value and half_step, null where nothing has the label.
+    """doc_id, row, facts (of its block) and, for each statement, stated: name, value and half_step of the figures it has, and said, their names.
 
     Lines between blank ones are a block. Where a block says a label again, the second of each label are a statement of
     their own, and so on. What a statement lacks is taken from its block if it is there once, or else from the document
     if one block alone has it: a name at the top holds for all.
     """
-    part = lambda x, k: F.regexp_extract(x, _LINE, k)
-    names = F.create_map(*(F.lit(x) for name, labels in FIGURES.items() for label in labels for x in (label, name)))
-    label = lambda x: F.trim(F.regexp_replace(F.translate(F.lower(part(x, 1)), "()", ""), " +", " "))
-    value = lambda raw: F.regexp_replace(raw, "[$€£¥,+]", "").try_cast("double")
-    half = lambda raw: 0.5 * F.pow(F.lit(10.0), -F.length(F.regexp_extract(raw, r"\.([0-9]+)$", 1)))
+    known = {label: name for name, labels in FIGURES.items() for label in labels}
+    names = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
+
+    def label(raw: Column) -> Column:
+        lower = F.translate(F.lower(raw), "()", "")
+        return F.trim(F.when(F.contains(lower, F.lit("  ")), F.regexp_replace(lower, " +", " ")).otherwise(lower))
+
+    def fact(line: Column) -> Column:
+        raw, said = F.substring_index(line, _FACT, -1), label(F.substring_index(line, _FACT, 1))
+        point = F.instr(raw, ".")
+        half = 0.5 * F.pow(F.lit(10.0), -F.when(point > 0, F.length(raw) - point).otherwise(0))
+        return F.struct(F.when(said.isin(*known), F.try_element_at(names, said)).alias("name"), F.translate(raw, "$€£¥,+", "").try_cast("double").alias("value"), half.alias("half_step"))
 
     def facts(block: Column) -> Column:
-        lines = F.filter(F.split(block, "\n", -1), lambda x: x.rlike(r"[A-Za-z][ )*]*[:|][^0-9]*[0-9]"))
-        read = F.transform(lines, lambda x: F.struct(F.try_element_at(names, label(x)).alias("name"), value(part(x, 2)).alias("value"), half(part(x, 2)).alias("half_step")))
-        return F.filter(read, lambda f: f["name"].isNotNull())
-
-    blocks = F.filter(F.transform(F.split(T.plain(F.col("text")), r"\n[ \t]*\n", -1), facts), lambda x: F.size(x) > 0)
-    read = T.exploded(docs.where("text IS NOT NULL").withColumn("row", F.monotonically_increasing_id()), ["doc_id", "row"], F.array(blocks), "blocks").where(F.size(F.flatten("blocks")) > 1)
-    # Labels that one block alone has; FIGURES are few.
-    once = F.filter(F.array(*map(F.lit, FIGURES)), lambda n: F.size(F.filter("blocks", lambda b: F.exists(b, lambda f: f["name"] == n))) == 1)
-    shared = T.exploded(read, ["doc_id", "row", "blocks"], F.array(once), "once")
-    shared = T.exploded(shared, ["doc_id", "row", "blocks"], F.array(F.filter(F.flatten("blocks"), lambda f: F.array_contains("once", f["name"]))), "shared")
+        lines = F.filter(F.split(block, "\n", -1), lambda x: F.contains(x, F.lit(_FACT)))
+        return F.filter(F.transform(lines, fact), lambda f: f["name"].isNotNull())
+
+    # One search of the text leaves label and figure of its lines; null texts have no blocks.
+    marked = F.regexp_replace(F.translate(T.plain(F.col("text")), _FACT, " "), _FACTS, f"$1{_FACT}$2")
+    texts = T.exploded(docs.withColumn("row", F.monotonically_increasing_id()), ["doc_id", "row"], F.array(marked), "marked").where(F.contains("marked", F.lit(_FACT)))
+    blocks = F.filter(F.transform(F.split("marked", r"\n[ \t]*\n", -1), facts), lambda x: F.size(x) > 0)
+    read = T.exploded(texts, ["doc_id", "row"], F.array(blocks), "blocks").where(F.size(F.flatten("blocks")) > 1)
+    # What one block alone says holds for all; how often a label is said is asked of the labels there are, not of all.
+    said_in = F.flatten(F.transform("blocks", lambda b: F.array_distinct(F.transform(b, lambda f: f["name"]))))
+    once = F.filter(F.flatten("blocks"), lambda f: F.size(F.filter(said_in, lambda n: n == f["name"])) == 1)
+    shared = T.exploded(read, ["doc_id", "row", "blocks"], F.array(F.when(F.size("blocks") == 1, F.element_at("blocks", 1)).otherwise(once)), "shared")
     block = T.exploded(shared, ["doc_id", "row", "shared"], F.col("blocks"), "facts", "block")
-    times = F.array_max(F.transform(F.array(*map(F.lit, FIGURES)), lambda n: F.when(~n.isin(*SUMMED), F.size(F.filter("facts", lambda f: f["name"] == n))).otherwise(0)))
-    said = T.exploded(block.withColumn("times", F.greatest(times, F.lit(1))), ["doc_id", "row", "shared", "block", "facts", "times"], F.sequence(F.lit(1), F.col("times")), "nth")
+    repeated = F.array_max(F.transform(F.filter("facts.name", lambda n: ~n.isin(*SUMMED)), lambda n: F.size(F.filter("facts", lambda f: f["name"] == n))))
+    times = F.when(F.size(F.array_distinct("facts.name")) == F.size("facts"), 1).otherwise(F.greatest(F.coalesce(repeated, F.lit(1)), F.lit(1)))
+    said = T.exploded(block, ["doc_id", "row", "shared", "block", "facts"], F.array(F.struct(times.alias("times"), F.array_union("facts.name", "shared.name").alias("names"))), "x").select("doc_id", "row", "shared", "block", "facts", "x.*")
+    said = T.exploded(said, ["doc_id", "row", "shared", "block", "facts", "times", "names"], F.sequence(F.lit(1), F.col("times")), "nth")
 
-    def figure(name: str) -> Column:
+    def figure(name: Column) -> Column:
         own, of_doc = F.filter("facts", lambda f: f["name"] == name), F.filter("shared", lambda f: f["name"] == name)
-        if name not in SUMMED:
-            return F.when(F.size(own) == 1, F.get(own, F.lit(0))).when(F.size(own) > 1, F.get(own, F.col("nth") - 1)).otherwise(F.get(of_doc, F.lit(0)))
+        one = F.when(F.size(own) == 1, F.get(own, F.lit(0))).when(F.size(own) > 1, F.get(own, F.col("nth") - 1)).otherwise(F.get(of_doc, F.lit(0)))
 
         def total(x: Column) -> Column:
-            return F.when(F.size(x) > 0, F.struct(F.lit(name).alias("name"), F.aggregate(x, F.lit(0.0), lambda s, f: s + f["value"]).alias("value"), F.get(x, F.lit(0))["half_step"].alias("half_step")))
+            return F.when(F.size(x) > 0, F.struct(name.alias("name"), F.aggregate(x, F.lit(0.0), lambda s, f: s + f["value"]).alias("value"), F.get(x, F.lit(0))["half_step"].alias("half_step")))
 
         alike = F.when((F.col("times") > 1) & (F.size(own) == F.col("times")), F.get(own, F.col("nth") - 1)).otherwise(total(own))
-        return F.coalesce(alike, total(of_doc))
+        return F.when(name.isin(*SUMMED), F.coalesce(alike, total(of_doc))).otherwise(one)
 
-    return said.select("doc_id", "row", "facts", *(figure(name).alias(f"figure {name}") for name in FIGURES))
+    # Only the names there are, in one expression: a column for each of FIGURES is more code than the JVM compiles.
+    stated = F.filter(F.transform("names", figure), lambda x: x.isNotNull())
+    found = T.exploded(said, ["doc_id", "row", "facts"], F.array(stated), "stated")
+    return found.withColumn("said", F.col("stated.name"))
 
 
 def figure_findings(docs: DataFrame, checks: tuple[Check, ...] = CHECKS) -> DataFrame:
@@ -187,7 +207,7 @@ def figure_findings(docs: DataFrame, checks: tuple[Check, ...] = CHECKS) -> Data
     for c in checks:
         there = F.lit(True)
         for name in c.needs:
-            there = there & F.col(f"`figure {name}`").isNotNull()
+            there = there & v.there(name)
         quote = F.concat_ws(" ", F.lit(c.needs[-1]), F.format_string("%.2f", v(c.needs[-1])), F.lit("against"), F.format_string("%.2f", c.want(v).cast("double")))
         own = F.lit(False)
         for name in c.needs:

@@ -103,3 +103,14 @@ def test_parameters_meet_their_tables_in_one_reading(spark, tmp_path):
     want = [(1, 4, "f", *x) for x in apart] + [(4, 7, "f", *x) for x in apart] + [(7, 5, "f", *x) for x in apart]
     assert sorted(map(tuple, found.collect())) == want
     assert signatures.mark("a, [b, c], d => e, f) -> g, h") == "a\x01 [b, c]\x01 d => e\x01 f\x02 -> g, h"
+
+
+def test_figures_are_made_of_the_labels_there_are(spark, tmp_path):
+    """There was a column for each label of all rules, more code than the JVM compiles."""
+    from docaudit.operators import arithmetic
+
+    text = "Budget: 100\nActual: 160.5\nVariance: 50\n\nCapacity: 5\n\nRegistered: 6 people\n| Gross  weight | 7 |\nnet weight (: 9\nRent"
+    docs = stored(spark, tmp_path, [(1, text), (2, None), (3, ""), (4, "Budget: 1\r\nActual: 2\r\nVariance: 3\r\nVariance: 1\r\nBudget: 1\r\nActual: 2")])
+    assert {"stated", "said"} <= set(arithmetic.figures(docs).columns) and len(arithmetic.figures(docs).columns) < 8
+    found = sorted((r.doc_id, r.rule, r.quote) for r in arithmetic.figure_findings(docs).collect())
+    assert found == [(1, "count-over-capacity", "registered 6.00 against 5.00"), (1, "variance-mismatch", "variance 50.00 against 60.50"), (4, "variance-mismatch", "variance 3.00 against 1.00")]
