@@ -27,8 +27,9 @@ def heading_words(text: Column) -> Column:
 
 
 def sections(docs: DataFrame) -> DataFrame:
-    """row, doc_id, section (0 before the first heading), depth, title, emoji, paragraphs, words and grams (hashes of word pairs) of each section."""
-    each = tree.lines(docs)
+    """row, doc_id, section (0 before the first heading), depth, title, emoji, paragraphs, words, grams (hashes of word pairs), listed (run and indent of its list items), bold and labels of each section."""
+    # Sections, lists and labels come of one reading of the lines.
+    each = runs.runs(docs, F.lit(True)).withColumnRenamed("kind", "run_kind")
     so_far = Window.partitionBy("row").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     heading = F.col("text").rlike(tree.HEADING)
     prose = ~heading & (F.trim("text") != "") & ~F.col("text").rlike(r"^\s*(?:\||>|:::|[-*_]{3,}\s*$)")
@@ -37,9 +38,10 @@ def sections(docs: DataFrame) -> DataFrame:
     starts = F.col("prose") & ~item & ~F.coalesce(F.lag("prose").over(Window.partitionBy("row").orderBy("line")), F.lit(False))
     each = each.withColumns({"starts": starts, "w": F.when(F.col("prose"), T.bare_words(F.regexp_replace("text", runs.LIST_ITEM, "")))})
     pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda k: F.xxhash64(F.slice("w", k, 2))))
-    own = each.withColumn("pairs", pairs).groupBy("row", "doc_id", "section").agg(
+    own = each.withColumns({"pairs": pairs, "labelled": F.col("text").rlike(_LABEL)}).groupBy("row", "doc_id", "section").agg(
         F.max(F.when(F.col("heading"), F.length(F.regexp_extract("text", tree.HEADING, 1)))).alias("depth"), F.max(F.when(F.col("heading"), heading_words(F.regexp_extract("text", tree.HEADING, 2)))).alias("title"),
         F.max(F.col("heading") & F.col("text").rlike(EMOJI)).alias("emoji"), F.count_if("starts").alias("paragraphs"), F.sum(F.coalesce(F.size("w"), F.lit(0))).alias("words"), F.flatten(F.collect_list("pairs")).alias("grams"),
+        F.collect_list(F.when(F.col("run_kind") == "list", F.struct("run", "indent"))).alias("listed"), F.count_if(F.col("labelled") & F.col("text").rlike(runs.LIST_ITEM)).alias("bold"), F.collect_set(F.when(F.col("labelled"), heading_words(F.regexp_extract("text", _LABEL, 1)))).alias("labels"),
     )
     return own.withColumn("words", F.greatest("words", F.lit(0)))
 
@@ -55,12 +57,12 @@ def measures(docs: DataFrame) -> DataFrame:
     words', shares and variation per cent, the rest counts. A section's arrays are those of one document.
     """
     s = sections(docs)
-    packed = s.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("section", "depth", "title", "emoji", "paragraphs", "words", "grams"))).alias("all"))
+    packed = s.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("section", "depth", "title", "emoji", "paragraphs", "words", "grams"))).alias("all"), F.array_sort(F.flatten(F.collect_list("listed"))).alias("items"), F.sum("bold").alias("bold"), F.array_distinct(F.flatten(F.collect_list("labels"))).alias("labels"))
     headed = F.filter("all", lambda x: x["section"] > 0)
     packed = packed.withColumn("headed", headed)
     titled = F.coalesce(F.get("headed", F.lit(0))["depth"] == 1, F.lit(False))
     packed = packed.withColumn("h", F.when(titled, F.slice("headed", F.lit(2), F.greatest(F.size("headed") - 1, F.lit(0)))).otherwise(F.col("headed")))
-    packed = T.exploded(packed, ["row", "doc_id", "all", "headed"], F.array("h"), "h")
+    packed = T.exploded(packed, ["row", "doc_id", "all", "headed", "items", "bold", "labels"], F.array("h"), "h")
     total = F.aggregate("all", F.lit(0).cast("bigint"), lambda a, x: a + x["words"])
     share = lambda part, whole: F.round(part * 100.0 / whole).cast("double")
     n = F.size("h")
@@ -83,6 +85,9 @@ def measures(docs: DataFrame) -> DataFrame:
     before = F.flatten(F.transform(F.filter("all", lambda x: x["section"] < last["section"]), lambda x: x["grams"]))
     said = F.array_distinct(last["grams"])
     restated = F.when(F.size(said) > 0, share(F.size(F.array_intersect(said, before)), F.size(said)))
+    # Items of one list stand side by side in order.
+    item = lambda k: F.get("items", k)
+    first = lambda k: ~item(k - 1).eqNullSafe(item(k))
     measured = packed.select(
         "row", "doc_id",
         F.when(total >= LEAST_WORDS, F.round(n * 1000.0 / total, 1)).alias("heading-density"),
@@ -93,13 +98,10 @@ def measures(docs: DataFrame) -> DataFrame:
         F.when(n >= LEAST_BOOKENDS, (opens.cast("int") + closes.cast("int")).cast("double")).alias("bookends"),
         restated.alias("closing-restatement"),
         F.size(F.filter("headed", lambda x: x["emoji"])).cast("double").alias("emoji-headings"),
-        F.transform("h", lambda x: x["title"]).alias("titles"),
+        F.transform("h", lambda x: x["title"]).alias("titles"), "labels", "bold",
+        F.size(F.filter("items", lambda x, k: first(k))).alias("lists"), F.size(F.filter("items", lambda x, k: first(k) & (item(k + 2) == x) & ~item(k + 3).eqNullSafe(x))).alias("threes"),
     )
-    listed = runs.runs(docs).where("kind = 'list'").groupBy("row", "run", "indent").agg(F.count("*").alias("n")).groupBy("row").agg(F.count("*").alias("lists"), F.count_if(F.col("n") == 3).alias("threes"))
-    labels = tree.lines(docs).where(F.col("text").rlike(_LABEL)).select("row", F.col("text").rlike(runs.LIST_ITEM).alias("item"), heading_words(F.regexp_extract("text", _LABEL, 1)).alias("label"))
-    labels = labels.groupBy("row").agg(F.count_if("item").alias("bold"), F.collect_set("label").alias("labels"))
-    joined = measured.join(listed, "row", "left").join(labels, "row", "left")
-    names = F.concat("titles", F.coalesce("labels", F.array().cast("array<string>")))
+    names = F.concat("titles", "labels")
 
     def both(pro: str, con: str) -> Column:
         """Whether one name has the good side, apart from the bad side's word, and another has the bad side."""
@@ -108,7 +110,7 @@ def measures(docs: DataFrame) -> DataFrame:
         return F.when((F.size(good) > 0) & (F.size(bad) > 0) & ~F.coalesce(alone, F.lit(False)), 1).otherwise(0)
 
     pairs = sum((both(*x) for x in SIDES), F.lit(0))
-    return joined.withColumns({
-        "three-item-lists": F.when(F.col("lists") >= LEAST_LISTS, share(F.col("threes"), F.col("lists"))), "bold-labels": F.coalesce("bold", F.lit(0)).cast("double"),
+    return measured.withColumns({
+        "three-item-lists": F.when(F.col("lists") >= LEAST_LISTS, share(F.col("threes"), F.col("lists"))), "bold-labels": F.col("bold").cast("double"),
         "pro-con": F.when(F.size("titles") >= LEAST_BOOKENDS, pairs.cast("double")),
     }).select("doc_id", "row", *(F.col(f"`{m}`") for m in MEASURES))

@@ -114,3 +114,14 @@ def test_figures_are_made_of_the_labels_there_are(spark, tmp_path):
     assert {"stated", "said"} <= set(arithmetic.figures(docs).columns) and len(arithmetic.figures(docs).columns) < 8
     found = sorted((r.doc_id, r.rule, r.quote) for r in arithmetic.figure_findings(docs).collect())
     assert found == [(1, "count-over-capacity", "registered 6.00 against 5.00"), (1, "variance-mismatch", "variance 50.00 against 60.50"), (4, "variance-mismatch", "variance 3.00 against 1.00")]
+
+
+def test_shapes_come_of_one_reading(spark, tmp_path):
+    """Texts were exchanged three times: for sections, for lists and for labels."""
+    from docaudit.operators import shape
+
+    text = "# T\n- a\n- b\n- c\n\n- **One**: x\n  - d\n  - e\n  - f\n- **Two**: y\n## Pros\nwords\n1. x\n2. y\n3. z\n4. w\n\n**Cons**: more\n"
+    found = shape.measures(stored(spark, tmp_path, [(1, text), (2, "- a\n- b\n- c"), (3, None), (4, "")]))
+    assert plan(found).count("Scan parquet") == 1 and "Join" not in plan(found)
+    # Lists of 3, 2, 3 and 4 items.
+    assert {r.doc_id: (r["three-item-lists"], r["bold-labels"]) for r in found.collect()} == {1: (50.0, 2.0), 2: (None, 0.0), 4: (None, 0.0)}
