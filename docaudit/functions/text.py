@@ -63,7 +63,9 @@ def _folded(texts: pd.Series) -> pd.Series:
 def folded(text: Column) -> Column:
     """fold() of each text, null for null; texts of ASCII alone stay in the JVM."""
     ascii_ = F.lower(F.regexp_replace(text, r"[\t-\r\x1c-\x20]+", ""))
-    return F.when(F.octet_length(text) == F.length(text), ascii_).otherwise(_folded(text))
+    # Python gets nulls for the texts that it does not fold.
+    other = F.octet_length(text) != F.length(text)
+    return F.when(~other, ascii_).otherwise(_folded(F.when(other, text)))
 
 
 @F.pandas_udf(StringType())
@@ -73,7 +75,8 @@ def _nfkc(texts: pd.Series) -> pd.Series:
 
 def nfkc(text: Column) -> Column:
     """The compatibility composition of a text: full-width letters and half-width kana as the usual ones."""
-    return F.when(F.octet_length(text) == F.length(text), text).otherwise(_nfkc(text))
+    other = F.octet_length(text) != F.length(text)
+    return F.when(~other, text).otherwise(_nfkc(F.when(other, text)))
 
 
 def fingerprint(*parts: Column) -> Column:

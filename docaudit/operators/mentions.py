@@ -298,6 +298,8 @@ def compare(before: DataFrame, after: DataFrame) -> DataFrame:
 
 #: Characters of quotations that one automaton holds.
 QUOTES_HELD = 2_000_000
+#: Characters of a quotation's beginning that the automaton holds.
+BEGINNING = 8
 
 
 def cite(quotes: DataFrame, sources: DataFrame) -> DataFrame:
@@ -343,15 +345,25 @@ def _searched(texts: DataFrame, keys: list[str]) -> DataFrame:
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
-        automaton = ahocorasick.Automaton()
+        # The automaton holds the beginnings of the keys, which they share; the rest is looked up by length.
+        begun: dict[str, dict[int, dict[str, int]]] = {}
         for k, key in enumerate(held.value):
-            automaton.add_word(key, k)
+            begun.setdefault(key[:BEGINNING], {}).setdefault(len(key), {})[key] = k
+        automaton = ahocorasick.Automaton()
+        for start, sized in begun.items():
+            automaton.add_word(start, (len(start), sized))
         automaton.make_automaton()
         seen: set[int] = set()
         for batch in found:
             before = set(seen)
-            for text in batch.column(0).to_pylist():
-                seen.update(k for _, k in automaton.iter(T.fold(text)))
+            for value in batch.column(0):
+                text = T.fold(value.as_py())
+                for end, (own, sized) in automaton.iter(text):
+                    at = end + 1 - own
+                    for size, whole in sized.items():
+                        k = whole.get(text[at : at + size])
+                        if k is not None:
+                            seen.add(k)
             yield pa.RecordBatch.from_pydict({"key": [held.value[k] for k in sorted(seen - before)]}, schema=pa.schema([("key", pa.string())]))
 
     return texts.mapInArrow(run, "key string")

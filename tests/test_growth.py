@@ -125,3 +125,18 @@ def test_shapes_come_of_one_reading(spark, tmp_path):
     assert plan(found).count("Scan parquet") == 1 and "Join" not in plan(found)
     # Lists of 3, 2, 3 and 4 items.
     assert {r.doc_id: (r["three-item-lists"], r["bold-labels"]) for r in found.collect()} == {1: (50.0, 2.0), 2: (None, 0.0), 4: (None, 0.0)}
+
+
+def test_texts_of_ascii_alone_are_not_sent_to_python_and_quotations_share_their_beginnings(spark, tmp_path):
+    from docaudit.functions import text as T
+    from docaudit.operators import mentions
+
+    rows = [(1, "The same words begin here, and go on."), (2, "ＡＢ Ｃ é the same words begin there"), (3, None)]
+    docs = stored(spark, tmp_path, rows)
+    folded = docs.select("doc_id", T.folded(docs.text).alias("t"))
+    (udf,) = [x for x in plan(folded).split("\n") if "ArrowEvalPython" in x]
+    assert "_folded(CASE WHEN" in udf or "_folded(pythonUDF" not in udf and "_folded(text" not in udf
+    assert {r.doc_id: r.t for r in folded.collect()} == {1: "thesamewordsbeginhere,andgoon.", 2: "abcéthesamewordsbeginthere", 3: None}
+    keys = ["thesamewordsbeginhere", "thesamewordsbeginthere", "thesamewordsbeginnowhere", "thesamewordsbegin", "the", "é", "goon.", "goon.x", "bcé"]
+    found = mentions._searched(docs.where("text IS NOT NULL").select("text"), keys)
+    assert sorted({r.key for r in found.collect()}) == sorted(set(keys) - {"thesamewordsbeginnowhere", "goon.x"})
