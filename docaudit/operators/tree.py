@@ -62,8 +62,8 @@ def shares(docs: DataFrame) -> int:
 def lines(docs: DataFrame) -> DataFrame:
     """row, doc_id, line (from 1), start and text of every line of the texts there are, code blanked."""
     # Texts are dealt, not their lines: what is cut from a text stays where its row is, and windows by row exchange nothing.
-    plain = docs.where("text IS NOT NULL").select("doc_id", F.monotonically_increasing_id().alias("row"), masking.without_code(T.plain(F.col("text"))).alias("text")).repartition(shares(docs), "row")
-    cut = T.exploded(plain, ["row", "doc_id"], F.split("text", "\n", -1), "text", "line").withColumn("line", F.col("line") + 1)
+    dealt = docs.where("text IS NOT NULL").select("doc_id", F.monotonically_increasing_id().alias("row"), "text").repartition(shares(docs), "row")
+    cut = T.exploded(dealt, ["row", "doc_id"], F.split(masking.without_code(T.plain(F.col("text"))), "\n", -1), "text", "line").withColumn("line", F.col("line") + 1)
     end = F.sum(F.length("text") + 1).over(_so_far())
     return cut.withColumn("start", (end - F.length("text") - 1).cast("int"))
 

@@ -178,6 +178,9 @@ FORMS = (
 )
 
 
+#: Rules whose every match holds a character beyond ASCII.
+WIDE = ("invisible-character", "hankaku-kana", "lookalike-character", "emoji-density", "no-em-dash", "url-run-on", "no-nakaguro-parallel", "max-kanji-continuous", "max-ten", "connective-hierarchy")
+
 _JAPANESE = "japanese"
 #: What every match holds one of, so that a text without it is not searched: literals, or a letter of a Japanese
 #: script. Keys are a rule's name, for pairs with the number of the form.
