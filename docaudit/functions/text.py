@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -99,6 +100,16 @@ def variation(sizes: Column) -> Column:
     return F.aggregate(sizes, start, step, lambda s: F.round(F.when(s["total"] != 0, 100 * F.sqrt(s["squares"] / s["n"]) / (s["total"] / s["n"]))).cast("bigint"))
 
 
+def held(x: Column, made: Callable[[Column], Column]) -> Column:
+    """made(x), where x is made once however often it is used: as the variable of a lambda."""
+    return F.get(F.transform(F.array(x), made), F.lit(0))
+
+
+def shares(docs: DataFrame) -> int:
+    """Twice the shuffle partitions, a stated number: by their compressed size alone texts would be put together, and their lines sorted by few tasks."""
+    return 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def exploded(df: DataFrame, keep: list[str], array: Column, name: str, pos: str | None = None) -> DataFrame:
     """A row for each element, and its number from 0 if asked for; null and empty arrays have none.
 

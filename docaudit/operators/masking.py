@@ -74,8 +74,8 @@ def blanked(text: Column, pattern: str, hint: str) -> Column:
         marked = F.split(F.regexp_replace(F.translate(t, _OPEN + _CLOSE, "  "), pattern, f"{_OPEN}$0{_CLOSE}"), _OPEN, -1)
         return F.when(t.rlike(hint), F.array_join(F.transform(marked, piece), "")).otherwise(t)
 
-    # As a lambda's variable the text, itself blanked before, is made once; a transform would make it again.
-    return F.get(F.transform(F.array(text), made), F.lit(0))
+    # The text, itself blanked before, would be made again by a transform.
+    return T.held(text, made)
 
 
 def without_code(text: Column) -> Column:
@@ -129,10 +129,8 @@ def located(docs: DataFrame, searches: tuple[Search, ...], text: Column | None =
     Null and empty texts have no rows; a pattern that matches the empty text finds nothing there; repeated rows are
     answered each. Texts are dealt to a stated number of tasks, where their matches stay; a row is a match, not a line.
     """
-    from docaudit.operators.tree import shares
-
     searched = prose(T.plain(F.col("text"))) if text is None else text
-    base = docs.where("text IS NOT NULL").select("doc_id", "lang", F.monotonically_increasing_id().alias("row"), "text").repartition(shares(docs), "row")
+    base = docs.where("text IS NOT NULL").select("doc_id", "lang", F.monotonically_increasing_id().alias("row"), "text").repartition(T.shares(docs), "row")
     base = T.exploded(base, ["doc_id", "lang", "row"], F.array(searched), "text")
     waiting = sorted({s.lang or "" for s in searches if s.words})
     all_words = {w for s in searches for w in s.words}

@@ -84,7 +84,7 @@ def parameter_mismatches(docs: DataFrame) -> DataFrame:
     """
     # Texts without a fence have no code. Texts are dealt, not their lines: what is cut from a text stays where its row is.
     able = F.contains("text", F.lit("|")) & (F.contains("text", F.lit("```")) | F.contains("text", F.lit("~~~")))
-    plain = docs.where(able).select("doc_id", F.monotonically_increasing_id().alias("row"), T.plain(F.col("text")).alias("text")).repartition(tree.shares(docs), "row")
+    plain = docs.where(able).select("doc_id", F.monotonically_increasing_id().alias("row"), T.plain(F.col("text")).alias("text")).repartition(T.shares(docs), "row")
     each = T.exploded(plain, ["row", "doc_id"], F.split("text", "\n", -1), "text", "line").withColumn("line", F.col("line") + 1)
     order = Window.partitionBy("row").orderBy("line")
     so_far, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)

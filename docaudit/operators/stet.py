@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docaudit.functions import text as T
-from docaudit.operators import ranges, tree
+from docaudit.operators import ranges
 
 #: Kind, then what stands up to the end of the comment.
 COMMENT = r"<!--\s*(stet|stet-section|stet-file)\s*:([^>]*?)-->"
@@ -26,7 +26,7 @@ END = 1 << 30
 def _lines(docs: DataFrame) -> DataFrame:
     """row, doc_id, line and text of documents that hold such a comment, code left out; a comment over several lines is on its first."""
     own = docs.where(F.contains("text", F.lit("stet"))).select("doc_id", T.plain(F.col("text")).alias("text"))
-    marked = own.where(F.col("text").rlike(COMMENT)).withColumn("row", F.monotonically_increasing_id()).repartition(tree.shares(docs), "row")
+    marked = own.where(F.col("text").rlike(COMMENT)).withColumn("row", F.monotonically_increasing_id()).repartition(T.shares(docs), "row")
     cut = T.exploded(marked, ["row", "doc_id", F.regexp_extract_all("text", F.lit(COMMENT), F.lit(0)).alias("comments")], F.split("text", "\n", -1), "text", "line")
     return cut.withColumn("line", F.col("line") + 1)
 

@@ -54,15 +54,10 @@ def _arabic(raw: Column) -> Column:
     return F.when(raw.rlike("^[0-9.]+$"), raw).otherwise(roman_value(raw).cast("string"))
 
 
-def shares(docs: DataFrame) -> int:
-    """Twice the shuffle partitions, a stated number: by their compressed size alone texts would be put together, and their lines sorted by few tasks."""
-    return 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def lines(docs: DataFrame) -> DataFrame:
     """row, doc_id, line (from 1), start and text of every line of the texts there are, code blanked."""
     # Texts are dealt, not their lines: what is cut from a text stays where its row is, and windows by row exchange nothing.
-    dealt = docs.where("text IS NOT NULL").select("doc_id", F.monotonically_increasing_id().alias("row"), "text").repartition(shares(docs), "row")
+    dealt = docs.where("text IS NOT NULL").select("doc_id", F.monotonically_increasing_id().alias("row"), "text").repartition(T.shares(docs), "row")
     cut = T.exploded(dealt, ["row", "doc_id"], F.split(masking.without_code(T.plain(F.col("text"))), "\n", -1), "text", "line").withColumn("line", F.col("line") + 1)
     end = F.sum(F.length("text") + 1).over(_so_far())
     return cut.withColumn("start", (end - F.length("text") - 1).cast("int"))

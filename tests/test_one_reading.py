@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from docaudit.operators import masking
+from docaudit.operators import masking, mentions
 from docaudit.plans.rules import PATTERNS, PHRASES
 
 
@@ -40,3 +40,15 @@ def test_phrases_are_looked_for_at_once(spark, tmp_path):
     plain = tuple(replace(s, words=(), wide=False) for s in searches)
     got, want = (sorted(map(tuple, masking.located(docs, s).collect())) for s in (searches, plain))
     assert got == want and len({x[1] for x in got}) > 30
+
+
+def test_mentions_come_of_one_reading(spark, tmp_path):
+    """Each rule cut the texts into sentences by itself, and dates were cut six times."""
+    text = "Signed on 2024-01-05 and 2023-02-30. 2 weeks later, on 2024-01-18, it ended. June 5 it is.\nCall 03-1234-5678, 03-1234-5687 or 03-1234-5687.\nOwner: Ann\nOwner: Bob\nPay ten (99999999999999999999) days. 2 days later, on May 1, 2023, no."
+    docs = stored(spark, tmp_path, [(1, "en", text), (2, "en", None), (3, "en", ""), (4, "en", "A 2 cm\nLength: 5 mm\nlength: 5 cm\nLength: 5 cm\nLength: 5 mm")])
+    found = mentions.findings(docs, tuple(r for r in mentions.RULES if r not in mentions.OVER_ALL))
+    assert plan(found).count("Scan parquet") == 1 and plan(found).count("Exchange") == 1 and "Join" not in plan(found)
+    assert sorted((r.doc_id, r.rule, r.para, r.quote) for r in found.collect()) == [
+        (1, "date-without-year", 1, "June 5"), (1, "fact-conflict", 4, "owner"), (1, "impossible-date", 1, "2023-02-30"), (1, "number-word-figure-mismatch", 5, "ten (99999999999999999999)"),
+        (1, "phone-number-variant", 1, "0312345678 / 0312345687"), (1, "relative-date-mismatch", 1, "2024-01-18"), (4, "fact-conflict", 5, "length"), (4, "unit-mismatch", 2, "length"),
+    ]
