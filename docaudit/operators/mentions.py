@@ -366,19 +366,24 @@ def atoms(docs: DataFrame) -> DataFrame:
     Kinds: url, code, date, time, quote, footnote, reference, heading, number, name. The key is what makes two atoms
     the same fact: lower case, white space as one blank, no thousands separators.
     """
+    # Each with what its matches hold one of, if literals say so; digits are searched for alone.
+    digit = "[0-9]"
     readers = (
-        ("url", "https?://[^\\s)>\\]]+"), ("code", "`[^`\\n]+`"), ("date", f"{_ISO}|{_LONG}|{_BRITISH}"), ("time", "\\b[0-2]?[0-9]:[0-5][0-9]\\b"), ("quote", "[“\"][^”\"\\n]{3,200}[”\"]"),
-        ("footnote", "\\[\\^[^\\]]+\\]"), ("reference", "\\b(?:Section|Article|Figure|Table) [0-9]+(?:\\.[0-9]+)*"), ("heading", "(?m)^#{1,6} [^\\n]+$"), ("number", "[$€£]?[0-9][0-9,]*(?:\\.[0-9]+)?%?"), ("name", "\\b[A-Z][a-z]+(?: [A-Z][a-z]+)+\\b"),
+        ("url", "https?://[^\\s)>\\]]+", ("://",)), ("code", "`[^`\\n]+`", ("`",)), ("date", f"{_ISO}|{_LONG}|{_BRITISH}", digit), ("time", "\\b[0-2]?[0-9]:[0-5][0-9]\\b", (":",)), ("quote", "[“\"][^”\"\\n]{3,200}[”\"]", ("“", '"')),
+        ("footnote", "\\[\\^[^\\]]+\\]", ("[^",)), ("reference", "\\b(?:Section|Article|Figure|Table) [0-9]+(?:\\.[0-9]+)*", ("Section ", "Article ", "Figure ", "Table ")), ("heading", "(?m)^#{1,6} [^\\n]+$", ("# ",)), ("number", "[$€£]?[0-9][0-9,]*(?:\\.[0-9]+)?%?", digit), ("name", "\\b[A-Z][a-z]+(?: [A-Z][a-z]+)+\\b", ()),
     )
-    rest, frames = F.col("text"), []
 
-    def named(kind: str, texts: Column) -> Column:
-        return F.transform(texts, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("text")))
+    def read(rest: Column, left: tuple, told: tuple[Column, ...] = ()) -> Column:
+        """What the readers tell of the rest, and what was told before; each reader's rest is made once."""
+        kind, pattern, needs = left[0]
+        there = rest.rlike(needs) if isinstance(needs, str) else reduce(Column.__or__, (F.contains(rest, F.lit(x)) for x in needs)) if needs else F.lit(True)
+        own = F.transform(_if(there, _all(rest, f"({pattern})")), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("text")))
+        if not left[1:]:
+            return F.concat(*told, own)
+        return T.held(F.when(there, F.regexp_replace(rest, pattern, " ¤ ")).otherwise(rest), lambda x: read(x, left[1:], (*told, own)))
 
-    for kind, pattern in readers:
-        frames.append(named(kind, F.regexp_extract_all(rest, F.lit(f"({pattern})"), F.lit(1))))
-        rest = F.regexp_replace(rest, pattern, " ¤ ")
-    found = docs.where("text IS NOT NULL").select("doc_id", F.posexplode(F.concat(*frames)).alias("nth", "a")).select("doc_id", "nth", "a.kind", "a.text")
+    dealt = docs.where("text IS NOT NULL").select("doc_id", "text").repartition(T.shares(docs), "doc_id")
+    found = T.exploded(dealt, ["doc_id"], read(F.col("text"), readers), "a", "nth").select("doc_id", "nth", "a.kind", "a.text")
     key = F.lower(F.trim(F.regexp_replace(F.regexp_replace("text", "(?<=[0-9]),(?=[0-9]{3})", ""), "\\s+", " ")))
     return found.withColumn("key", key).select("doc_id", "kind", "key", "text", "nth")
 

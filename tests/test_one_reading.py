@@ -52,3 +52,13 @@ def test_mentions_come_of_one_reading(spark, tmp_path):
         (1, "date-without-year", 1, "June 5"), (1, "fact-conflict", 4, "owner"), (1, "impossible-date", 1, "2023-02-30"), (1, "number-word-figure-mismatch", 5, "ten (99999999999999999999)"),
         (1, "phone-number-variant", 1, "0312345678 / 0312345687"), (1, "relative-date-mismatch", 1, "2024-01-18"), (4, "fact-conflict", 5, "length"), (4, "unit-mismatch", 2, "length"),
     ]
+
+
+def test_atoms_make_each_rest_once(spark, tmp_path):
+    """The rest that a reader leaves was made again by each later reader: 45 replacements and more."""
+    text = '# See "a Section 2" on 2024-01-02 at 10:30\nFigure 3.1 `Table 4` https://x.org/1 [^n1] Ann Lee paid $1,000.50\n'
+    found = mentions.atoms(stored(spark, tmp_path, [(1, "en", text), (2, "en", None), (3, "en", "")]))
+    assert plan(found.select("doc_id", "kind")).count("regexp_replace(") <= 9
+    assert [(r.kind, r.key) for r in found.orderBy("nth").collect()] == [
+        ("url", "https://x.org/1"), ("code", "`table 4`"), ("date", "2024-01-02"), ("time", "10:30"), ("quote", '"a section 2"'), ("footnote", "[^n1]"), ("reference", "figure 3.1"), ("heading", "# see ¤ on ¤ at ¤"), ("number", "$1000.50"), ("name", "ann lee"),
+    ]
