@@ -110,34 +110,46 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 UNIT_END = r"\n(?:(?<!\n\n)|(?!\n))"
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
-    """doc_id, _row and start of every two lines in a row, one not blank, that stood before, in the order of doc_id, text hash, line.
+#: A line of text: two words, or two characters of a script that writes no blanks between words.
+TEXT_LINE = r"\S\s+\S|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]{2}"
 
-    Empty lines in a row between others count as one line here. A passage of any length that stood before is a run of
-    such pairs from its first line to its last. Pairs are equal if 128 bits of their hash are; repeated rows with the
-    same id and text count once.
+
+def repeated_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, _row, start and n (1 or 2) of every line of text that stood before, and of every two lines in a row, one not blank, that did, in the order of doc_id, text hash, line.
+
+    Empty lines in a row between others count as one line here. A single word (a mark, a brace) stands for itself and
+    is repeated only beside a line that is repeated with it. Two lines of text are repeated if each is, so that such
+    pairs are not looked for. Lines are equal if 128 bits of their hash are; repeated rows with the same id and text
+    count once.
     """
-    lines = docs.where(F.contains("text", F.lit("\n"))).select("doc_id", F.xxhash64("text").alias("_row"), F.split("text", UNIT_END, -1).alias("_lines"))
-    at = F.sequence(F.lit(1), F.size("_lines") - 1)
+    lines = docs.where(F.length("text") > 0).select("doc_id", F.xxhash64("text").alias("_row"), F.split("text", UNIT_END, -1).alias("_lines"))
+    lines = _computed(lines, _own=F.transform("_lines", lambda x: x.rlike(TEXT_LINE)))
+
+    def looked_for(i: Column) -> Column:
+        line, after = F.element_at("_lines", i), F.get("_lines", i)
+        own, next_own = F.element_at("_own", i), F.get("_own", i)
+        one = F.when(own, F.struct(i.alias("start"), F.lit(1).alias("n"), line.alias("said")))
+        two = F.when(~(own & next_own), F.struct(i.alias("start"), F.lit(2).alias("n"), F.concat(line, F.lit("\n"), after).alias("said")))
+        return F.array(one, two)
+
     # Not explode(): the filter on an empty list that it brings splits the text anew for each line.
-    pairs = F.transform(at, lambda i: F.struct(i.alias("start"), F.concat(F.element_at("_lines", i), F.lit("\n"), F.element_at("_lines", i + 1)).alias("two")))
-    every = lines.select("doc_id", "_row", F.explode_outer(pairs).alias("p")).where(F.col("p.two").rlike(r"\S"))
-    every = every.select("doc_id", "_row", "p.start", F.unhex(F.md5(F.col("p.two").cast("binary"))).alias("h"))
+    every = lines.select("doc_id", "_row", F.explode_outer(F.flatten(F.transform(F.sequence(F.lit(1), F.size("_lines")), looked_for))).alias("p")).where(F.col("p.said").rlike(r"\S"))
+    every = every.select("doc_id", "_row", "p.start", "p.n", F.unhex(F.md5(F.concat(F.col("p.n").cast("string"), F.col("p.said")).cast("binary"))).alias("h"))
     place = F.struct("doc_id", "_row", "start")
     firsts = checkpointed(every.groupBy("h").agg(F.count("*").alias("count"), F.min(place).alias("first")).where("count > 1").drop("count"))
-    return every.join(firsts, "h").where(~place.eqNullSafe(F.col("first"))).select("doc_id", "_row", "start").distinct()
+    return every.join(firsts, "h").where(~place.eqNullSafe(F.col("first"))).select("doc_id", "_row", "start", "n").distinct()
 
 
-def without_passages(docs: DataFrame) -> DataFrame:
-    """docs without the lines of repeated_passages(), and n_lines and n_removed as in deduplicated().
+def without_repeated_lines(docs: DataFrame) -> DataFrame:
+    """docs without what repeated_lines() finds, and n_lines and n_removed as in deduplicated().
 
     Every line's text stays where it stands first.
     """
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    joined, gone = _with_spans(docs.select(*keep), repeated_passages(docs).groupBy("doc_id", "_row").agg(F.collect_list("start").alias("gone")))
+    joined, gone = _with_spans(docs.select(*keep), repeated_lines(docs).groupBy("doc_id", "_row").agg(F.flatten(F.collect_list(F.sequence("start", F.col("start") + F.col("n") - 1))).alias("gone")))
     lines_, rest_, kept_ = (batches.free_name(joined, c) for c in ("lines", "rest", "kept"))
     split = _computed(joined, **{lines_: F.when(gone.isNotNull(), F.split("text", UNIT_END, -1))})
-    left = F.array_except(F.sequence(F.lit(1), F.size(lines_)), F.concat(gone, F.transform(gone, lambda x: x + 1)))
+    left = F.array_except(F.sequence(F.lit(1), F.size(lines_)), gone)
     cut = _computed(split, **{rest_: F.when(gone.isNotNull(), F.transform(left, lambda i: F.element_at(lines_, i)))})
     cut = _computed(cut, **{kept_: F.when(gone.isNull(), F.col("text")).otherwise(F.array_join(rest_, "\n"))})
     n_left = F.when(F.size(rest_) > 0, _n_lines(F.col(kept_))).otherwise(0)

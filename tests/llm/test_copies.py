@@ -215,6 +215,32 @@ def test_passages_of_two_or_more_lines_go_whole(spark):
         assert (left[d].text if d in left else "") == (None if text is None else "\n".join(want))
 
 
+def test_repeated_lines_go_also_between_other_lines(spark):
+    """Only passages of two or more lines went: a line that had other neighbours each time stayed in every document."""
+    r = random.Random(18)
+    notice = "All rights are reserved here."
+    said = [notice, "", " ", "}", "two words", "Thing.", "---", "\u6771\u4eac", "\tfour words in all ", "a much longer line that stands in several documents"]
+    rows: list[tuple] = [(k, f"own {k} a\n{notice}\nown {k} b") for k in range(4)] + [(4, notice), (5, f"{notice}\n\n\n{notice}"), (6, None), (7, ""), (7, "other words"), (None, f"none\n{notice}")]
+    rows += [(10 + k, "\n".join(r.choice([*said, f"own {k} {i}"]) for i in range(r.randrange(1, 9)))) for k in range(60)]
+    left: dict = {}
+    for x in corpus_pipeline.drop_repeated_lines(spark, cases.documents(spark, [*rows, rows[0]]).repartition(3), "").collect():
+        left.setdefault(x.doc_id, []).append(x.text)
+    assert left[None] == [f"none\n{notice}"] and left[0] == ["own 0 a\nown 0 b"] * 2 and 4 not in left and 5 not in left
+    seen: set = set()
+    for d, text in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0)):
+        lines = [] if not text else re.split(line_chunks.UNIT_END, text)
+        gone = set()
+        for i, line in enumerate(lines):
+            for found in [(line,), tuple(lines[i : i + 2])][: 2 if i + 1 < len(lines) else 1]:
+                if "".join(found).strip() and (len(found) == 2 or len(line.split()) > 1 or line == "\u6771\u4eac"):
+                    gone |= set(range(i, i + len(found))) if found in seen else set()
+                    seen.add(found)
+        want = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+        if d != 7:
+            assert left.get(d, [None])[0] == (None if text is None or gone and not want.strip() else want), d
+    assert sorted(left[7]) == ["", "other words"]
+
+
 def test_same_hash_of_different_chunks_is_told_apart(spark, monkeypatch):
     own = line_chunks.chunks
     monkeypatch.setattr(line_chunks, "chunks", lambda docs: own(docs).withColumn("h", F.lit(1).cast("bigint")))
