@@ -1,15 +1,19 @@
 """Figures of a document that do not fit each other: balances, pay, rates, readings, capacities and stated limits.
 
 Lines of a label and a figure ("Gross pay: 2,400.00", "| Gross pay | 2,400.00 |") are read once for each document, in
-its own row; every rule names the figures it needs by their labels and states what must hold among them. A rule whose
+its own row, and put together to statements for a batch of documents at once; every rule names the figures it needs by their labels and states what must hold among them. A rule whose
 figures a document lacks says nothing. No text is shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,11 +81,17 @@ SUMMED = ("deposits", "withdrawals", "deductions")
 class Figures:
     """The figures of a statement by their names: value and half a step of the last digit written."""
 
+    def __init__(self, statement: Column):
+        self.statement = statement
+
     def there(self, name: str) -> Column:
-        return F.array_contains("said", F.lit(name))
+        return F.array_contains(self.statement["said"], F.lit(name))
+
+    def own(self, name: str) -> Column:
+        return F.array_contains(self.statement["own"], F.lit(name))
 
     def _of(self, name: str) -> Column:
-        return F.get("stated", F.array_position("said", F.lit(name)).cast("int") - 1)
+        return F.get(self.statement["stated"], F.array_position(self.statement["said"], F.lit(name)).cast("int") - 1)
 
     def __call__(self, name: str) -> Column:
         return self._of(name)["value"]
@@ -140,59 +150,111 @@ CHECKS = (
 )
 
 
+def _runs(sizes: np.ndarray) -> np.ndarray:
+    """0 to size - 1 for each size, one run behind the other."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _lists(values: pa.Array, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
+
+
+def _facts(marked: pa.Array) -> tuple[np.ndarray, ...]:
+    """Text, block (numbered through all texts), name, value and half step of the figures whose labels are known, in order."""
+    names = list(FIGURES)
+    known = {label: names.index(name) for name, labels in FIGURES.items() for label in labels}
+    split = pc.split_pattern(marked, "\n")
+    lines, text = pc.list_flatten(split), pc.list_parent_indices(split).to_numpy()
+    apart = pc.equal(pc.ascii_trim(lines, " \t"), "").to_numpy(zero_copy_only=False)
+    block = np.cumsum(apart | (np.diff(text, prepend=-1) != 0))
+    at = np.flatnonzero(pc.match_substring(lines, _FACT).to_numpy(zero_copy_only=False))
+    parts = pc.list_flatten(pc.split_pattern(lines.take(pa.array(at)), _FACT))
+    label = pc.dictionary_encode(parts.take(pa.array(np.arange(0, 2 * len(at), 2))))
+    plain = [re.sub(" +", " ", re.sub("[()]", "", x.lower())).strip(" ") for x in label.dictionary.to_pylist()]
+    name = np.array([known.get(x, -1) for x in plain], np.int64)[label.indices.to_numpy()]
+    own = np.flatnonzero(name >= 0)
+    written = pc.replace_substring_regex(parts.take(pa.array(2 * own + 1)), "[$€£¥,+]", "")
+    point = pc.find_substring(written, ".").to_numpy()
+    digits = np.where(point >= 0, pc.binary_length(written).to_numpy() - point - 1, 0)
+    try:
+        value = pc.cast(written, pa.float64()).to_numpy()
+    except pa.ArrowInvalid:  # beyond what a double holds
+        value = np.array([float(x) for x in written.to_pylist()])
+    return text[at][own], block[at][own], name[own], value, 0.5 * 10.0 ** -digits.astype(float)
+
+
+def _statements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id and statements of each text with two figures or more; see figures()."""
+    names, most = pa.array(list(FIGURES)), len(FIGURES)
+    is_summed = np.isin(list(FIGURES), SUMMED)
+    for batch in batches:
+        text, block, name, value, half = _facts(batch.column("marked"))
+        some = np.bincount(text, minlength=batch.num_rows)[text] > 1
+        if not some.any():
+            continue
+        text, block, name, value, half = (x[some] for x in (text, block, name, value, half))
+        new = np.diff(block, prepend=-1) != 0
+        block, block_text = np.cumsum(new) - 1, text[new]
+        # What a block says under one name is a group; its figures stand in a row from `first`.
+        key = block * most + name
+        order = np.argsort(key, kind="stable")
+        key, value, half = key[order], value[order], half[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        n = np.diff(np.append(first, len(key)))
+        of_block, of_name = key[first] // most, key[first] % most
+        total = np.bincount(np.repeat(np.arange(len(n)), n), weights=value)
+        times = np.ones(len(block_text), np.int64)
+        counted = ~is_summed[of_name]
+        np.maximum.at(times, of_block[counted], n[counted])
+        # What one block alone says holds for the others of its text.
+        _, nth_key, blocks = np.unique(block_text[of_block] * most + of_name, return_inverse=True, return_counts=True)
+        once = np.flatnonzero(blocks[nth_key] == 1)
+        begin, end = (np.searchsorted(block_text[of_block[once]], block_text, side) for side in ("left", "right"))
+        into = np.repeat(np.arange(len(block_text)), end - begin)
+        lent = once[np.repeat(begin, end - begin) + _runs(end - begin)]
+        into, lent = into[of_block[lent] != into], lent[of_block[lent] != into]
+        group, at = np.concatenate([np.arange(len(n)), lent]), np.concatenate([of_block, into])
+        own = np.arange(len(group)) < len(n)
+        # A group says one figure in each statement of the block.
+        nth = _runs(times[at])
+        group, own, at = (np.repeat(x, times[at]) for x in (group, own, at))
+        sums = is_summed[of_name[group]]
+        alike = own & sums & (times[at] > 1) & (n[group] == times[at])
+        pick = np.where(alike | (own & ~sums & (n[group] > 1)), nth, 0)
+        there = pick < n[group]
+        place = np.where(there, first[group] + pick, 0)
+        said = np.where(sums & ~alike, total[group], value[place])
+        statement = (np.cumsum(times) - times)[at] + nth
+        there = np.flatnonzero(there)[np.argsort(statement[there], kind="stable")]
+        word = names.take(pa.array(of_name[group[there]]))
+        sizes = np.bincount(statement[there], minlength=times.sum())
+        stated = pa.StructArray.from_arrays([word, pa.array(said[there]), pa.array(half[place[there]])], ["name", "value", "half_step"])
+        # The names of its block are the statement's own.
+        groups = np.bincount(of_block, minlength=len(times))
+        sizes_own = np.repeat(groups, times)
+        owned = names.take(pa.array(of_name[np.repeat(np.repeat(np.cumsum(groups) - groups, times), sizes_own) + _runs(sizes_own)]))
+        made = pa.StructArray.from_arrays([_lists(owned, sizes_own), _lists(word, sizes), _lists(stated, sizes)], ["own", "said", "stated"])
+        texts, first_block = np.unique(block_text, return_index=True)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(texts)), _lists(made, np.add.reduceat(times, first_block))], ["doc_id", "statements"])
+
+
+def _stated(docs: DataFrame) -> DataFrame:
+    """doc_id and statements (own, said, stated) of each row that has two figures or more."""
+    # One search of the text leaves label and figure of its lines; Python gets nulls for texts without.
+    marked = F.regexp_replace(F.translate(T.plain(F.col("text")), _FACT, " "), _FACTS, f"$1{_FACT}$2")
+    texts = docs.select("doc_id", F.when(F.contains(marked, F.lit(_FACT)), marked).alias("marked"))
+    statement = "own: array<string>, said: array<string>, stated: array<struct<name: string, value: double, half_step: double>>"
+    return texts.mapInArrow(_statements, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, statements array<struct<{statement}>>")
+
+
 def figures(docs: DataFrame) -> DataFrame:
-    """doc_id, row, facts (of its block) and, for each statement, stated: name, value and half_step of the figures it has, and said, their names.
+    """doc_id and, for each statement, own (the names its block has), said, the names of its figures, and stated: name, value and half_step.
 
     Lines between blank ones are a block. Where a block says a label again, the second of each label are a statement of
-    their own, and so on. What a statement lacks is taken from its block if it is there once, or else from the document
-    if one block alone has it: a name at the top holds for all.
+    their own, and so on. What a statement lacks is taken from the document if one other block alone has it: a name at
+    the top holds for all.
     """
-    known = {label: name for name, labels in FIGURES.items() for label in labels}
-    names = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
-
-    def label(raw: Column) -> Column:
-        lower = F.translate(F.lower(raw), "()", "")
-        return F.trim(F.when(F.contains(lower, F.lit("  ")), F.regexp_replace(lower, " +", " ")).otherwise(lower))
-
-    def fact(line: Column) -> Column:
-        raw, said = F.substring_index(line, _FACT, -1), label(F.substring_index(line, _FACT, 1))
-        point = F.instr(raw, ".")
-        half = 0.5 * F.pow(F.lit(10.0), -F.when(point > 0, F.length(raw) - point).otherwise(0))
-        return F.struct(F.when(said.isin(*known), F.try_element_at(names, said)).alias("name"), F.translate(raw, "$€£¥,+", "").try_cast("double").alias("value"), half.alias("half_step"))
-
-    def facts(block: Column) -> Column:
-        lines = F.filter(F.split(block, "\n", -1), lambda x: F.contains(x, F.lit(_FACT)))
-        return F.filter(F.transform(lines, fact), lambda f: f["name"].isNotNull())
-
-    # One search of the text leaves label and figure of its lines; null texts have no blocks.
-    marked = F.regexp_replace(F.translate(T.plain(F.col("text")), _FACT, " "), _FACTS, f"$1{_FACT}$2")
-    texts = T.exploded(docs.withColumn("row", F.monotonically_increasing_id()), ["doc_id", "row"], F.array(marked), "marked").where(F.contains("marked", F.lit(_FACT)))
-    blocks = F.filter(F.transform(F.split("marked", r"\n[ \t]*\n", -1), facts), lambda x: F.size(x) > 0)
-    read = T.exploded(texts, ["doc_id", "row"], F.array(blocks), "blocks").where(F.size(F.flatten("blocks")) > 1)
-    # What one block alone says holds for all; how often a label is said is asked of the labels there are, not of all.
-    said_in = F.flatten(F.transform("blocks", lambda b: F.array_distinct(F.transform(b, lambda f: f["name"]))))
-    once = F.filter(F.flatten("blocks"), lambda f: F.size(F.filter(said_in, lambda n: n == f["name"])) == 1)
-    shared = T.exploded(read, ["doc_id", "row", "blocks"], F.array(F.when(F.size("blocks") == 1, F.element_at("blocks", 1)).otherwise(once)), "shared")
-    block = T.exploded(shared, ["doc_id", "row", "shared"], F.col("blocks"), "facts", "block")
-    repeated = F.array_max(F.transform(F.filter("facts.name", lambda n: ~n.isin(*SUMMED)), lambda n: F.size(F.filter("facts", lambda f: f["name"] == n))))
-    times = F.when(F.size(F.array_distinct("facts.name")) == F.size("facts"), 1).otherwise(F.greatest(F.coalesce(repeated, F.lit(1)), F.lit(1)))
-    said = T.exploded(block, ["doc_id", "row", "shared", "block", "facts"], F.array(F.struct(times.alias("times"), F.array_union("facts.name", "shared.name").alias("names"))), "x").select("doc_id", "row", "shared", "block", "facts", "x.*")
-    said = T.exploded(said, ["doc_id", "row", "shared", "block", "facts", "times", "names"], F.sequence(F.lit(1), F.col("times")), "nth")
-
-    def figure(name: Column) -> Column:
-        own, of_doc = F.filter("facts", lambda f: f["name"] == name), F.filter("shared", lambda f: f["name"] == name)
-        one = F.when(F.size(own) == 1, F.get(own, F.lit(0))).when(F.size(own) > 1, F.get(own, F.col("nth") - 1)).otherwise(F.get(of_doc, F.lit(0)))
-
-        def total(x: Column) -> Column:
-            return F.when(F.size(x) > 0, F.struct(name.alias("name"), F.aggregate(x, F.lit(0.0), lambda s, f: s + f["value"]).alias("value"), F.get(x, F.lit(0))["half_step"].alias("half_step")))
-
-        alike = F.when((F.col("times") > 1) & (F.size(own) == F.col("times")), F.get(own, F.col("nth") - 1)).otherwise(total(own))
-        return F.when(name.isin(*SUMMED), F.coalesce(alike, total(of_doc))).otherwise(one)
-
-    # Only the names there are, in one expression: a column for each of FIGURES is more code than the JVM compiles.
-    stated = F.filter(F.transform("names", figure), lambda x: x.isNotNull())
-    found = T.exploded(said, ["doc_id", "row", "facts"], F.array(stated), "stated")
-    return found.withColumn("said", F.col("stated.name"))
+    return T.exploded(_stated(docs), ["doc_id"], F.col("statements"), "s").select("doc_id", "s.*")
 
 
 def figure_findings(docs: DataFrame, checks: tuple[Check, ...] = CHECKS) -> DataFrame:
@@ -202,19 +264,22 @@ def figure_findings(docs: DataFrame, checks: tuple[Check, ...] = CHECKS) -> Data
     withdrawals and deductions of one are summed. Two statements of a document that say the same are reported once
     if their figures are the same lines. Repeated rows are each answered.
     """
-    v = Figures()
-    rows = []
-    for c in checks:
-        there = F.lit(True)
-        for name in c.needs:
-            there = there & v.there(name)
-        quote = F.concat_ws(" ", F.lit(c.needs[-1]), F.format_string("%.2f", v(c.needs[-1])), F.lit("against"), F.format_string("%.2f", c.want(v).cast("double")))
-        own = F.lit(False)
-        for name in c.needs:
-            own = own | F.array_contains("facts.name", F.lit(name))
-        # A statement made of what other blocks say is theirs to report: the first block that has one of its figures does.
-        rows.append(F.when(there & own & c.wrong(v), F.struct(F.lit(c.rule).alias("rule"), F.lit(c.severity).alias("severity"), F.lit(1).cast("bigint").alias("n"), quote.alias("quote"))))
-    return T.exploded(figures(docs), ["doc_id", "row"], F.filter(F.array(*rows), lambda x: x.isNotNull()), "f").select("doc_id", "row", "f.*").distinct().drop("row")
+
+    def wrong(statement: Column) -> Column:
+        v = Figures(statement)
+        rows = []
+        for c in checks:
+            there, own = F.lit(True), F.lit(False)
+            for name in c.needs:
+                there, own = there & v.there(name), own | v.own(name)
+            quote = F.concat_ws(" ", F.lit(c.needs[-1]), F.format_string("%.2f", v(c.needs[-1])), F.lit("against"), F.format_string("%.2f", c.want(v).cast("double")))
+            # A statement made of what other blocks say is theirs to report: the first block that has one of its figures does.
+            rows.append(F.when(there & own & c.wrong(v), F.struct(F.lit(c.rule).alias("rule"), F.lit(c.severity).alias("severity"), F.lit(1).cast("bigint").alias("n"), quote.alias("quote"))))
+        return F.filter(F.array(*rows), lambda x: x.isNotNull())
+
+    # A row holds all statements of its text, so what they say alike meets without an exchange.
+    found = F.array_distinct(F.flatten(F.transform("statements", wrong)))
+    return T.exploded(_stated(docs), ["doc_id"], found, "f").select("doc_id", "f.*")
 
 
 _UNIT_DAYS = {"day": 1, "week": 7, "month": 30, "year": 365}

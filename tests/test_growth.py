@@ -116,6 +116,19 @@ def test_figures_are_made_of_the_labels_there_are(spark, tmp_path):
     assert found == [(1, "count-over-capacity", "registered 6.00 against 5.00"), (1, "variance-mismatch", "variance 50.00 against 60.50"), (4, "variance-mismatch", "variance 3.00 against 1.00")]
 
 
+def test_statements_of_figures_meet_without_exchange(spark, tmp_path):
+    """What two statements say alike was made one by an exchange of all findings; statements were made one by one."""
+    from docaudit.operators import arithmetic
+
+    several = "Deposits: 10\nOpening balance: 100\nDeposits: 20\nWithdrawals: 5\nClosing balance: 12\n \t\n\nCapacity: 5\nRegistered: 6\nRegistered: 7\nRegistered: 6\n"
+    rows = [(1, several), (1, several), (2, None), (3, ""), (4, "Budget: 1"), (5, "Capacity: €5.0\n\nRegistered: +1" + "0" * 400), (None, "Capacity: 1\nRegistered: 2")]
+    found = arithmetic.figure_findings(stored(spark, tmp_path, rows))
+    assert "Exchange" not in plan(found)
+    got = sorted(((r.doc_id or 0, r.rule, r.quote) for r in found.collect()))
+    once = [(1, "closing-balance-mismatch", "closing 12.00 against 125.00"), *((1, "count-over-capacity", f"registered {k}.00 against 5.00") for k in (6, 7))]
+    assert got == [(0, "count-over-capacity", "registered 2.00 against 1.00"), *sorted(2 * once), (5, "count-over-capacity", "registered Infinity against 5.00")]
+
+
 def test_shapes_come_of_one_reading(spark, tmp_path):
     """Texts were exchanged three times: for sections, for lists and for labels."""
     from docaudit.operators import shape
